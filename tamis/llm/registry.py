@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality
+from . import exact_dedup, licenses, mixing, packing, quality, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLE = {k: v for m in (exact_dedup, mixing, packing, quality) for k, v in m.ORACLE.items()}
+ORACLE = {k: v for m in (exact_dedup, licenses, mixing, packing, quality, secrets) for k, v in m.ORACLE.items()}
