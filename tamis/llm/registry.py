@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, packing, quality, secrets
+from . import chat, exact_dedup, licenses, mixing, near_vectors, ngram_join, packing, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
+    "op6_embedding_near_dedup": near_vectors.op6_embedding_near_dedup,
+    "op7_chat_format": chat.op7_chat_format,
+    "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLE = {k: v for m in (exact_dedup, licenses, mixing, packing, quality, secrets) for k, v in m.ORACLE.items()}
+ORACLE = {k: v for m in (chat, exact_dedup, licenses, mixing, near_vectors, ngram_join, packing, quality, secrets) for k, v in m.ORACLE.items()}
