@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licenses, mixing, near_vectors, ngram_join, packing, quality, secrets
+from . import chat, exact_dedup, licenses, mixing, near_vectors, ngram_join, packing, quality, repeats, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_suffix_dedup": repeats.op2_suffix_dedup,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLE = {k: v for m in (chat, exact_dedup, licenses, mixing, near_vectors, ngram_join, packing, quality, secrets) for k, v in m.ORACLE.items()}
+ORACLE = {k: v for m in (chat, exact_dedup, licenses, mixing, near_vectors, ngram_join, packing, quality, repeats, secrets) for k, v in m.ORACLE.items()}
