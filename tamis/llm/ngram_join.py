@@ -16,9 +16,11 @@ WORDS = 5
 #: Two sets link when 100 * |x & y| >= 75 * |x | y|; the bounds below follow from this similarity.
 SIMILARITY = 75
 CHUNK = 1 << 20
-BINS = 64
+BINS = 256
 #: A signature that joins sets of more components than this is hot (see linked_sets).
 HOT = 64
+#: Members of a cluster that are compared in one task.
+BLOCK = 512
 #: Signatures of a shuffle partition.
 PER_PARTITION = 1_500_000
 
@@ -90,8 +92,11 @@ def tolerance(n: int) -> int:
 
 def enumerated(n: int) -> int:
     """Partitions enumerated for a set of n: one more than the tolerance, and some slack for hot signatures."""
-    k = tolerance(n)
-    return k + 1 + max(2, k // 16)
+    return tolerance(n) + 1 + usual_slack(n)
+
+
+def usual_slack(n: int) -> int:
+    return max(2, tolerance(n) // 8)
 
 
 def bands(n: int) -> list[int]:
@@ -131,8 +136,13 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(out), slack
 
 
+def bins_of(s: np.ndarray) -> np.ndarray:
+    """Elements by their top byte, at most 255 each: two sets differ in as many elements as their bins do, or more."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), key (128 bits of the set), id (64 of them), slack, bins (64 counts by element hash)."""
+    """doc_id, n (set size), key (128 bits of the set), id (64 of them), slack, bins (256 counts by element hash)."""
     schema = "doc_id bigint, n bigint, key string, id bigint, slack bigint, bins binary"
 
     def run(batches):
@@ -142,7 +152,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 key.append(set_key(s))
                 slack.append(signatures(s)[1] if len(s) else 0)
-                bins.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
+                bins.append(bins_of(s).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array([set_id(k) for k in key], pa.int64()), pa.array(slack, pa.int64()), pa.array(bins, pa.binary())], names=["doc_id", "n", "key", "id", "slack", "bins"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, schema)
@@ -246,8 +256,8 @@ def possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            x, y = (np.stack([np.frombuffer(v, "<u2") for v in pdf[c]]).astype(np.int64) for c in ("bins_a", "bins_b"))
-            keep = 7 * np.abs(x - y).sum(1) <= (pdf["n_a"] + pdf["n_b"]).to_numpy()
+            x, y = (np.stack([np.frombuffer(v, np.uint8) for v in pdf[c]]).astype(np.int16) for c in ("bins_a", "bins_b"))
+            keep = 7 * np.abs(x - y).sum(1, dtype=np.int64) <= (pdf["n_a"] + pdf["n_b"]).to_numpy()
             yield pdf.loc[keep, ["a", "b"]]
 
     side = lambda c: info.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}"))
@@ -255,77 +265,136 @@ def possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "a bigint, b bigint")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, info: DataFrame) -> DataFrame:
-    """(id, s) of the wanted ids, from the text of one document each."""
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= SIMILARITY * (len(x) + len(y) - both)
 
-    def run(batches):
-        for batch in batches:
-            ids, s_ = [], []
-            for row, s in shingle_sets(batch.column(1)):
-                me = set_id(set_key(s))
-                if me == batch.column(0)[row].as_py():
-                    ids.append(me)
-                    s_.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s_, pa.binary())], names=["id", "s"])
 
-    reps = wanted.join(info.select("id", F.col("rep").alias("doc_id")), "id")
-    text = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").join(reps, "doc_id").select("id", "text")
-    return text.mapInArrow(run, "id bigint, s binary").dropDuplicates(["id"])
+def unify(members: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+    """Links (id, root) of a spanning forest of the given sets: exact comparisons, skipped where two are joined already."""
+    ids = list(members)
+    root = list(range(len(ids)))
 
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets link, by exact comparison."""
+    bins = np.stack([bins_of(members[i]) for i in ids]).astype(np.int16) if ids else None
+    sizes = np.array([len(members[i]) for i in ids])
+    for k in range(1, len(ids)):
+        x, n = members[ids[k]], sizes[:k] + sizes[k]
+        differ = np.abs(bins[:k] - bins[k]).sum(1, dtype=np.int64)
+        for m in np.flatnonzero(7 * differ <= n):
+            if find(m) != find(k) and linked(x, members[ids[m]]):
+                root[find(k)] = find(m)
+    return [(ids[k], ids[find(k)]) for k in range(len(ids)) if find(k) != k]
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+def verify(batches):
+    """Keep the pairs (a, b, text_a, text_b) whose sets link."""
+    for batch in batches:
+        x, y = ([s for _, s in shingle_sets(batch.column(k))] for k in (2, 3))
+        keep = pa.array([linked(p, q) for p, q in zip(x, y)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Links (a, b) among the texts of each group of rows(cluster, block, id, text); groups are bounded by their making."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        ids = table_.column("id").to_numpy()
+        texts = table_.column("text").combine_chunks()
+        sets: dict[int, np.ndarray] = {}
+        at = 0
+        for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+            for row, s in shingle_sets(chunk):
+                if set_id(set_key(s)) == ids[at + row]:  # another row may bear the same doc_id
+                    sets[int(ids[at + row])] = s
+            at += len(chunk)
+        out = unify(sets)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.select("cluster", "block", "id", "text").groupBy("cluster", "block").applyInArrow(run, "a bigint, b bigint")
+
+
+def pairs_across(members: DataFrame, comp: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of different components (an id not in comp is its own) that share signatures enough to link.
+
+    Of each list all members but those of its largest component are strays; a pair is met where one of its members is.
+    """
+    named = members.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    named = stored(named.select("list_id", "id", "weight", "c"), "named")
+    of_list = named.groupBy("list_id", "c").agg(F.count("*").alias("rows"))
+    of_list = of_list.groupBy("list_id").agg(F.max(F.struct("rows", "c"))["c"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    open_ = stored(named.join(of_list, "list_id").join(info.select("id", "n", "slack"), "id"), "open")
+    # an id takes part in further pairs if the signatures it shares with other clusters suffice for a partner of its size
+    usual = F.expr("greatest(2, (n div 4) div 8)")  # usual_slack() of the smallest partner, or less
+    weak = F.expr("slack < greatest(2, (n div 3) div 8)")
+    ids = open_.groupBy("id", "n", "slack").agg(F.sum("weight").alias("shared"), F.sum(F.when(F.col("comps") > HOT, F.col("weight")).otherwise(0)).alias("hot"))
+    ids = ids.select("id", "hot", weak.alias("weak"), (F.col("hot") > F.col("slack")).alias("residual"), (weak | (F.col("shared") > usual)).alias("active"))
+    rows = open_.join(ids, "id").select("list_id", "id", "c", "n", "slack", "weight", "hot", "weak", "active", "residual", (F.col("comps") > HOT).alias("is_hot"), (F.col("c") != F.col("main")).alias("stray"))
+    side = lambda df, k: df.select("list_id", *[F.col(x).alias(f"{x}_{k}") for x in ("id", "c", "n", "slack", "hot", "weak", "residual", "stray", "active")], *(["weight", "is_hot"] if k == "x" else []))
+    # in a list that is not hot the strays ask and all answer; in a hot one residual ids ask; weak ids always ask
+    asks = side(rows.where("weak OR (active AND NOT is_hot AND stray) OR (residual AND is_hot)"), "x")
+    answers = side(rows, "y")
+    met = asks.join(answers, "list_id").where("c_x <> c_y AND 3 * greatest(n_x, n_y) <= 4 * least(n_x, n_y) AND (weak_x OR active_y)")
+    # where both ask, the pair is counted once
+    both_ask = "(weak_y OR (active_y AND NOT is_hot AND stray_y) OR (residual_y AND is_hot))"
+    met = met.where(f"NOT {both_ask} OR id_x < id_y").select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "weight", F.expr("weak_x OR weak_y OR residual_x OR residual_y").alias("sure"), F.expr("least(slack_x, slack_y) + 1 - least(hot_x, hot_y)").alias("need"))
+    return met.groupBy("a", "b").agg(F.sum("weight").alias("w"), F.max("sure").alias("sure"), F.max("need").alias("need")).where("sure OR w >= need").select("a", "b")
 
 
 def linked_sets(docs: DataFrame, info: DataFrame, n_signatures: float) -> DataFrame:
     """(id, component) of all sets that link with another.
 
-    First each shared signature's members are compared with its smallest member, which settles most groups; then members
-    of different components are compared with each other. A signature that still joins more than HOT components is
-    hot: sets share slack + 1 signatures or more with each partner, so hot signatures can be left out for a set that has
-    at most slack of them; a set with more is compared with all members of its hot signatures.
+    Candidates: each shared signature's members are paired with its smallest member; what possible() leaves forms
+    clusters. Members of one signature that lie in different clusters are then paired too. A signature that still joins
+    more than HOT clusters is hot: sets share slack + 1 signatures or more with each partner, so hot signatures can be
+    left out for a set that has at most slack of them; a set with more is paired with all members of its hot signatures.
+    So linking sets lie in one cluster. Texts are then brought together by cluster, once, and compared exactly. A cluster
+    of more than BLOCK members is dealt out in blocks, each with the cluster's two pivots; what the blocks leave outside
+    the cluster's main component is paired by signatures once more.
     """
     members = stored(shared_signatures(docs, n_signatures), "members")
     tidy(docs.sparkSession)
     least = members.groupBy("list_id").agg(F.min("id").alias("a"))
-    stars = members.join(least, "list_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    stars = members.join(least, "list_id").where("a <> id").groupBy("a", F.col("id").alias("b")).agg(F.sum("weight").alias("w"))
+    stars = stars.join(info.select(F.col("id").alias("b"), "slack"), "b").where("w > slack").select("a", "b")
     stars = stored(possible(stars, info), "stars")
-    first_ids = stored(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "ids")
-    sets = stored(sets_of(docs, first_ids, info), "sets")
+    comp = stored(components(stars), "components")
     tidy(docs.sparkSession)
-    links = stored(verified(stars, sets), "links")
-    comp = stored(components(links), "components")
-    # members by component: of each list all but those of its largest component are strays
-    named = members.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    named = stored(named.select("list_id", "id", "weight", "c"), "named")
-    of_list = named.groupBy("list_id", "c").agg(F.count("*").alias("rows"))
-    of_list = of_list.groupBy("list_id").agg(F.max(F.struct("rows", "c"))["c"].alias("main"), F.count("*").alias("comps"), F.sum("rows").alias("all_rows")).where("comps > 1")
-    open_ = stored(named.join(of_list, "list_id"), "open")
-    hot_of = open_.where(F.col("comps") > HOT).groupBy("id").agg(F.sum("weight").alias("hot")).join(info.select("id", "n", "slack"), "id")
-    residual = hot_of.where(F.col("hot") > F.col("slack")).select("id", F.lit(True).alias("residual"))
-    asks = open_.where((F.col("comps") <= HOT) & (F.col("c") != F.col("main"))).select("list_id", "id", "c")
-    asks = asks.unionByName(open_.where(F.col("comps") > HOT).join(residual, "id", "left_semi").select("list_id", "id", "c"))
-    asks = asks.join(info.select("id", F.col("n").alias("na")), "id").select("list_id", F.col("id").alias("x"), F.col("c").alias("cx"), "na")
-    answers = open_.join(info.select("id", F.col("n").alias("nb")), "id").select("list_id", F.col("id").alias("y"), F.col("c").alias("cy"), "nb")
-    more = asks.join(answers, "list_id").where("cx <> cy AND 3 * greatest(na, nb) <= 4 * least(na, nb)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stored(possible(more, info), "more")
-    extra_ids = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().join(first_ids, "id", "left_anti")
-    extra = stored(sets_of(docs, extra_ids, info), "sets")
-    more_links = verified(more, sets.unionByName(extra))
-    out = stored(components(links.unionByName(more_links)), "components")
-    dropped(members, stars, first_ids, sets, links, comp, named, open_, more, extra)
+    more = stored(possible(pairs_across(members, comp, info), info), "more")
+    clusters = comp
+    if not more.isEmpty():
+        clusters = stored(components(stars.unionByName(more)), "components")
+    tidy(docs.sparkSession)
+    # texts by cluster
+    size = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    placed = join_groups(clusters, size, "component", "size", max(1, clusters.count())).join(info.select("id", F.col("rep").alias("doc_id")), "id")
+    placed = placed.select("doc_id", "id", F.col("component").alias("cluster"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").join(placed, "doc_id")
+    texts = stored(texts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("doc_id"), "texts")
+    tidy(docs.sparkSession)
+    pivots = texts.where("blocks > 1").groupBy("cluster").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("p"), F.max(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("q"))
+    pivots = pivots.select("cluster", F.explode(F.array("p", "q")).alias("id"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+    spread = texts.where("blocks > 1").join(pivots, ["cluster", "id"], "left_semi").select("id", "text", "cluster", "blocks", every)
+    links = stored(compared(texts.unionByName(spread.select(*texts.columns))), "links")
+    out = stored(components(links), "components")
+    large = texts.where("blocks > 1").select("id", "cluster").join(out, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    main = large.groupBy("cluster", "c").agg(F.count("*").alias("rows")).groupBy("cluster").agg(F.max(F.struct("rows", "c"))["c"].alias("main"))
+    if large.join(main, "cluster").where("c <> main").isEmpty():
+        dropped(members, stars, more, texts, links)
+        return out
+    # large clusters: what the blocks left apart is compared pair by pair, where signatures and bins allow a link
+    apart = stored(large.select("id", "c").distinct(), "apart")
+    pairs = possible(pairs_across(members.join(apart.select("id"), "id", "left_semi"), apart.withColumnRenamed("c", "component"), info), info)
+    one = texts.select("id", "text").join(apart.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    pairs = pairs.join(one.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    out = stored(components(links.unionByName(pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint"))), "components")
+    dropped(members, stars, more, texts, links, apart)
     return out
 
 
