@@ -1,0 +1,33 @@
+"""Prompts, cache keys and replies of language models; routing between a gate and an escalation score."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def fill(prompt: str, text: Column, most: int = 1000) -> Column:
+    return F.replace(F.lit(prompt), F.lit("{text}"), F.substring(F.coalesce(text, F.lit("")), 1, most))
+
+
+def cache_key(text: Column, model: str, prompt: str) -> Column:
+    short = lambda c, n: F.substring(F.sha2(c, 256), 1, n)
+    return F.concat_ws(":", short(F.coalesce(text, F.lit("")), 16), F.lit(model), short(F.lit(prompt), 8))
+
+
+def parse_reply(reply: Column) -> dict[str, Column]:
+    """prediction and confidence: from the first {...}, else by keyword (1, 0.6), else (0, 0.5)."""
+    found = F.regexp_extract(reply, r"\{[^}]+\}", 0)
+    pred = F.get_json_object(found, "$.prediction").try_cast("int")
+    conf = F.get_json_object(found, "$.confidence").try_cast("double")
+    valid, word = F.get_json_object(found, "$").isNotNull(), F.lower(reply).rlike("phishing|malicious|attack")
+    return {"pred": F.when(valid, F.coalesce(pred, F.lit(0))).when(word, 1).otherwise(0), "conf": F.when(valid, F.coalesce(conf, F.lit(0.5))).when(word, 0.6).otherwise(0.5)}
+
+
+def positive_probability(pred: Column, conf: Column) -> Column:
+    return F.when(pred == 1, conf).otherwise(1 - conf)
+
+
+def routed(gate: Column, threshold: Column) -> Column:
+    """Whether the gate is too unsure to keep the row."""
+    return F.greatest(gate, 1 - gate) < threshold
