@@ -19,8 +19,14 @@ CHUNK = 1 << 20
 BINS = 256
 #: A signature that joins sets of more components than this is hot (see linked_sets).
 HOT = 64
+#: A shingle is frequent in a batch, and common, from so many documents on; at most MOST_COMMON are told to the tasks.
+FREQUENT = 4
+COMMON = 24
+MOST_COMMON = 200_000
 #: Members of a cluster that are compared in one task.
 BLOCK = 512
+#: Members of a list that one task pairs with as many others.
+LIST_BLOCK = 2_048
 #: Signatures of a shuffle partition.
 PER_PARTITION = 1_500_000
 
@@ -110,7 +116,10 @@ def band_parts(band: int) -> int:
     return math.ceil(0.42 * (2 << band)) + 4
 
 
-def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
+NONE = np.zeros(0, np.uint64)
+
+
+def signatures(s: np.ndarray, common: np.ndarray = NONE) -> tuple[np.ndarray, int]:
     """(signatures, slack) of a set.
 
     PartEnum (Arasu, Ganti, Kaushik 2006): in each size band the domain is partitioned by a hash, and a signature is the
@@ -118,12 +127,16 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
     as many as enumerated() says. Sets that link differ in at most tolerance() partitions, so the first slack + 1
     partitions that both have in common lie within those enumerated of either: they share slack + 1 signatures or more.
     A set with too few non-empty partitions (slack -1) adds its elements as signatures, so two such sets meet too.
+    common: sorted shingles of many documents. They have partitions of their own, last in the order, so that passages of
+    many documents seldom make a signature; any choice of them gives the same links.
     """
     n, out, slack = len(s), [], len(s)
     want = enumerated(n)
+    often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
     for band in bands(n):
         salt = np.uint64(0xA0761D6478BD642F * (band + 1) % (1 << 64))
-        p = mix64(s ^ salt) % np.uint64(band_parts(band))
+        parts = np.uint64(band_parts(band))
+        p = mix64(s ^ salt) % parts + often * parts
         order = np.argsort(p, kind="stable")
         p = p[order]
         at = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
@@ -142,24 +155,47 @@ def bins_of(s: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), key (128 bits of the set), id (64 of them), slack, bins (256 counts by element hash)."""
-    schema = "doc_id bigint, n bigint, key string, id bigint, slack bigint, bins binary"
+    """doc_id, n (set size), key (128 bits of the set), id (64 of them), bins (256 counts by element hash), and on one row
+    of each batch frequent: packed (shingle, documents) of those that at least FREQUENT documents of the batch have."""
+    schema = "doc_id bigint, n bigint, key string, id bigint, bins binary, frequent binary"
 
     def run(batches):
         for batch in batches:
-            n, key, slack, bins = [], [], [], []
+            n, key, bins, every = [], [], [], []
             for _, s in shingle_sets(batch.column(1)):
                 n.append(len(s))
                 key.append(set_key(s))
-                slack.append(signatures(s)[1] if len(s) else 0)
                 bins.append(bins_of(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array([set_id(k) for k in key], pa.int64()), pa.array(slack, pa.int64()), pa.array(bins, pa.binary())], names=["doc_id", "n", "key", "id", "slack", "bins"])
+                every.append(s)
+            frequent: list = [None] * len(n)
+            if n:
+                value, times = np.unique(np.concatenate(every), return_counts=True)
+                often = times >= FREQUENT
+                frequent[0] = np.stack([value[often], times[often].astype(np.uint64)]).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array([set_id(k) for k in key], pa.int64()), pa.array(bins, pa.binary()), pa.array(frequent, pa.binary())], names=["doc_id", "n", "key", "id", "bins", "frequent"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
-def shared_signatures(docs: DataFrame, n_signatures: float) -> DataFrame:
-    """(list_id, id, weight): the members of each distinct list of sets that share a signature, and how many signatures do.
+def common_shingles(each: DataFrame) -> np.ndarray:
+    """Shingles that the batches found frequent in COMMON documents or more: the commonest MOST_COMMON, sorted.
+
+    They only order the partitions of signatures(); which of them are found does not change any result."""
+
+    def unpack(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                value, times = np.frombuffer(raw.as_py(), np.uint64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.view(np.int64))], names=["g", "times"])
+
+    found = each.where("octet_length(frequent) > 0").select("frequent").mapInArrow(unpack, "g bigint, times bigint")
+    found = found.groupBy("g").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON)
+    top = found.orderBy(F.desc("times"), "g").limit(MOST_COMMON).select("g").toPandas()
+    return np.sort(top["g"].to_numpy(np.int64).view(np.uint64))
+
+
+def shared_signatures(docs: DataFrame, n_signatures: float, common: np.ndarray) -> DataFrame:
+    """(list_id, id, slack, weight): the members of each distinct list of sets that share a signature, and how many signatures do.
 
     A task sends each distinct set once, its signatures packed by bucket; a bucket sorts them and keeps those that two or
     more sets have. Equal lists (near copies share most of their signatures) become one with a weight."""
@@ -168,16 +204,16 @@ def shared_signatures(docs: DataFrame, n_signatures: float) -> DataFrame:
 
     def emit(batches):
         seen: set[int] = set()
-        sigs, ids, held = [], [], 0
+        sigs, ids, slacks, held = [], [], [], 0
 
         def flush():
-            s, i = np.concatenate(sigs), np.concatenate(ids)
+            s, i, k = np.concatenate(sigs), np.concatenate(ids), np.concatenate(slacks)
             b = (s % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
-            b, s, i = b[order], s[order], i[order]
+            b, s, i, k = b[order], s[order], i[order], k[order]
             at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
             ends = np.r_[at[1:], len(b)]
-            return pa.RecordBatch.from_arrays([pa.array(b[at], pa.int64()), pa.array([s[x:y].tobytes() for x, y in zip(at, ends)], pa.binary()), pa.array([i[x:y].tobytes() for x, y in zip(at, ends)], pa.binary())], names=["bucket", "sigs", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(b[at], pa.int64()), pa.array([s[x:y].tobytes() for x, y in zip(at, ends)], pa.binary()), pa.array([i[x:y].tobytes() for x, y in zip(at, ends)], pa.binary()), pa.array([k[x:y].tobytes() for x, y in zip(at, ends)], pa.binary())], names=["bucket", "sigs", "ids", "slacks"])
 
         for batch in batches:
             for _, s in shingle_sets(batch.column(0)):
@@ -188,47 +224,49 @@ def shared_signatures(docs: DataFrame, n_signatures: float) -> DataFrame:
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(me)
-                sig, _ = signatures(s)
+                sig, slack = signatures(s, common)
                 sigs.append(sig)
                 ids.append(np.full(len(sig), me, np.int64))
+                slacks.append(np.full(len(sig), slack, np.int32))
                 held += len(sig)
                 if held > 1_000_000:
                     yield flush()
-                    sigs, ids, held = [], [], 0
+                    sigs, ids, slacks, held = [], [], [], 0
         if sigs:
             yield flush()
 
     def group(batches):
-        sigs, ids = [], []
+        sigs, ids, slacks = [], [], []
         for batch in batches:
-            for s, i in zip(batch.column(1), batch.column(2)):
+            for s, i, k in zip(batch.column(1), batch.column(2), batch.column(3)):
                 sigs.append(np.frombuffer(s.as_py(), np.uint64))
                 ids.append(np.frombuffer(i.as_py(), np.int64))
+                slacks.append(np.frombuffer(k.as_py(), np.int32))
         if not sigs:
             return
-        s, i = np.concatenate(sigs), np.concatenate(ids)
-        del sigs, ids
+        s, i, k = np.concatenate(sigs), np.concatenate(ids), np.concatenate(slacks)
+        del sigs, ids, slacks
         order = np.argsort(s, kind="stable")
-        s, i = s[order], i[order]
+        s, i, k = s[order], i[order], k[order]
         new = np.r_[True, s[1:] != s[:-1]]
         at = np.flatnonzero(new)
         size = np.diff(np.r_[at, len(s)])
         many = np.repeat(size > 1, size)
-        s, i = s[many], i[many]
+        s, i, k = s[many], i[many], k[many]
         if not len(s):
             return
         order = np.lexsort((i, s))
-        s, i = s[order], i[order]
+        s, i, k = s[order], i[order], k[order]
         fresh = np.r_[True, (s[1:] != s[:-1]) | (i[1:] != i[:-1])]  # a set sent by several tasks counts once
-        s, i = s[fresh], i[fresh]
+        s, i, k = s[fresh], i[fresh], k[fresh]
         at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         size = np.diff(np.r_[at, len(s)])
         name = np.add.reduceat(mix64(i.view(np.uint64)), at)
         _, first, weight = np.unique(np.where(size > 1, name, 0), return_index=True, return_counts=True)
-        for k, w in zip(first, weight):
-            if size[k] > 1:
-                members = i[at[k] : at[k] + size[k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), name[k].view(np.int64))), pa.array(members), pa.array(np.full(len(members), w, np.int64))], names=["list_id", "id", "weight"])
+        for j, w in zip(first, weight):
+            if size[j] > 1:
+                part = slice(at[j], at[j] + size[j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size[j], name[j].view(np.int64))), pa.array(i[part]), pa.array(k[part].astype(np.int64)), pa.array(np.full(size[j], w, np.int64))], names=["list_id", "id", "slack", "weight"])
 
     def packed(batches):  # fewer, larger Arrow batches
         held, rows = [], 0
@@ -241,9 +279,9 @@ def shared_signatures(docs: DataFrame, n_signatures: float) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    sent = docs.selectExpr("cast(text as string) text").mapInArrow(emit, "bucket bigint, sigs binary, ids binary")
-    lists = sent.repartition(n, "bucket").mapInArrow(packed, "list_id bigint, id bigint, weight bigint")
-    return lists.groupBy("list_id", "id").agg(F.sum("weight").alias("weight"))
+    sent = docs.selectExpr("cast(text as string) text").mapInArrow(emit, "bucket bigint, sigs binary, ids binary, slacks binary")
+    lists = sent.repartition(n, "bucket").mapInArrow(packed, "list_id bigint, id bigint, slack bigint, weight bigint")
+    return lists.groupBy("list_id", "id", "slack").agg(F.sum("weight").alias("weight"))
 
 
 # -- verification -----------------------------------------------------------------------------------------------------
@@ -325,28 +363,52 @@ def pairs_across(members: DataFrame, comp: DataFrame, info: DataFrame) -> DataFr
     Of each list all members but those of its largest component are strays; a pair is met where one of its members is.
     """
     named = members.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    named = stored(named.select("list_id", "id", "weight", "c"), "named")
+    named = stored(named.select("list_id", "id", "slack", "weight", "c"), "named")
     of_list = named.groupBy("list_id", "c").agg(F.count("*").alias("rows"))
     of_list = of_list.groupBy("list_id").agg(F.max(F.struct("rows", "c"))["c"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = stored(named.join(of_list, "list_id").join(info.select("id", "n", "slack"), "id"), "open")
+    open_ = stored(named.join(of_list, "list_id").join(info.select("id", "n"), "id"), "open")
     # an id takes part in further pairs if the signatures it shares with other clusters suffice for a partner of its size
     usual = F.expr("greatest(2, (n div 4) div 8)")  # usual_slack() of the smallest partner, or less
     weak = F.expr("slack < greatest(2, (n div 3) div 8)")
     ids = open_.groupBy("id", "n", "slack").agg(F.sum("weight").alias("shared"), F.sum(F.when(F.col("comps") > HOT, F.col("weight")).otherwise(0)).alias("hot"))
-    ids = ids.select("id", "hot", weak.alias("weak"), (F.col("hot") > F.col("slack")).alias("residual"), (weak | (F.col("shared") > usual)).alias("active"))
-    rows = open_.join(ids, "id").select("list_id", "id", "c", "n", "slack", "weight", "hot", "weak", "active", "residual", (F.col("comps") > HOT).alias("is_hot"), (F.col("c") != F.col("main")).alias("stray"))
-    side = lambda df, k: df.select("list_id", *[F.col(x).alias(f"{x}_{k}") for x in ("id", "c", "n", "slack", "hot", "weak", "residual", "stray", "active")], *(["weight", "is_hot"] if k == "x" else []))
-    # in a list that is not hot the strays ask and all answer; in a hot one residual ids ask; weak ids always ask
-    asks = side(rows.where("weak OR (active AND NOT is_hot AND stray) OR (residual AND is_hot)"), "x")
-    answers = side(rows, "y")
-    met = asks.join(answers, "list_id").where("c_x <> c_y AND 3 * greatest(n_x, n_y) <= 4 * least(n_x, n_y) AND (weak_x OR active_y)")
-    # where both ask, the pair is counted once
-    both_ask = "(weak_y OR (active_y AND NOT is_hot AND stray_y) OR (residual_y AND is_hot))"
-    met = met.where(f"NOT {both_ask} OR id_x < id_y").select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "weight", F.expr("weak_x OR weak_y OR residual_x OR residual_y").alias("sure"), F.expr("least(slack_x, slack_y) + 1 - least(hot_x, hot_y)").alias("need"))
+    ids = ids.select("id", "n", "slack", "hot", weak.alias("weak"), (F.col("hot") > F.col("slack")).alias("residual"), (weak | (F.col("shared") > usual)).alias("active"))
+    rows = open_.join(ids.drop("n", "slack"), "id").join(info.select("id", "bins"), "id")
+    rows = rows.withColumns({"is_hot": F.col("comps") > HOT, "stray": F.col("c") != F.col("main")})
+    # in a list that is not hot the strays ask and all active ids answer; in a hot one residual ids ask; weak ids ask all
+    rows = rows.withColumn("asks", F.expr("weak OR (active AND NOT is_hot AND stray) OR (residual AND is_hot)"))
+    use = rows.groupBy("list_id").agg(F.count_if("asks").alias("askers"), F.count_if("weak").alias("weaks"), F.count("*").alias("size")).where("askers > 0")
+    rows = rows.join(use, "list_id").where("asks OR active OR weaks > 0").withColumn("nb", F.ceil(F.col("size") / LIST_BLOCK))
+    other = F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)
+    own = F.pmod(F.xxhash64("id"), F.col("nb"))
+    cols = ["list_id", "id", "c", "n", "slack", "weight", "hot", "weak", "active", "residual", "asks", "bins"]
+    sides = rows.where("asks").select(*cols, own.alias("i"), F.explode(other).alias("j"), F.lit(True).alias("is_ask")).unionByName(rows.select(*cols, F.explode(other).alias("i"), own.alias("j"), F.lit(False).alias("is_ask")))
+    met = sides.groupBy("list_id", "i", "j").applyInArrow(meet, "a bigint, b bigint, weight bigint, sure boolean, need bigint")
     return met.groupBy("a", "b").agg(F.sum("weight").alias("w"), F.max("sure").alias("sure"), F.max("need").alias("need")).where("sure OR w >= need").select("a", "b")
 
 
-def linked_sets(docs: DataFrame, info: DataFrame, n_signatures: float) -> DataFrame:
+def meet(t: pa.Table) -> pa.Table:
+    """Pairs of askers and answerers of a list, of different components, that sizes and bins allow to link; where both
+    ask, the pair is made once."""
+    col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "c", "n", "slack", "weight", "hot", "weak", "active", "residual", "asks", "is_ask")}
+    bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+    is_ask = col["is_ask"].astype(bool)
+    ask, answer = np.flatnonzero(is_ask), np.flatnonzero(~is_ask)
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for x in ask:
+        y = answer
+        big, small = np.maximum(col["n"][y], col["n"][x]), np.minimum(col["n"][y], col["n"][x])
+        ok = (col["c"][y] != col["c"][x]) & (3 * big <= 4 * small) & (bool(col["weak"][x]) | col["active"][y].astype(bool)) & (~col["asks"][y].astype(bool) | (col["id"][x] < col["id"][y]))
+        y = y[ok]
+        y = y[7 * np.abs(bins[y] - bins[x]).sum(1, dtype=np.int64) <= col["n"][y] + col["n"][x]] if len(y) else y
+        if len(y):
+            flag = lambda c: col[c][y].astype(bool) | bool(col[c][x])
+            for k, v in enumerate((np.minimum(col["id"][x], col["id"][y]), np.maximum(col["id"][x], col["id"][y]), np.full(len(y), col["weight"][x]), flag("weak") | flag("residual"), np.minimum(col["slack"][x], col["slack"][y]) + 1 - np.minimum(col["hot"][x], col["hot"][y]))):
+                out[k].append(v)
+    kinds = (np.int64, np.int64, np.int64, bool, np.int64)
+    return pa.table({name: pa.array(np.concatenate(v).astype(kind) if v else np.zeros(0, kind)) for name, v, kind in zip(("a", "b", "weight", "sure", "need"), out, kinds)})
+
+
+def linked_sets(docs: DataFrame, info: DataFrame, n_signatures: float, common: np.ndarray) -> DataFrame:
     """(id, component) of all sets that link with another.
 
     Candidates: each shared signature's members are paired with its smallest member; what possible() leaves forms
@@ -357,15 +419,15 @@ def linked_sets(docs: DataFrame, info: DataFrame, n_signatures: float) -> DataFr
     of more than BLOCK members is dealt out in blocks, each with the cluster's two pivots; what the blocks leave outside
     the cluster's main component is paired by signatures once more.
     """
-    members = stored(shared_signatures(docs, n_signatures), "members")
+    members = stored(shared_signatures(docs, n_signatures, common), "members")
     tidy(docs.sparkSession)
     least = members.groupBy("list_id").agg(F.min("id").alias("a"))
-    stars = members.join(least, "list_id").where("a <> id").groupBy("a", F.col("id").alias("b")).agg(F.sum("weight").alias("w"))
-    stars = stars.join(info.select(F.col("id").alias("b"), "slack"), "b").where("w > slack").select("a", "b")
+    stars = members.join(least, "list_id").where("a <> id").groupBy("a", F.col("id").alias("b"), "slack").agg(F.sum("weight").alias("w"))
+    stars = stars.where("w > slack").select("a", "b")
     stars = stored(possible(stars, info), "stars")
     comp = stored(components(stars), "components")
     tidy(docs.sparkSession)
-    more = stored(possible(pairs_across(members, comp, info), info), "more")
+    more = stored(pairs_across(members, comp, info), "more")
     clusters = comp
     if not more.isEmpty():
         clusters = stored(components(stars.unionByName(more)), "components")
@@ -390,7 +452,7 @@ def linked_sets(docs: DataFrame, info: DataFrame, n_signatures: float) -> DataFr
         return out
     # large clusters: what the blocks left apart is compared pair by pair, where signatures and bins allow a link
     apart = stored(large.select("id", "c").distinct(), "apart")
-    pairs = possible(pairs_across(members.join(apart.select("id"), "id", "left_semi"), apart.withColumnRenamed("c", "component"), info), info)
+    pairs = pairs_across(members.join(apart.select("id"), "id", "left_semi"), apart.withColumnRenamed("c", "component"), info)
     one = texts.select("id", "text").join(apart.select("id"), "id", "left_semi").dropDuplicates(["id"])
     pairs = pairs.join(one.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     out = stored(components(links.unionByName(pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint"))), "components")
@@ -407,11 +469,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     128-bit hashes of their 64-bit shingle hashes, and in the join by 64 bits of them.
     """
     each = stored(set_table(docs), "sets-of-docs")
-    info = stored(each.where("n > 0").groupBy("key", "id", "n", "slack").agg(F.min("doc_id").alias("rep"), F.first("bins").alias("bins"), F.count("*").alias("copies")), "distinct")
+    info = stored(each.where("n > 0").groupBy("key", "id", "n").agg(F.min("doc_id").alias("rep"), F.first("bins").alias("bins"), F.count("*").alias("copies")), "distinct")
     total, sizes = each.count(), info.agg(F.sum("n")).first()[0]
     if not sizes:
         return each.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    comp = linked_sets(docs, info, 0.55 * sizes)
+    comp = linked_sets(docs, info, 0.55 * sizes, common_shingles(each))
     named = info.select("key", "id", "rep", "copies").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     groups = named.join(least, "c").select("key", "copies", "component_id")
