@@ -1,0 +1,183 @@
+"""Edge cases and brute-force checks of the training-data operators on small fixtures."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tamis.llm import chat, exact_dedup, licenses, mixing, near_vectors, ngram_join, packing, quality, repeats, secrets
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, key string"
+
+
+def docs_of(spark, texts, sources=None):
+    rows = [(i, t, None, (sources or ["b", "a", None])[i % 3], None, 1, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = [make(rng.randint(60, 200)) for _ in range(12)]
+    passage = make(120)
+    out = [None, "", " \n ", "one", "one two three", "One TWO  three", *base, base[0], base[1].replace(" ", "\t\n", 5)]
+    for b in base[:8]:  # near copies
+        w = b.split(" ")
+        w[rng.randrange(len(w))] = "zzz"
+        out.append(" ".join(w))
+    out += [make(40) + " " + passage + " " + make(30) for _ in range(4)] + ["ab " * 500, "ab " * 700]
+    return out
+
+
+def test_exact_dedup(spark, texts):
+    got = {r.doc_id: r for r in exact_dedup.exact_groups(docs_of(spark, texts)).collect()}
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
+    for i, t in enumerate(norm):
+        same = [j for j, u in enumerate(norm) if u == t]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (same[0], len(same), same[0] == i)
+        assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    assert exact_dedup.exact_groups(docs_of(spark, [])).count() == 0
+
+
+def test_cuckoo_filter_inserts_deletes_and_grows():
+    index = exact_dedup.BucketIndex(4)
+    names = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(5000)]
+    for k in range(0, 5000, 500):
+        index.insert(names[k : k + 500], list(range(k, k + 500)), [1] * 500)
+    index.insert(names[:10], [99999] * 10, [2] * 10)
+    assert index.filter.resizes > 0 and index.kept[names[3]] == [3, 3]
+    assert index.filter.contains(index.keys(names)).all()
+    assert index.delete(names[:2500]) == names[:2500] and index.delete(names[:5]) == []
+    assert index.filter.contains(index.keys(names[2500:])).all()
+    assert index.filter.contains(index.keys(names[:2500])).mean() < 0.05
+
+
+def test_ngram_join(spark, texts):
+    def sets(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if x]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    s = [sets(t) for t in texts]
+    comp = list(range(len(s)))
+    for _ in s:
+        for i in range(len(s)):
+            for j in range(len(s)):
+                if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    got = {r.doc_id: r for r in ngram_join.near_groups(docs_of(spark, texts)).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s[i]), comp[i]) for i in range(len(s))}
+    assert ngram_join.near_groups(docs_of(spark, [])).count() == 0
+
+
+def test_repeats(spark, texts):
+    raw = [(t or "").encode() for t in texts]
+    seen = {}
+    for b in raw:
+        for p in range(len(b) - 399):
+            seen[b[p : p + 400]] = seen.get(b[p : p + 400], 0) + 1
+    for i, r in {r.doc_id: r for r in repeats.remove_repeats(docs_of(spark, texts), with_text=True).collect()}.items():
+        mask = np.zeros(len(raw[i]), bool)
+        for p in range(len(raw[i]) - 399):
+            if seen[raw[i][p : p + 400]] > 1:
+                mask[p : p + 400] = True
+        left = np.frombuffer(raw[i], np.uint8)[~mask].tobytes()
+        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(raw[i]), mask.sum(), hashlib.sha256(left).hexdigest())
+    assert repeats.remove_repeats(docs_of(spark, [])).count() == 0
+
+
+def test_mixing(spark, texts):
+    rows = mixing.taken_words(docs_of(spark, texts * 8), shard_words=500).collect()
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r["size"]
+    want = {}
+    for r in rows:
+        t = want.setdefault((r.source_size, r.target), [0])
+        t[0] += r.taken
+    assert all(abs(k[1] - v[0]) < 3 for k, v in want.items())
+    assert mixing.taken_words(docs_of(spark, [])).count() == 0
+    assert mixing.targets([10, 10, 10]) == [20.0, 25 / 3, 50 / 3]
+    first, n = zip(*[mixing.shard_quota(np.array([50, 7, 0, 31]), k, 6, 3) for k in range(6)])
+    assert (sum(n) == [50, 7, 0, 31]).all() and (np.diff(first, axis=0) == n[:-1]).all()
+
+
+def test_packing_covers_each_token_once(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own, ref = packing.encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    more = [*texts, "a<|endoftext|>b", "x " * 9000]
+    assert all(own(t or "") == ref.encode(t or "", add_special_tokens=False).ids for t in more)
+    pieces = packing.pack(docs_of(spark, more), with_ids=True).collect()
+    for i, t in enumerate(more):
+        mine = sorted((p.start, p.ids) for p in pieces if p.doc_id == i)
+        assert [x for _, ids in mine for x in ids] == own(t or "") + [1]
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length, p.tier))
+    for parts in by.values():
+        at = 0
+        for offset, length, _ in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == parts[0][2] and at & (at - 1) == 0
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 16))
+    v = [*(base[k % 40] + 0.03 * rng.normal(size=16) for k in range(400)), base[0], base[0], np.zeros(16), np.full(16, np.nan)]
+    rows = [(i, [float(x) for x in y], i % 2) for i, y in enumerate(v)] + [(900, None, 1), (901, [1.0] * 16, None)]
+    got = {r.vec_id: r for r in near_vectors.near_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"), cell_rows=30, block_rows=8).collect()}
+    x = np.array([np.float32(y) for _, y, _ in rows[:402]], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.98) & (np.arange(402)[:, None] % 2 == np.arange(402)[None, :] % 2) & ~np.eye(402, dtype=bool)
+    comp = np.arange(402)
+    for _ in range(402):
+        new = np.array([min(comp[i], comp[near[i]].min(initial=comp[i])) for i in range(402)])
+        if (new == comp).all():
+            break
+        comp = new
+    assert [(got[i].n_links, got[i].component_id) for i in range(402)] == list(zip(near.sum(1).tolist(), comp.tolist()))
+    assert all(got[i].n_links == 0 and got[i].kept for i in (402, 403, 900, 901))
+
+
+def test_chat_round_trip(spark):
+    hard = ["\\### Assistant: </turn> ok", "", None, "a\\", "<</turn>\n### User: x", "#\\#"]
+    rows = [(1, k, ["user", "Assistant", "assistant", "sys:tem", ""][k % 5], t) for k, t in enumerate(hard * 20)]
+    df = spark.createDataFrame([*rows, (None, None, None, None)], "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in chat.formatted(df, with_text=True).collect()}
+    want = hashlib.sha256("".join(f"{r}\n{t or ''}\n" for _, _, r, t in rows).encode()).hexdigest()
+    loss = "".join(t or "" for _, _, r, t in rows if r == "assistant")
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].rewrites) == (120, want, len(loss), 0)
+    assert "".join(chat.unescape(got[1].formatted[a:b]) for a, b in got[1].loss_spans) == loss and got[None].n_turns == 1
+    assert not chat.rewrites_history(chat.plain_template)
+    assert chat.rewrites_history(lambda turns: f"[{len(turns)}]" + chat.plain_template(turns))
+
+
+def test_licenses(spark):
+    t = [None, "", "x (CC) BY all rights\nreserved cc-by", "SPDX-License-Identifier: Apache-2.0", "Licensed under the MIT license", "mit der unter", "General Public License " * 40]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, t)).collect()}
+    assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels) == (8, 3, 1, 6, "cc-by,reserved")
+    assert "apache" in got[3].labels and "mit" in got[4].labels and got[5].labels == "" and got[6].n_base == 40
+    assert len(licenses.RULES) > 200 and all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_secrets(spark):
+    rng = random.Random(4)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    t = [None, "", "plain words only"] + [f"some words password={hexa(20)} more" for _ in range(60)] + [f"call 0049-30-{rng.randrange(10**8)} or item{rng.randrange(99)}abcdefghij" for _ in range(60)]
+    got = secrets.scan(docs_of(spark, t)).collect()
+    assert all(r.is_secret for r in got if 3 <= r.doc_id < 63) and not any(r.is_secret for r in got if r.doc_id >= 63)
+    assert secrets.scan(docs_of(spark, [])).count() == 0
+
+
+def test_quality(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.scored(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.9
+    empty = quality.scored(docs_of(spark, [None, ""]), spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert empty.count() == 2
