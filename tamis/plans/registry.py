@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamis.functions import email, network, replies
-from tamis.operators import metrics, prevalence, splits
+from tamis.operators import learn, metrics, prevalence, splits
 
 from . import views
 from .views import EMAILS, PACKETS, PREDICTIONS
@@ -402,3 +402,32 @@ def flow_router_report(spark, sf_dir):
     f = f.withColumns({"routed": far, "final": F.when(far, F.col("llm")).otherwise(F.col("gate"))})
     hit, pos = F.col("final") >= 0.5, F.col("label") == 1
     return f.groupBy("protocol").agg(F.count("*").alias("flows"), F.count_if("routed").alias("routed"), F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn"))
+
+
+NUMBERS = ["pkt_count", "total_bytes", "max_pkt_len", "mean_pkt_len", "mean_iat_ms", "std_iat_ms"]
+
+
+def _folded(spark, sf_dir):
+    f = flow_table(spark, sf_dir).withColumn("flow", network.flow_id(*KEYS))
+    return splits.group_folds(f, "flow", 3)
+
+
+@query()
+def flow_out_of_fold(spark, sf_dir):
+    """Out-of-fold scores of a linear model over flows."""
+    return learn.out_of_fold(_folded(spark, sf_dir), NUMBERS, learn.logistic(), 3).select("flow", "fold", "label", "p1")
+
+
+@query()
+def flow_boosted_holdout(spark, sf_dir):
+    """Boosted trees fitted on two folds, scored on the third."""
+    rows = _folded(spark, sf_dir)
+    return learn.fit_score(rows.where("fold <> 0"), rows.where("fold = 0"), NUMBERS, learn.boosted_trees(10, 4)).select("flow", "label", "p1")
+
+
+@query()
+def calibrated_scores(spark, sf_dir):
+    """Platt and isotonic calibration, fitted on half of the messages, of the other half."""
+    e = views.emails(spark, sf_dir).select("doc_id", "label", "score")
+    cal, test = e.where("doc_id % 2 = 0"), e.where("doc_id % 2 = 1")
+    return learn.platt(cal, test).select("doc_id", F.col("p1").alias("platt")).join(learn.isotonic(cal, test).select("doc_id", F.col("p1").alias("isotonic")), "doc_id")
