@@ -185,7 +185,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train(x, labels, threshold)
     if model is None:
         return docs
-    column = F.pandas_udf(lambda texts: pd.Series([float(model.score(features(t)[None, :])[0]) for t in texts]), "double")
+    column = F.pandas_udf(lambda texts: pd.Series(model.score(np.stack([features(t) for t in texts]).astype(np.float64))) if len(texts) else pd.Series([], dtype="float64"), "double")
     return docs.where(column(F.col("text").cast("string")) >= threshold)
 
 
