@@ -111,3 +111,27 @@ def netflow_sentence() -> Column:
     body = F.format_string("A %s flow from port %s to port %s (direction %s), lasting %.3f s with %d packets totaling %d bytes, of which the source sent %d bytes", F.upper("proto"), port_label(F.col("sport")), port_label(F.col("dport")), F.trim("dir"), "dur", F.col("tot_pkts").cast("bigint"), F.col("tot_bytes").cast("bigint"), F.col("src_bytes").cast("bigint"))
     state = F.trim("state")
     return F.concat(body, F.when((state != "") & (F.lower(state) != "nan"), F.concat(F.lit("; connection state "), state)).otherwise(""), F.lit("."))
+
+
+def packet_sentence() -> Column:
+    """A packet in words; the flags only for TCP."""
+    flags = F.array_compact(F.array(*[F.when(F.col(f"tcp_flag_{f}") == 1, f.upper()) for f in ("syn", "ack", "fin", "rst", "psh", "urg")]))
+    flags = F.concat(F.lit(", flags=["), F.when(F.size(flags) > 0, F.array_join(flags, ",")).otherwise("none"), F.lit("]"))
+    body = F.format_string("Packet: protocol=%s, src_port=%s, dst_port=%s, pkt_len=%d, ttl=%d, interarrival_ms=%.2f", "protocol", port_label(F.col("src_port")), port_label(F.col("dst_port")), "pkt_len", "ttl", "interarrival_ms")
+    return F.concat(body, F.when(F.col("protocol") == "TCP", flags).otherwise(""))
+
+
+def significant(c: Column, digits: int = 4) -> Column:
+    """A number with so many significant digits, without trailing zeros; an exponent where it is below -4 or needs one."""
+    science = F.format_string(f"%.{digits - 1}e", c)
+    power = F.regexp_extract(science, "e([+-][0-9]+)$", 1).cast("int")
+    bare = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"[.]?0+$", "")).otherwise(s)
+    out = F.when(c == 0, "0")
+    for e in range(-4, digits):
+        out = out.when(power == e, bare(F.format_string(f"%.{digits - 1 - e}f", c)))
+    return out.otherwise(F.concat(bare(F.regexp_extract(science, "^[^e]+", 0)), F.regexp_extract(science, "e.*$", 0)))
+
+
+def statistic_sentence(values: dict[str, Column]) -> Column:
+    """name=value pairs of a row of statistics."""
+    return F.concat(F.lit("Packet stats: "), F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), v) for k, v in values.items()]))

@@ -9,9 +9,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import quantiles
+
 
 def boosted_trees(iterations: int = 100, depth: int = 6) -> Estimator:
     return GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=0.1, weightCol="weight", featuresCol="v", labelCol="label", seed=42)
@@ -25,13 +27,30 @@ def logistic() -> Estimator:
     return LogisticRegression(weightCol="weight", featuresCol="v", labelCol="label", maxIter=50)
 
 
+def clean(c: str) -> Column:
+    """The column as a number; NaN and infinities are null."""
+    x = F.col(c).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+
+
+def medians(rows: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Exact medians of the columns that hold numbers: one small row for each column."""
+    return {r["name"]: r["value"] for r in quantiles(rows, columns, 0.5).collect()}
+
+
+def numeric_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with the columns as numbers: missing and infinite ones take the median, a column without any number goes."""
+    middle = medians(rows, columns)
+    return rows.withColumns({c: F.coalesce(clean(c), F.lit(middle[c])) for c in columns if c in middle}).drop(*[c for c in columns if c not in middle])
+
+
 def fit_score(train: DataFrame, test: DataFrame, columns: list[str], estimator: Estimator) -> DataFrame:
     """test with p1. Medians and class weights come from train only; a train side of one class gives null scores."""
-    first = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns], F.avg("label").alias("_prior")).first()
+    first = train.agg(F.avg("label").alias("_prior")).first()
     if first["_prior"] is None or first["_prior"] in (0.0, 1.0):
         return test.withColumn("p1", F.lit(None).cast("double"))
-    clean = lambda c: F.when(F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")), None).otherwise(F.col(c).cast("double"))
-    ready = lambda df: VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="v").transform(df.withColumns({f"_{c}": F.coalesce(clean(c), F.lit(first[c] or 0.0)) for c in columns}))
+    middle = medians(train, columns)
+    ready = lambda df: VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="v").transform(df.withColumns({f"_{c}": F.coalesce(clean(c), F.lit(middle.get(c, 0.0))) for c in columns}))
     weight = F.when(F.col("label") == 1, (1 - first["_prior"]) / first["_prior"]).otherwise(1.0)
     model = estimator.fit(ready(train).select("v", F.col("label").cast("double").alias("label"), weight.alias("weight")))
     out = model.transform(ready(test).withColumn("weight", F.lit(1.0)))

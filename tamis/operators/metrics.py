@@ -89,3 +89,26 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
     total = g.agg(F.sum("n").alias("total"), F.sum("sq").cast("double").alias("all_sq"), F.sum(F.abs(F.col("sy") - F.col("sp"))).cast("double").alias("all_gap"))
     out = every.crossJoin(F.broadcast(total))  # one row
     return out.select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.col("sp").cast("double") / F.col("n"), 6).alias("mean_confidence"), F.round(F.col("sy") / F.col("n"), 6).alias("positive_rate"), F.round(F.col("all_sq") / F.col("total"), 6).alias("brier"), F.round(F.col("all_gap") / F.col("total"), 6).alias("ece"))
+
+
+def quantiles(rows: DataFrame, columns: list[str], q: float, parts: int = 64) -> DataFrame:
+    """name, value: the exact quantile q of each column (linear between neighbours); nulls, NaN and infinities are left out.
+
+    Rows collapse to distinct values; approximate quantiles cut these in ranges that are summed alone, as in prefix_counts."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]))
+    d = rows.select(pairs.alias("x")).select("x.name", "x.v").where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')").groupBy("name", "v").agg(F.count("*").alias("n"))
+    cuts = d.groupBy("name").agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], 1000).alias("cuts"))  # a row for each column
+    d = d.join(F.broadcast(cuts), "name").select("name", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("_r"))
+    ranges = d.groupBy("name", "_r").agg(F.sum("n").alias("rn"))
+    before = F.coalesce(F.sum("rn").over(W.partitionBy("name").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("name", "_r", before.alias("below"), F.sum("rn").over(W.partitionBy("name")).alias("total"))
+    run = F.sum("n").over(W.partitionBy("name", "_r").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    at = (F.col("total") - 1) * F.lit(q)
+    d = d.join(ranges, ["name", "_r"]).select("name", "v", (F.col("below") + run).alias("upto"), at.alias("at"))
+    g = d.groupBy("name").agg(F.first("at").alias("at"), F.min(F.when(F.col("upto") > F.floor("at"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v"))).alias("b"))
+    return g.select("name", (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("value"))
+
+
+def summary(cells: DataFrame, by: list[str], metric: str) -> DataFrame:
+    """Median, range and number of a metric over small result rows; nulls are skipped, bundles counts all."""
+    return cells.groupBy(*by).agg(F.count("*").alias("bundles"), F.count(metric).alias("n"), F.round(F.percentile(metric, F.lit(0.5)), 7).alias("median"), F.min(metric).alias("lowest"), F.max(metric).alias("highest"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import conditional_rates
+from .metrics import conditional_rates, wilson
 
 NEGATIVES = ["ham", "bulk_spam", "scam_fraud", "unknown_nonphishing"]
 
@@ -56,3 +57,30 @@ def bootstrap(scored: DataFrame, by: list[str], group: str, replicates: int, sal
     r = w.groupBy(*by, "rep", "subtype").agg(F.sum(F.col("w") * F.col("k")).alias("k"), F.sum(F.col("w") * F.col("n")).alias("n")).where("n > 0")
     rate = F.col("k") / F.col("n")
     return r.groupBy(*by, "subtype").agg(F.count("*").alias("replicates"), F.round(F.percentile(rate, F.lit(0.025)), 6).alias("lo"), F.round(F.percentile(rate, F.lit(0.975)), 6).alias("hi"))
+
+
+def threshold_rates(scored: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
+    """For each distinct score of each group: the alert rate of every subtype at that threshold, as structs for grid().
+
+    Counts by distinct score are summed in ranges of the score, so no task sees all scores of a group."""
+    kinds = ["phishing", *NEGATIVES]
+    d = scored.where("score IS NOT NULL").groupBy(*by, "score").agg(*[F.count_if(F.col("subtype") == s).alias(s) for s in kinds]).withColumn("_r", F.floor(F.col("score") * parts))
+    ranges = d.groupBy(*by, "_r").agg(*[F.sum(s).alias(f"r_{s}") for s in kinds])
+    above = W.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(*by, "_r", *[F.coalesce(F.sum(f"r_{s}").over(above), F.lit(0)).alias(f"a_{s}") for s in kinds], *[F.sum(f"r_{s}").over(W.partitionBy(*by)).alias(f"t_{s}") for s in kinds])
+    run = W.partitionBy(*by, "_r").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    d = d.join(ranges, [*by, "_r"]).select(*by, "score", *[(F.col(f"a_{s}") + F.sum(s).over(run)).alias(f"k_{s}") for s in kinds], *[f"t_{s}" for s in kinds])
+
+    def rate(s: str) -> Column:
+        k, n = F.col(f"k_{s}"), F.col(f"t_{s}")
+        lo, hi = wilson(k, n)
+        return F.when(n > 0, F.struct(k.alias("numerator"), n.alias("denominator"), (k / n).alias("point"), lo.alias("lo"), hi.alias("hi"), (1 / n).alias("resolution"))).alias(s)
+
+    return d.select(*by, "score", *[rate(s) for s in kinds])
+
+
+def projected_threshold(rates: DataFrame, by: list[str], prior: float, spam_share: float, target: float, conservative: bool = False) -> DataFrame:
+    """Lowest score of each group whose projected precision meets the target and that a positive reaches; null if there is none."""
+    g = grid(rates, [prior], [spam_share], target)
+    meets = (F.col("precision_conservative" if conservative else "precision_point") >= target) & (F.col("phishing.numerator") > 0)
+    return g.groupBy(*by).agg(F.min(F.when(meets, F.col("score"))).alias("threshold"))

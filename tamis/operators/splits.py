@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .metrics import quantiles
+
 
 def draw(key: Column, salt: str) -> Column:
     """A number in [0, 1] from a key: eight hex digits of SHA-256(salt:key)."""
@@ -28,7 +30,7 @@ def stratified_split(rows: DataFrame, by: list[str], key: str, test: float, salt
 
 def temporal_split(rows: DataFrame, time: str, train: float = 0.8) -> DataFrame:
     """Rows up to the exact percentile of time are train; ties at the cut all go to train, so no time is on both sides."""
-    cut = rows.agg(F.percentile(F.col(time).cast("double"), F.lit(train)).alias("_cut"))
+    cut = quantiles(rows, [time], train).select(F.col("value").alias("_cut"))
     return rows.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col(time) <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
 
 
@@ -87,3 +89,43 @@ def hard_negatives(rows: DataFrame, fraction: float, key: str, salt: str = "42")
     pos, ham = F.col("kind") == "pos", F.col("kind") == "ham"
     conditions = F.array_compact(F.array(F.when(pos | ham, "A"), F.when(pos | (ham & (F.col("rank") <= F.col("_ham") - F.col("_k"))) | ((F.col("kind") == "hard") & (F.col("rank") <= F.col("_k"))), "B"), F.when(pos | ham | ((F.col("kind") == "hard") & (F.col("rank") <= F.col("_k"))), "C")))
     return r.withColumn("condition", F.explode(conditions)).drop("rank", "class_size", "_ham", "_hard", "_k")
+
+
+def timeline(rows: DataFrame, by: list[str], time: str, tie: str, width: int) -> DataFrame:
+    """rank (from 1, by time, then tie) and class_size of each row in its class; rows without time are left out.
+
+    Stretches of width are counted first, so a task ranks one stretch of a class and not the class."""
+    b = rows.where(F.col(time).isNotNull()).withColumn("_b", F.floor(F.col(time) / width))
+    one = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by] or [F.lit("")]
+    b = b.withColumn("_c", F.concat_ws("|", *one))
+    counts = b.groupBy("_c", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_c").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_c", "_b", before.alias("_before"), F.sum("_n").over(W.partitionBy("_c")).alias("class_size"))
+    rank = F.row_number().over(W.partitionBy("_c", "_b").orderBy(time, tie)) + F.col("_before")
+    return b.join(counts, ["_c", "_b"]).withColumn("rank", rank).drop("_b", "_c", "_before")
+
+
+def forward_chaining(rows: DataFrame, time: str, tie: str, k: int, width: int) -> DataFrame:
+    """fold 0 to k - 1 by time, equal blocks that each follow all they are trained on; rows of the first stretch have none."""
+    t = timeline(rows, [], time, tie, width)
+    block = F.expr(f"class_size div {k + 1}")
+    past = F.col("rank") - 1 - (F.col("class_size") - k * block)
+    return t.withColumn("fold", F.when((past >= 0) & (block > 0), F.floor(past / block)).cast("int")).drop("rank", "class_size")
+
+
+def smoke_cap(rows: DataFrame, limit: int, key: str, salt: str = "42") -> DataFrame:
+    """At most max(limit, 200) rows by hash of the key, in the class proportions, with five positives or more where there are."""
+    n = max(limit, 200)
+    total = rows.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("p")).first()
+    if not total["n"]:
+        return rows
+    positives = min(total["p"], max(5, round(n * total["p"] / total["n"])))
+    take = lambda label, k: rows.where(F.col("label") == label).orderBy(order_key(F.col(key), salt), key).limit(k)
+    return take(1, positives).unionByName(take(0, n - positives))
+
+
+def fingerprint(rows: DataFrame, by: list[str], order: str, digest: str, block: int) -> DataFrame:
+    """SHA-256 over the digests of each group in order; blocks of the order column are hashed first, so no task lists a group."""
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["h"]), "")
+    b = rows.groupBy(*by, F.floor(F.col(order) / block).alias("_b")).agg(F.sha2(text(F.struct(F.col(order).alias("o"), F.col(digest).alias("h"))), 256).alias("h"))
+    return b.groupBy(*by).agg(F.count("*").alias("blocks"), F.sha2(text(F.struct(F.col("_b").alias("o"), F.col("h"))), 256).alias("fingerprint"))

@@ -431,3 +431,6 @@ def calibrated_scores(spark, sf_dir):
     e = views.emails(spark, sf_dir).select("doc_id", "label", "score")
     cal, test = e.where("doc_id % 2 = 0"), e.where("doc_id % 2 = 1")
     return learn.platt(cal, test).select("doc_id", F.col("p1").alias("platt")).join(learn.isotonic(cal, test).select("doc_id", F.col("p1").alias("isotonic")), "doc_id")
+
+
+from . import evaluation  # noqa: E402,F401  registers further queries
