@@ -27,6 +27,8 @@ MOST_COMMON = 200_000
 BLOCK = 512
 #: Members of a list that one task pairs with as many others.
 LIST_BLOCK = 2_048
+#: A larger slack is sent as this one, which promises less and so loses no link (sets of over 700,000 shingles).
+MOST_SLACK = 32_767
 #: Signatures of a shuffle partition.
 PER_PARTITION = 1_500_000
 
@@ -208,12 +210,17 @@ def shared_signatures(docs: DataFrame, n_signatures: float, common: np.ndarray)
 
         def flush():
             s, i, k = np.concatenate(sigs), np.concatenate(ids), np.concatenate(slacks)
-            b = (s % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            b, s, i, k = b[order], s[order], i[order], k[order]
+            # sorted by bucket and 40 bits: the first of the five bytes compresses away, the packed size a signature does
+            # not depend on the number of buckets; two signatures that fall together by chance only make candidates
+            s = (s % np.uint64(buckets)) << np.uint64(40) | s >> np.uint64(24)
+            order = np.argsort(s)
+            s, i, k = s[order], i[order], k[order]
+            b = (s >> np.uint64(40)).astype(np.int64)
+            high, low = (s >> np.uint64(32)).astype(np.uint8), s.astype(np.uint32)
             at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
             ends = np.r_[at[1:], len(b)]
-            return pa.RecordBatch.from_arrays([pa.array(b[at], pa.int64()), pa.array([s[x:y].tobytes() for x, y in zip(at, ends)], pa.binary()), pa.array([i[x:y].tobytes() for x, y in zip(at, ends)], pa.binary()), pa.array([k[x:y].tobytes() for x, y in zip(at, ends)], pa.binary())], names=["bucket", "sigs", "ids", "slacks"])
+            cut = lambda v: pa.array([v[x:y].tobytes() for x, y in zip(at, ends)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(b[at], pa.int64()), cut(high), cut(low), cut(i), cut(k)], names=["bucket", "high", "low", "ids", "slacks"])
 
         for batch in batches:
             for _, s in shingle_sets(batch.column(0)):
@@ -227,7 +234,7 @@ def shared_signatures(docs: DataFrame, n_signatures: float, common: np.ndarray)
                 sig, slack = signatures(s, common)
                 sigs.append(sig)
                 ids.append(np.full(len(sig), me, np.int64))
-                slacks.append(np.full(len(sig), slack, np.int32))
+                slacks.append(np.full(len(sig), min(slack, MOST_SLACK), np.int16))
                 held += len(sig)
                 if held > 1_000_000:
                     yield flush()
@@ -238,10 +245,11 @@ def shared_signatures(docs: DataFrame, n_signatures: float, common: np.ndarray)
     def group(batches):
         sigs, ids, slacks = [], [], []
         for batch in batches:
-            for s, i, k in zip(batch.column(1), batch.column(2), batch.column(3)):
-                sigs.append(np.frombuffer(s.as_py(), np.uint64))
+            for b, high, low, i, k in zip(*batch.columns):
+                top = np.uint64(b.as_py()) << np.uint64(40)
+                sigs.append(top | np.frombuffer(high.as_py(), np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(low.as_py(), np.uint32))
                 ids.append(np.frombuffer(i.as_py(), np.int64))
-                slacks.append(np.frombuffer(k.as_py(), np.int32))
+                slacks.append(np.frombuffer(k.as_py(), np.int16))
         if not sigs:
             return
         s, i, k = np.concatenate(sigs), np.concatenate(ids), np.concatenate(slacks)
@@ -279,7 +287,7 @@ def shared_signatures(docs: DataFrame, n_signatures: float, common: np.ndarray)
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    sent = docs.selectExpr("cast(text as string) text").mapInArrow(emit, "bucket bigint, sigs binary, ids binary, slacks binary")
+    sent = docs.selectExpr("cast(text as string) text").mapInArrow(emit, "bucket bigint, high binary, low binary, ids binary, slacks binary")
     lists = sent.repartition(n, "bucket").mapInArrow(packed, "list_id bigint, id bigint, slack bigint, weight bigint")
     return lists.groupBy("list_id", "id", "slack").agg(F.sum("weight").alias("weight"))
 
