@@ -29,6 +29,8 @@ BLOCK = 512
 LIST_BLOCK = 2_048
 #: A larger slack is sent as this one, which promises less and so loses no link (sets of over 700,000 shingles).
 MOST_SLACK = 32_767
+#: List members that come to one task together.
+SLOT = 20_000
 #: Signatures of a shuffle partition.
 PER_PARTITION = 1_500_000
 
@@ -390,28 +392,33 @@ def pairs_across(members: DataFrame, comp: DataFrame, info: DataFrame) -> DataFr
     own = F.pmod(F.xxhash64("id"), F.col("nb"))
     cols = ["list_id", "id", "c", "n", "slack", "weight", "hot", "weak", "active", "residual", "asks", "bins"]
     sides = rows.where("asks").select(*cols, own.alias("i"), F.explode(other).alias("j"), F.lit(True).alias("is_ask")).unionByName(rows.select(*cols, F.explode(other).alias("i"), own.alias("j"), F.lit(False).alias("is_ask")))
-    met = sides.groupBy("list_id", "i", "j").applyInArrow(meet, "a bigint, b bigint, weight bigint, sure boolean, need bigint")
+    # a group holds the blocks of several lists, as many lists are short; which ones does not matter
+    slots = partitions_for(members.sparkSession, 2 * named.count(), SLOT)
+    met = sides.groupBy(F.pmod(F.xxhash64("list_id", "i", "j"), F.lit(slots))).applyInArrow(meet, "a bigint, b bigint, weight bigint, sure boolean, need bigint")
     return met.groupBy("a", "b").agg(F.sum("weight").alias("w"), F.max("sure").alias("sure"), F.max("need").alias("need")).where("sure OR w >= need").select("a", "b")
 
 
 def meet(t: pa.Table) -> pa.Table:
-    """Pairs of askers and answerers of a list, of different components, that sizes and bins allow to link; where both
-    ask, the pair is made once."""
-    col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "c", "n", "slack", "weight", "hot", "weak", "active", "residual", "asks", "is_ask")}
-    bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-    is_ask = col["is_ask"].astype(bool)
-    ask, answer = np.flatnonzero(is_ask), np.flatnonzero(~is_ask)
+    """Pairs of askers and answerers of each list block in t, of different components, that sizes and bins allow to link;
+    where both ask, the pair is made once."""
+    names = ("list_id", "i", "j", "id", "c", "n", "slack", "weight", "hot", "weak", "active", "residual", "asks", "is_ask")
+    col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in names}
+    order = np.lexsort((col["j"], col["i"], col["list_id"]))
+    col = {c: v[order] for c, v in col.items()}
+    bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)[order].astype(np.int16)
+    weak, active, residual, asks, is_ask = (col[c].astype(bool) for c in ("weak", "active", "residual", "asks", "is_ask"))
+    n, ids, c = col["n"], col["id"], col["c"]
+    edge = np.flatnonzero(np.r_[True, np.any([col[k][1:] != col[k][:-1] for k in ("list_id", "i", "j")], axis=0)])
     out: list[list[np.ndarray]] = [[], [], [], [], []]
-    for x in ask:
-        y = answer
-        big, small = np.maximum(col["n"][y], col["n"][x]), np.minimum(col["n"][y], col["n"][x])
-        ok = (col["c"][y] != col["c"][x]) & (3 * big <= 4 * small) & (bool(col["weak"][x]) | col["active"][y].astype(bool)) & (~col["asks"][y].astype(bool) | (col["id"][x] < col["id"][y]))
-        y = y[ok]
-        y = y[7 * np.abs(bins[y] - bins[x]).sum(1, dtype=np.int64) <= col["n"][y] + col["n"][x]] if len(y) else y
-        if len(y):
-            flag = lambda c: col[c][y].astype(bool) | bool(col[c][x])
-            for k, v in enumerate((np.minimum(col["id"][x], col["id"][y]), np.maximum(col["id"][x], col["id"][y]), np.full(len(y), col["weight"][x]), flag("weak") | flag("residual"), np.minimum(col["slack"][x], col["slack"][y]) + 1 - np.minimum(col["hot"][x], col["hot"][y]))):
-                out[k].append(v)
+    for begin, end in zip(edge, np.r_[edge[1:], len(ids)]):
+        answer = begin + np.flatnonzero(~is_ask[begin:end])
+        for x in begin + np.flatnonzero(is_ask[begin:end]):
+            y = answer[(c[answer] != c[x]) & (3 * np.maximum(n[answer], n[x]) <= 4 * np.minimum(n[answer], n[x])) & (weak[x] | active[answer]) & (~asks[answer] | (ids[x] < ids[answer]))]
+            y = y[7 * np.abs(bins[y] - bins[x]).sum(1, dtype=np.int64) <= n[y] + n[x]] if len(y) else y
+            if len(y):
+                need = np.minimum(col["slack"][x], col["slack"][y]) + 1 - np.minimum(col["hot"][x], col["hot"][y])
+                for k, v in enumerate((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), np.full(len(y), col["weight"][x]), weak[x] | weak[y] | residual[x] | residual[y], need)):
+                    out[k].append(v)
     kinds = (np.int64, np.int64, np.int64, bool, np.int64)
     return pa.table({name: pa.array(np.concatenate(v).astype(kind) if v else np.zeros(0, kind)) for name, v, kind in zip(("a", "b", "weight", "sure", "need"), out, kinds)})
 
