@@ -14,11 +14,14 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Families for signature rules: label, keyword that gates them, ways to write the name (as expressions over words parted
-#: by single spaces), versions. A rule is one name with one version (or none) in one of the FORMS.
+#: Families for signature rules: label, keyword that gates them (a word of every match of each of the names), ways to write
+#: the name (as expressions over words parted by single spaces), versions. A rule is one name with one version (or none) in
+#: one of the FORMS.
 FAMILIES = [
-    ("apache", "apache", ["apache(?: software)?(?: license)?", "asl"], ["1 0", "1 1", "2 0"]),
-    ("mit", "mit", ["mit", "expat"], []),
+    ("apache", "apache", ["apache(?: software)?(?: license)?"], ["1 0", "1 1", "2 0"]),
+    ("apache", "asl", ["asl"], ["1 0", "1 1", "2 0"]),
+    ("mit", "mit", ["mit"], []),
+    ("mit", "expat", ["expat"], []),
     ("x11", "x11", ["x11"], []),
     ("bsd", "bsd", ["bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "simplified bsd", "new bsd", "modified bsd", "original bsd", "bsd"], []),
     ("gpl", "gpl", ["gnu gpl", "gpl"], ["1 0", "2 0", "3 0", "2", "3"]),
@@ -39,11 +42,14 @@ FAMILIES = [
     ("unlicense", "unlicense", ["the unlicense", "unlicense"], []),
     ("wtfpl", "wtfpl", ["wtfpl"], ["2"]),
     ("artistic", "artistic", ["artistic license", "artistic"], ["1 0", "2 0"]),
-    ("python", "psf", ["psf", "python software foundation"], ["2"]),
-    ("ofl", "ofl", ["sil ofl", "ofl", "sil open font license"], ["1 0", "1 1"]),
+    ("python", "psf", ["psf"], ["2"]),
+    ("python", "python", ["python software foundation"], ["2"]),
+    ("ofl", "ofl", ["sil ofl", "ofl"], ["1 0", "1 1"]),
+    ("ofl", "font", ["sil open font license"], ["1 0", "1 1"]),
     ("postgresql", "postgresql", ["postgresql"], []),
     ("ms-pl", "microsoft", ["microsoft public license", "microsoft reciprocal license"], []),
-    ("cc0", "cc0", ["cc0", "cc zero"], ["1 0"]),
+    ("cc0", "cc0", ["cc0"], ["1 0"]),
+    ("cc0", "zero", ["cc zero"], ["1 0"]),
     ("cc-by-nc-sa", "cc", ["cc by nc sa"], ["2 0", "2 5", "3 0", "4 0"]),
     ("cc-by-nc-nd", "cc", ["cc by nc nd"], ["2 0", "2 5", "3 0", "4 0"]),
     ("cc-by-nc", "cc", ["cc by nc"], ["2 0", "2 5", "3 0", "4 0"]),

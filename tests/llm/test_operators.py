@@ -166,6 +166,42 @@ def test_licenses(spark):
     assert len(licenses.RULES) > 200 and all(0 <= r.score <= 1 for r in got.values())
 
 
+def written(rx, most, branch):
+    """A text that the expression matches: optional parts left out or taken, the first or last of alternatives."""
+
+    def of(nodes):
+        out = ""
+        for op, x in nodes:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(x)
+            elif op == "ANY":
+                out += "y"
+            elif op == "IN":
+                out += chr(x[0][1] if str(x[0][0]) == "LITERAL" else x[0][1][0])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += of(x[2]) * (x[1] if most else x[0])
+            elif op == "SUBPATTERN":
+                out += of(x[3])
+            else:
+                assert op == "BRANCH"
+                out += of(x[1][branch])
+        return out
+
+    return of(re._parser.parse(rx))
+
+
+def test_license_gate_lets_each_rule_through(spark):
+    cases = sorted({(written(rx, most, branch), label, kw, form, rx) for label, kw, form, _, rx in licenses.RULES for most in (0, 1) for branch in (0, -1)})
+    for text, _, kw, form, rx in cases:
+        words = text.split()
+        assert re.fullmatch(rx, text) and kw in words and form in words and set(words) & set(licenses.GATE_WORDS), (text, rx)
+    more = [("Licensed under the Expat license", "mit"), ("SPDX-License-Identifier: CC-Zero", "cc0"), ("released under the SIL Open Font License", "ofl"), ("ASL 2.0 license", "apache"), ("Python Software Foundation License, version 2 license", "python")]
+    texts, labels = zip(*[c[:2] for c in cases], *more)
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs_of(spark, [*texts])).collect()}
+    assert [(texts[i], labels[i]) for i in range(len(texts)) if labels[i] not in got[i]] == []
+
+
 def test_secrets(spark):
     rng = random.Random(4)
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
