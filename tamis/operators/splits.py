@@ -69,11 +69,26 @@ def group_folds(rows: DataFrame, group: str, k: int, salt: str = "42") -> DataFr
     return rows.join(g, group)
 
 
+def crossing(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key and each pair of parts that share it: one grouping, not a join for each pair."""
+    parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("part")).alias("p")).where(F.size("p") > 1)
+    pairs = F.explode(F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b > a), lambda b: F.struct(a.alias("part_a"), b.alias("part_b"))))))
+    return parts.select(*keys, pairs.alias("q")).select(*keys, "q.*")
+
+
 def partition_overlap(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that two parts share, for each pair of parts: one grouping, not a join for each pair."""
-    parts = rows.groupBy(key).agg(F.array_sort(F.collect_set("part")).alias("p")).where(F.size("p") > 1)
-    pairs = parts.select(F.explode(F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b > a), lambda b: F.struct(a.alias("part_a"), b.alias("part_b")))))).alias("q"))
-    return pairs.groupBy("q.part_a", "q.part_b").agg(F.count("*").alias("shared"))
+    """Keys that two parts share, for each pair of parts."""
+    return crossing(rows, [key]).groupBy("part_a", "part_b").agg(F.count("*").alias("shared"))
+
+
+def overlap_report(rows: DataFrame, parts: list[str], keys: dict[str, str]) -> DataFrame:
+    """For each pair of the parts, shared or not, the number of keys in both (keys: column of the report and of rows), and
+    clean: whether no pair shares a key of any kind. All rows and both kinds of key go through one grouping."""
+    kinds = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(k).cast("string").alias("value")) for n, k in keys.items()])
+    shared = crossing(rows.select("part", F.inline(kinds)), ["kind", "value"]).groupBy("part_a", "part_b").agg(*[F.count_if(F.col("kind") == n).alias(n) for n in keys])
+    pairs = rows.sparkSession.createDataFrame([(a, b) for a in parts for b in parts if a < b], "part_a string, part_b string")
+    out = pairs.join(shared, ["part_a", "part_b"], "left").select("part_a", "part_b", *[F.coalesce(n, F.lit(0)).alias(n) for n in keys])
+    return out.withColumn("clean", F.sum(sum(F.col(n) for n in keys)).over(W.partitionBy()) == 0)  # as many rows as pairs of parts
 
 
 def hard_negatives(rows: DataFrame, fraction: float, key: str, salt: str = "42") -> DataFrame:

@@ -124,6 +124,14 @@ def partition_overlap(spark, sf_dir):
     return splits.partition_overlap(rows, "content_hash")
 
 
+@query(f"""WITH {ANNOTATED}, {PART}, k AS (SELECT part, 'h' AS kind, content_hash AS k FROM parts UNION SELECT part, 'g', template_group FROM parts), pn AS (SELECT unnest(['train', 'cal', 'test']) AS part),
+s AS (SELECT a.part AS part_a, b.part AS part_b, count(*) FILTER (a.kind = 'h') AS hash_overlap, count(*) FILTER (a.kind = 'g') AS group_overlap FROM k a JOIN k b ON a.kind = b.kind AND a.k = b.k AND a.part < b.part GROUP BY 1, 2),
+o AS (SELECT a.part AS part_a, b.part AS part_b, coalesce(hash_overlap, 0) AS hash_overlap, coalesce(group_overlap, 0) AS group_overlap FROM pn a JOIN pn b ON a.part < b.part LEFT JOIN s ON s.part_a = a.part AND s.part_b = b.part)
+SELECT *, sum(hash_overlap + group_overlap) OVER () = 0 AS clean FROM o""")
+def partition_overlap_report(spark, sf_dir):
+    return splits.overlap_report(partitioned(spark, sf_dir), ["train", "cal", "test"], {"hash_overlap": "content_hash", "group_overlap": "template_group"})
+
+
 @query(f"""WITH {EMAILS}, r AS (SELECT doc_id, subtype, row_number() OVER (PARTITION BY subtype ORDER BY sha256('42:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY subtype) AS n FROM emails)
 SELECT doc_id, CASE WHEN r <= round(n * 0.25::DOUBLE) THEN 'test' ELSE 'train' END AS part, (r - 1) % 5 AS fold, CAST(r <= greatest(1, round(n * 0.1::DOUBLE)) AS INT) AS in_subset, CAST(r <= 20 AS INT) AS in_balanced FROM r""")
 def split_stratified(spark, sf_dir):

@@ -40,6 +40,16 @@ def test_group_folds_do_not_leak(spark, sf):
     assert rows.groupBy("template_group").agg({"fold": "min"}).join(rows.groupBy("template_group").agg({"fold": "max"}), "template_group").where("`min(fold)` <> `max(fold)`").count() == 0
 
 
+def test_overlap_report_sees_every_row_and_kind(spark):
+    from tamis.operators import splits
+
+    rows = [("train", "h1", "g1", "src7"), ("test", "h1", "g1", "src7"), ("cal", "h2", "g1", None), ("train", "h3", "g2", "src0"), ("train", "h3", "g2", "src0")]
+    report = lambda r: {(x.part_a, x.part_b): (x.hash_overlap, x.group_overlap, x.clean) for x in splits.overlap_report(spark.createDataFrame(r, "part string, content_hash string, template_group string, source string"), ["train", "cal", "test"], {"hash_overlap": "content_hash", "group_overlap": "template_group"}).collect()}
+    assert report(rows) == {("test", "train"): (1, 1, False), ("cal", "train"): (0, 1, False), ("cal", "test"): (0, 1, False)}
+    assert set(report(rows[2:]).values()) == {(0, 0, True)}
+    assert len(registry.QUERIES["partition_overlap_report"](spark, "/root/testdata/sf0.001").collect()) == 3
+
+
 def test_ports_and_labels(spark):
     from pyspark.sql import functions as F
 
