@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, stored, table, text_or_empty
 
-#: A candidate is a run of key characters with a digit in it, this long at least; longer ones are judged whole.
+#: A candidate is a run of key characters with a digit or a well-known key in it, this long at least; longer ones are judged
+#: whole. What is assigned to a credential word is a candidate whatever its length and characters (ASSIGNED).
 SHORTEST = 12
 RUN = r"[A-Za-z0-9_+/\-]{12,}={0,2}"
 #: A word can hold a candidate only if this is found in it; also the test for whole texts.
@@ -22,6 +23,11 @@ NEAR_WORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key
 PATH_WORDS = ["test", "example", "sample", "mock", "fixture", "doc", "readme"]
 KNOWN_KEYS = [r"^AKIA[0-9A-Z]{16}$", r"^ASIA[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}", r"^xox[abpr]-[A-Za-z0-9\-]{10,}", r"^sk_live_[A-Za-z0-9]{16,}", r"^AIza[0-9A-Za-z_\-]{35}$", r"^eyJ[A-Za-z0-9_\-]{10,}"]
 LOOKALIKES = [r"^[0-9+/\-]+$", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[a-z]+[0-9]{1,4}$", r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]+$"]
+KNOWN = r"(?<![A-Za-z0-9])(?:" + "|".join(k.strip("^$") for k in KNOWN_KEYS) + ")"
+_QUOTED = "|".join(rf"(?<={q})(?:[^{q}\\]++|\\[\s\S])++(?={q})" for q in "\"'`")
+#: A credential word (1) and, looked at only so that values may hold further ones, what leads to its value (2: the rest of the
+#: name, = or :, an opening quote) and the value (3): all between quotes, otherwise all up to white space.
+ASSIGNED = r"(?i)(" + "|".join(NEAR_WORDS) + r")(?=([\w\-]*[\"'`]?\s*(?:=>|:=|==?|:)\s*(?:(?:bearer|basic)\s+)?[\"'`]?)(" + _QUOTED + r"|(?![\"'`])\S+))"
 #: Bounds of the training sample (findings taken by smallest hash) and of the dictionary (commonest words).
 MOST_FINDINGS = 40_000
 DICTIONARY_WORDS = 5_000
@@ -33,18 +39,56 @@ def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("double")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def runs_of(word: Column) -> Column:
+    return F.filter(F.regexp_extract_all(word, F.lit(RUN), F.lit(0)), lambda r: r.rlike("[0-9]") | r.rlike(KNOWN))
+
+
+def assigned_values(text: Column, words: Column) -> Column:
+    """Array of (i, run_no, candidate, own) of the values of ASSIGNED that are no runs of their word: word number, a number
+    after those of the word's runs, value, what leads to it. Word numbers follow from the white space passed over."""
+    kind = "array<struct<i:int,run_no:int,candidate:string,own:string>>"
+    spaces = lambda c: F.regexp_count(c, F.lit(SPACE))
+    parts = F.struct(F.split(text, ASSIGNED, -1).alias("between"), *[F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "lead"), (3, "value"))])
+
+    def step(p: Column, a: Column, j: Column) -> Column:
+        at = a["n"] + spaces(F.get(p["between"], j))
+        here = F.struct(at.alias("n"), (at + spaces(F.get(p["lead"], j))).alias("i"), F.get(p["value"], j).alias("v"), F.concat(F.get(p["name"], j), F.get(p["lead"], j)).alias("own"))
+
+        def add(h: Column) -> Column:
+            seen = (h["i"] == a["i"]) & (h["v"] == a["v"])  # auth_token=x is met at auth and at token
+            k = F.when(h["i"] != a["i"], F.lit(0)).when(seen, a["k"]).otherwise(a["k"] + 1)
+            word = F.get(words, h["i"])
+            one = F.array(F.struct(h["i"].alias("i"), (F.regexp_count(word, F.lit(RUN)) + k).alias("run_no"), h["v"].alias("candidate"), h["own"].alias("own")))
+            new = F.when(seen | F.array_contains(runs_of(word), h["v"]), a["all"]).otherwise(F.concat(a["all"], one))
+            return F.struct(h["n"].alias("n"), h["i"].alias("i"), k.cast("int").alias("k"), h["v"].alias("v"), new.cast(kind).alias("all"))
+
+        return let(here, add)
+
+    first = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("i"), F.lit(0).alias("k"), F.lit("").alias("v"), F.array().cast(kind).alias("all"))
+    each = lambda p: F.when(F.size(p["value"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(p["value"]) - 1), first, lambda a, j: step(p, a, j))["all"])
+    return let(parts, each)
+
+
 def candidates(docs: DataFrame, path_column: str | None = "source") -> DataFrame:
     """One row for each candidate: doc_id, word_no, run_no, candidate, before (three words), own (the word without the
-    candidate), path. Whole texts are read; texts that cannot hold a candidate are passed over by one search."""
+    candidate; for an assigned value the name and sign before it), path. Whole texts are read; texts that cannot hold a candidate are passed over by one search."""
     path = F.col(path_column).cast("string") if path_column and path_column in docs.columns else F.lit(None).cast("string")
-    t = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("t"), path.alias("path")).where(F.col("t").rlike(GATE) & F.col("t").rlike(r"[0-9]"))
-    words = t.select("doc_id", "path", F.split("t", SPACE).alias("w"))
+    t = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("t"), path.alias("path"))
+    t = t.withColumn("assigned", F.col("t").rlike(ASSIGNED)).where(F.col("assigned") | (F.col("t").rlike(GATE) & (F.col("t").rlike(r"[0-9]") | F.col("t").rlike(KNOWN))))
+    words = t.select("doc_id", "path", "t", "assigned", F.split("t", SPACE).alias("w"))
     # keep positions of words with a candidate only, then look at their neighbours
-    at = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(GATE), F.filter(F.regexp_extract_all(x, F.lit(RUN), F.lit(0)), lambda r: r.rlike("[0-9]"))).alias("runs"))), lambda s: F.coalesce(F.size(s["runs"]), F.lit(0)) > 0)
-    rows = words.select("doc_id", "path", "w", F.explode(at).alias("at"))
+    at = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(GATE), runs_of(x)).alias("runs"))), lambda s: F.coalesce(F.size(s["runs"]), F.lit(0)) > 0)
+    runs = F.flatten(F.transform(at, lambda s: F.transform(s["runs"], lambda r, k: F.struct(s["i"].alias("i"), k.alias("run_no"), r.alias("candidate"), F.lit(None).cast("string").alias("own")))))
+    values = F.when(F.col("assigned"), assigned_values(F.col("t"), F.col("w")))
+    rows = words.select("doc_id", "path", "w", F.explode(F.concat(runs, F.coalesce(values, F.array().cast("array<struct<i:int,run_no:int,candidate:string,own:string>>")))).alias("at"))
     before = F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("at.i") - 2), F.least(F.lit(3), F.col("at.i"))), " ")
-    rows = rows.select("doc_id", "path", F.col("at.i").alias("word_no"), F.expr("w[at.i]").alias("word"), before.alias("before"), F.posexplode("at.runs").alias("run_no", "candidate"))
-    return rows.withColumn("own", F.expr("replace(word, candidate, ' ')")).drop("word")
+    rows = rows.select("doc_id", "path", F.col("at.i").alias("word_no"), F.expr("w[at.i]").alias("word"), before.alias("before"), "at.run_no", "at.candidate", "at.own")
+    return rows.withColumn("own", F.expr("coalesce(own, replace(word, candidate, ' '))")).drop("word")
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> DataFrame:
