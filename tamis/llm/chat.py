@@ -14,8 +14,8 @@ from .common import table
 
 #: A template is any function from [(role, text), ...] to a string; the renderer knows nothing about it.
 Template = Callable[[list[tuple[str, str]]], str]
-#: Turns rendered together: prefixes of such a stretch are rendered one after another, so a long conversation costs a
-#: bounded multiple of its length.
+#: Turns rendered together by a local template: prefixes of such a stretch are rendered one after another, so a long
+#: conversation costs a bounded multiple of its length.
 STRETCH = 32
 _CONTROL = re.compile(r"[\\#<]")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -52,22 +52,22 @@ class Spans:
     """Spans of turns in a black-box template's output."""
 
     def __init__(self, template: Template) -> None:
-        self.template, self.rewrites = template, 0
+        self.template, self.rewrites, self.at, self.output = template, 0, 0, ""
 
     def locate(self, turns: list[tuple[str, str]], done: int = 0) -> Iterator[str]:
         """The piece of output that each turn after the first `done` adds. When the output for a longer prefix does not
         start with the output for the shorter one, the template rewrites history: that is counted, and the piece is
-        what differs after the common beginning."""
+        what differs after the common beginning. at and output: where the piece begins, and in which output."""
         before = self.template(turns[:done])
         for k in range(done + 1, len(turns) + 1):
             now = self.template(turns[:k])
             if now.startswith(before):
-                yield now[len(before) :]
+                self.at = len(before)
             else:
                 self.rewrites += 1
-                at = next((i for i, (a, b) in enumerate(zip(before, now)) if a != b), min(len(before), len(now)))
-                yield now[at:]
-            before = now
+                self.at = next((i for i, (a, b) in enumerate(zip(before, now)) if a != b), min(len(before), len(now)))
+            before = self.output = now
+            yield now[self.at :]
 
 
 def rewrites_history(template: Template) -> bool:
@@ -89,17 +89,20 @@ def read_turn(piece: str) -> tuple[str, str, int, int]:
     return read_role(m["role"]), unescape(m["text"]), m.start("text"), m.end("text")
 
 
-def formatted(turns: DataFrame, template: Template = plain_template, trained: str = "assistant", with_text: bool = False) -> DataFrame:
+def formatted(turns: DataFrame, template: Template = plain_template, trained: str = "assistant", with_text: bool = False, local: bool | None = None) -> DataFrame:
     """One row for each conversation, read back from the rendered output: conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars, rewrites (steps at which the template changed what it had rendered before); with_text: also formatted and the loss spans
+    loss_sha256, formatted_chars, rewrites (steps at which the template changed what it had rendered before, or added what cannot be read back); with_text: also formatted and the loss spans
     (start, end of the escaped text in it).
 
     Turns go by turn number (null first; equal ones by role and text; repeated rows are turns of their own). Null texts
-    and roles count as empty. Conversations are streamed in order, a stretch of turns at a time, so no conversation is
-    held whole (with_text holds its output). A template is rendered on a stretch with the turn before it as context; one
-    whose output depends on more of the history, or rewrites it, shows in rewrites. Only templates that
-    read_turn() can read are read back. An empty table gives no rows.
+    and roles count as empty. local: each turn's output depends on that turn and the one before only, as declared by the
+    caller (by default true for plain_template alone). With a local template conversations are streamed in order, a stretch
+    of turns at a time with the turn before it as context, so no conversation is held whole (with_text holds its output).
+    Any other is rendered on all full prefixes, which holds a conversation and costs the square of its length; formatted
+    is then the output for all turns. Pieces that read_turn() cannot read are counted in rewrites and left out of the
+    digests and spans; spans that a rewrite reaches are dropped. An empty table gives no rows.
     """
+    local = template is plain_template if local is None else local
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"]
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, rewrites bigint"
     if with_text:
@@ -113,21 +116,32 @@ def formatted(turns: DataFrame, template: Template = plain_template, trained: st
 
         def add(self, role, text):
             self.waiting.append((role, text))
-            if len(self.waiting) == STRETCH:
+            if local and len(self.waiting) == STRETCH:
                 self.render()
 
         def render(self):
+            rewrites = self.spans.rewrites
             for piece in self.spans.locate(self.last + self.waiting, len(self.last)):
-                role, text, start, end = read_turn(piece)
+                rewritten = self.spans.rewrites > rewrites
+                if not local:
+                    self.chars, self.text = self.spans.at, []
+                    if rewritten:
+                        self.where = [w for w in self.where if w[1] <= self.chars]
                 self.n += 1
-                self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if role == trained:
-                    self.loss.update(text.encode("utf-8", "surrogatepass"))
-                    self.loss_chars += len(text)
-                    self.where.append([self.chars + start, self.chars + end])
+                try:
+                    role, text, start, end = read_turn(piece)
+                except ValueError:
+                    self.spans.rewrites += not rewritten
+                else:
+                    self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                    if role == trained:
+                        self.loss.update(text.encode("utf-8", "surrogatepass"))
+                        self.loss_chars += len(text)
+                        self.where.append([self.chars + start, self.chars + end])
                 self.chars += len(piece)
                 if with_text:
-                    self.text.append(piece)
+                    self.text.append(piece if local else self.spans.output)
+                rewrites = self.spans.rewrites
             self.last, self.waiting = self.waiting[-1:] or self.last, []
             if not with_text:
                 self.where = []

@@ -158,6 +158,20 @@ def test_chat_round_trip(spark):
     assert chat.rewrites_history(lambda turns: f"[{len(turns)}]" + chat.plain_template(turns))
 
 
+def test_chat_templates_that_depend_on_history(spark):
+    turns = [("user" if k % 2 == 0 else "assistant", f"{k * 7} text {k}") for k in range(50)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+    plain = chat.plain_template
+    numbered = lambda ts: "".join(f"### N{i}: {chat.escape(t)} </turn>\n" for i, (_, t) in enumerate(ts))
+    window = lambda ts: plain(ts[-40:])
+    unread = lambda ts: "".join(f"{i}. {plain([t])}" for i, t in enumerate(ts))
+    for template, rewrites in ((numbered, 0), (window, 10), (unread, 50)):
+        got = chat.formatted(df, template, with_text=True).first()
+        assert (got.n_turns, got.formatted, got.formatted_chars, got.rewrites) == (50, template(turns), len(template(turns)), rewrites)
+        assert all(0 <= a <= b <= got.formatted_chars for a, b in got.loss_spans)
+    assert chat.formatted(df, unread, local=True).first().rewrites == 50
+
+
 def test_licenses(spark):
     t = [None, "", "x (CC) BY all rights\nreserved cc-by", "SPDX-License-Identifier: Apache-2.0", "Licensed under the MIT license", "mit der unter", "General Public License " * 40]
     got = {r.doc_id: r for r in licenses.scan(docs_of(spark, t)).collect()}
