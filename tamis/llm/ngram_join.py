@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 from .common import IS_SPACE, LOWER, components, dropped, join_groups, mix64, partitions_for, prefix_hash, span_hash, stored, table, tidy
 
@@ -17,22 +17,17 @@ WORDS = 5
 SIMILARITY = 75
 CHUNK = 1 << 20
 BINS = 256
-#: A signature that joins sets of more components than this is hot (see linked_sets).
-HOT = 64
-#: A shingle is frequent in a batch, and common, from so many documents on; at most MOST_COMMON are told to the tasks.
-FREQUENT = 4
-COMMON = 24
-MOST_COMMON = 200_000
-#: Members of a cluster that are compared in one task.
+#: Elements whose signatures are made at once, and signatures of a shuffle partition.
+HELD = 300_000
+PER_PARTITION = 1_500_000
+#: The signatures go through the shuffle in so many slices, one after the other, so that the disk holds one at a time.
+SLICES = 2
+#: Members of a signature's list, and texts of a cluster, that are compared with each other in one task.
+LIST_BLOCK = 1_024
 BLOCK = 512
-#: Members of a list that one task pairs with as many others.
-LIST_BLOCK = 2_048
-#: A larger slack is sent as this one, which promises less and so loses no link (sets of over 700,000 shingles).
-MOST_SLACK = 32_767
-#: List members that come to one task together.
+#: List members, and texts, that come to one task together.
 SLOT = 20_000
-#: Signatures of a shuffle partition.
-PER_PARTITION = 1_500_000
+TEXT_SLOT = 600
 
 
 # -- shingle sets ---------------------------------------------------------------------------------------------------
@@ -94,63 +89,69 @@ def set_id(key: str) -> int:
 
 # -- PartEnum signatures ------------------------------------------------------------------------------------------------
 
-
-def tolerance(n: int) -> int:
-    """Most elements in which a set of n differs from any set it links with: (n + m) / 7 for m up to n / 0.75."""
-    return n // 3
-
-
-def enumerated(n: int) -> int:
-    """Partitions enumerated for a set of n: one more than the tolerance, and some slack for hot signatures."""
-    return tolerance(n) + 1 + usual_slack(n)
-
-
-def usual_slack(n: int) -> int:
-    return max(2, tolerance(n) // 8)
-
-
-def bands(n: int) -> list[int]:
-    """Size bands (powers of two) in which a set of n takes part: its own, and the next if a larger partner may lie there."""
-    b = n.bit_length() - 1
-    return [b] if 4 * n < 3 * (2 << b) else [b, b + 1]
-
-
-def band_parts(band: int) -> int:
-    """Partitions of the feature domain in a band: so many that the largest sets have more non-empty ones than their tolerance."""
-    return math.ceil(0.42 * (2 << band)) + 4
-
-
-NONE = np.zeros(0, np.uint64)
-
-
-def signatures(s: np.ndarray, common: np.ndarray = NONE) -> tuple[np.ndarray, int]:
-    """(signatures, slack) of a set.
-
-    PartEnum (Arasu, Ganti, Kaushik 2006): in each size band the domain is partitioned by a hash, and a signature is the
-    content of an enumerated subset of partitions; here subsets are single partitions, the non-empty ones in fixed order,
-    as many as enumerated() says. Sets that link differ in at most tolerance() partitions, so the first slack + 1
-    partitions that both have in common lie within those enumerated of either: they share slack + 1 signatures or more.
-    A set with too few non-empty partitions (slack -1) adds its elements as signatures, so two such sets meet too.
-    common: sorted shingles of many documents. They have partitions of their own, last in the order, so that passages of
-    many documents seldom make a signature; any choice of them gives the same links.
+#: Size bands: low and high ends, each half as long again as its low end, up to more shingles than a text can have.
+LOWS = [1]
+while LOWS[-1] < 1 << 34:
+    LOWS.append(max(LOWS[-1] + 1, LOWS[-1] * 3 // 2 + 1))
+LOW = np.array(LOWS, np.int64)
+HIGH = LOW[1:] - 1
+#: Most elements in which a set of a band differs from one that is not smaller: (n + m) / 7 for m up to n / 0.75.
+MOST_DIFFERENT = HIGH // 3
+#: First-level partitions: at least one more than can hold two differences; a fifth more, so that few of them are thin.
+FIRST = (MOST_DIFFERENT // 2 + 1) * 6 // 5
+SECOND = 3
+_BAND_SALT = mix64(np.arange(1, len(HIGH) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def bands(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The band of each size, and the one below where a smaller set of that band may link, else -1."""
+    own = np.searchsorted(LOW, n, "right") - 1
+    below = np.maximum(own - 1, 0)
+    return own, np.where((own > 0) & (3 * n <= 4 * HIGH[below]), below, -1)
+
+
+def enumerated(s: np.ndarray, row: np.ndarray, n: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, row of each) of the sets in which row k has the elements s[row == k], n[k] of them, in band[k] (or -1).
+
+    PartEnum (Arasu, Ganti, Kaushik 2006). The domain falls into FIRST partitions, each of them into SECOND = 3; all
+    subsets of two of the three are enumerated, and the content of each that is not empty is a signature. Of linking sets
+    at most MOST_DIFFERENT // 2 first-level partitions hold two differences or more. In any other the differences lie in
+    one second-level partition, and the subset without that one has the same content in both: one shared signature
+    suffices. A set is rich when more of its first-level partitions than can hold two differences have elements in two
+    second-level ones or more; then one such shared subset is not empty. A set that is not rich adds each element as a
+    signature, so that two such sets share one too.
     """
-    n, out, slack = len(s), [], len(s)
-    want = enumerated(n)
-    often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
-    for band in bands(n):
-        salt = np.uint64(0xA0761D6478BD642F * (band + 1) % (1 << 64))
-        parts = np.uint64(band_parts(band))
-        p = mix64(s ^ salt) % parts + often * parts
-        order = np.argsort(p, kind="stable")
-        p = p[order]
-        at = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-        content = np.add.reduceat(mix64(s[order] + salt), at)
-        out.append(mix64(content ^ mix64(p[at] + salt))[:want])
-        own = max(-1, min(want, len(at)) - tolerance(n) - 1)
-        slack = min(slack, own)
-        if own < 0:
-            out.append(mix64(s ^ (salt >> np.uint64(1))))
-    return np.concatenate(out), slack
+    use = (band >= 0) & (n > 1)
+    band = np.where(use, band, 0)
+    cells = np.where(use, FIRST[band] * SECOND, 0)
+    off = np.cumsum(cells) - cells
+    mine = use[row]
+    s, row = s[mine], row[mine]
+    h = mix64(s ^ _BAND_SALT[band[row]])
+    cell = off[row] + (h % cells[row].astype(np.uint64)).astype(np.int64)
+    value, total = mix64(h + np.uint64(0x9E3779B97F4A7C15)), int(cells.sum())
+    low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
+    high = np.bincount(cell, (value >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
+    content = (low + (high << np.uint64(32))).reshape(-1, SECOND)
+    there = np.bincount(cell, minlength=total).reshape(-1, SECOND) > 0
+    owner = np.repeat(np.arange(len(n)), cells // SECOND)
+    full = np.bincount(owner, there.sum(1) >= 2, len(n))
+    place = (np.arange(len(owner)) - off[owner] // SECOND).astype(np.uint64)
+    tag = mix64(_BAND_SALT[band[owner]] ^ place)[:, None] + np.arange(SECOND, dtype=np.uint64)
+    rest = mix64(content.sum(1, dtype=np.uint64)[:, None] - content ^ mix64(tag))
+    seen = (there.sum(1)[:, None] - there) > 0
+    most = np.where(n > HIGH[band], (n + HIGH[band]) // 7, n // 3)
+    poor = use & (full <= most // 2)
+    alone = poor[row]
+    return np.r_[rest[seen], mix64(h[alone] ^ np.uint64(0x5851F42D4C957F2D))], np.r_[np.repeat(owner, SECOND)[seen.ravel()], row[alone]]
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, number of the set of each) of distinct sets; sets of less than two elements have none."""
+    n = np.array([len(s) for s in sets], np.int64)
+    s, row = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), n)
+    parts = [enumerated(s, row, n, band) for band in bands(np.maximum(n, 1))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def bins_of(s: np.ndarray) -> np.ndarray:
@@ -159,348 +160,350 @@ def bins_of(s: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), key (128 bits of the set), id (64 of them), bins (256 counts by element hash), and on one row
-    of each batch frequent: packed (shingle, documents) of those that at least FREQUENT documents of the batch have."""
-    schema = "doc_id bigint, n bigint, key string, id bigint, bins binary, frequent binary"
+    """doc_id, n (set size), key (128 bits of the set), id (64 of them), bins (256 counts by element hash)."""
+    schema = "doc_id bigint, n bigint, key string, id bigint, bins binary"
 
     def run(batches):
         for batch in batches:
-            n, key, bins, every = [], [], [], []
-            for _, s in shingle_sets(batch.column(1)):
-                n.append(len(s))
-                key.append(set_key(s))
-                bins.append(bins_of(s).tobytes())
-                every.append(s)
-            frequent: list = [None] * len(n)
-            if n:
-                value, times = np.unique(np.concatenate(every), return_counts=True)
-                often = times >= FREQUENT
-                frequent[0] = np.stack([value[often], times[often].astype(np.uint64)]).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array([set_id(k) for k in key], pa.int64()), pa.array(bins, pa.binary()), pa.array(frequent, pa.binary())], names=["doc_id", "n", "key", "id", "bins", "frequent"])
+            sets = [s for _, s in shingle_sets(batch.column(1))]
+            key = [set_key(s) for s in sets]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.string()), pa.array([set_id(k) for k in key], pa.int64()), pa.array([bins_of(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "id", "bins"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
-def common_shingles(each: DataFrame) -> np.ndarray:
-    """Shingles that the batches found frequent in COMMON documents or more: the commonest MOST_COMMON, sorted.
-
-    They only order the partitions of signatures(); which of them are found does not change any result."""
-
-    def unpack(batches):
-        for batch in batches:
-            for raw in batch.column(0):
-                value, times = np.frombuffer(raw.as_py(), np.uint64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.view(np.int64))], names=["g", "times"])
+class Once:
+    """True for each id that a task has not met; beyond so many ids it forgets, and later steps meet some more than once."""
 
-    found = each.where("octet_length(frequent) > 0").select("frequent").mapInArrow(unpack, "g bigint, times bigint")
-    found = found.groupBy("g").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON)
-    top = found.orderBy(F.desc("times"), "g").limit(MOST_COMMON).select("g").toPandas()
-    return np.sort(top["g"].to_numpy(np.int64).view(np.uint64))
+    def __init__(self, most: int = 2_000_000) -> None:
+        self.seen, self.most = set(), most
 
+    def __call__(self, me: int) -> bool:
+        new = me not in self.seen
+        if new and len(self.seen) < self.most:
+            self.seen.add(me)
+        return new
 
-def shared_signatures(docs: DataFrame, n_signatures: float, common: np.ndarray) -> DataFrame:
-    """(list_id, id, slack, weight): the members of each distinct list of sets that share a signature, and how many signatures do.
 
-    A task sends each distinct set once, its signatures packed by bucket; a bucket sorts them and keeps those that two or
-    more sets have. Equal lists (near copies share most of their signatures) become one with a weight."""
-    n = partitions_for(docs.sparkSession, n_signatures, PER_PARTITION)
-    buckets = 8 * n
+def sent_signatures(docs: DataFrame, buckets: int, part: int) -> DataFrame:
+    """(bucket, high, low, ids): signatures of slice `part` of the distinct sets of each task, packed by bucket."""
 
     def emit(batches):
-        seen: set[int] = set()
-        sigs, ids, slacks, held = [], [], [], 0
+        once, sets, ids, held = Once(), [], [], 0
 
         def flush():
-            s, i, k = np.concatenate(sigs), np.concatenate(ids), np.concatenate(slacks)
+            s, of = signatures(sets)
+            i = np.array(ids, np.int64)[of]
+            mine = mix64(s) % np.uint64(SLICES) == part
+            s, i = s[mine], i[mine]
             # sorted by bucket and 40 bits: the first of the five bytes compresses away, the packed size a signature does
             # not depend on the number of buckets; two signatures that fall together by chance only make candidates
             s = (s % np.uint64(buckets)) << np.uint64(40) | s >> np.uint64(24)
             order = np.argsort(s)
-            s, i, k = s[order], i[order], k[order]
+            s, i = s[order], i[order]
             b = (s >> np.uint64(40)).astype(np.int64)
             high, low = (s >> np.uint64(32)).astype(np.uint8), s.astype(np.uint32)
-            at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+            at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
             ends = np.r_[at[1:], len(b)]
             cut = lambda v: pa.array([v[x:y].tobytes() for x, y in zip(at, ends)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(b[at], pa.int64()), cut(high), cut(low), cut(i), cut(k)], names=["bucket", "high", "low", "ids", "slacks"])
+            return pa.RecordBatch.from_arrays([pa.array(b[at], pa.int64()), cut(high), cut(low), cut(i)], names=["bucket", "high", "low", "ids"])
 
         for batch in batches:
             for _, s in shingle_sets(batch.column(0)):
-                if not len(s):
+                if len(s) < 2:  # links with nothing but its equals
                     continue
                 me = set_id(set_key(s))
-                if me in seen:
-                    continue
-                if len(seen) < 2_000_000:
-                    seen.add(me)
-                sig, slack = signatures(s, common)
-                sigs.append(sig)
-                ids.append(np.full(len(sig), me, np.int64))
-                slacks.append(np.full(len(sig), min(slack, MOST_SLACK), np.int16))
-                held += len(sig)
-                if held > 1_000_000:
+                if once(me):
+                    sets.append(s)
+                    ids.append(me)
+                    held += len(s)
+                if held > HELD:
                     yield flush()
-                    sigs, ids, slacks, held = [], [], [], 0
-        if sigs:
+                    sets, ids, held = [], [], 0
+        if sets:
             yield flush()
 
-    def group(batches):
-        sigs, ids, slacks = [], [], []
-        for batch in batches:
-            for b, high, low, i, k in zip(*batch.columns):
-                top = np.uint64(b.as_py()) << np.uint64(40)
-                sigs.append(top | np.frombuffer(high.as_py(), np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(low.as_py(), np.uint32))
-                ids.append(np.frombuffer(i.as_py(), np.int64))
-                slacks.append(np.frombuffer(k.as_py(), np.int16))
-        if not sigs:
-            return
-        s, i, k = np.concatenate(sigs), np.concatenate(ids), np.concatenate(slacks)
-        del sigs, ids, slacks
-        order = np.argsort(s, kind="stable")
-        s, i, k = s[order], i[order], k[order]
-        new = np.r_[True, s[1:] != s[:-1]]
-        at = np.flatnonzero(new)
-        size = np.diff(np.r_[at, len(s)])
-        many = np.repeat(size > 1, size)
-        s, i, k = s[many], i[many], k[many]
-        if not len(s):
-            return
-        order = np.lexsort((i, s))
-        s, i, k = s[order], i[order], k[order]
-        fresh = np.r_[True, (s[1:] != s[:-1]) | (i[1:] != i[:-1])]  # a set sent by several tasks counts once
-        s, i, k = s[fresh], i[fresh], k[fresh]
-        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        size = np.diff(np.r_[at, len(s)])
-        name = np.add.reduceat(mix64(i.view(np.uint64)), at)
-        _, first, weight = np.unique(np.where(size > 1, name, 0), return_index=True, return_counts=True)
-        for j, w in zip(first, weight):
-            if size[j] > 1:
-                part = slice(at[j], at[j] + size[j])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size[j], name[j].view(np.int64))), pa.array(i[part]), pa.array(k[part].astype(np.int64)), pa.array(np.full(size[j], w, np.int64))], names=["list_id", "id", "slack", "weight"])
-
-    def packed(batches):  # fewer, larger Arrow batches
-        held, rows = [], 0
-        for b in group(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows > 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    sent = docs.selectExpr("cast(text as string) text").mapInArrow(emit, "bucket bigint, high binary, low binary, ids binary, slacks binary")
-    lists = sent.repartition(n, "bucket").mapInArrow(packed, "list_id bigint, id bigint, slack bigint, weight bigint")
-    return lists.groupBy("list_id", "id", "slack").agg(F.sum("weight").alias("weight"))
-
-
-# -- verification -----------------------------------------------------------------------------------------------------
-
-
-def possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the sizes and the bin counts of their sets do not rule out: |x ^ y| is at least the difference of the bins."""
+    return docs.selectExpr("cast(text as string) text").mapInArrow(emit, "bucket bigint, high binary, low binary, ids binary")
 
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, y = (np.stack([np.frombuffer(v, np.uint8) for v in pdf[c]]).astype(np.int16) for c in ("bins_a", "bins_b"))
-            keep = 7 * np.abs(x - y).sum(1, dtype=np.int64) <= (pdf["n_a"] + pdf["n_b"]).to_numpy()
-            yield pdf.loc[keep, ["a", "b"]]
 
-    side = lambda c: info.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)")
-    return both.mapInPandas(run, "a bigint, b bigint")
+def met(batches):
+    """(g, id): the members of each distinct list of two sets or more that share a signature; equal lists once."""
+    sigs, ids = [], []
+    for batch in batches:
+        for b, high, low, i in zip(*batch.columns):
+            top = np.uint64(b.as_py()) << np.uint64(40)
+            sigs.append(top | np.frombuffer(high.as_py(), np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(low.as_py(), np.uint32))
+            ids.append(np.frombuffer(i.as_py(), np.int64))
+    if not sigs:
+        return
+    s, i = np.concatenate(sigs), np.concatenate(ids)
+    del sigs, ids
+    order = np.argsort(s, kind="stable")
+    s, i = s[order], i[order]
+    size = np.diff(np.r_[np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), len(s)])
+    many = np.repeat(size > 1, size)
+    s, i = s[many], i[many]
+    order = np.lexsort((i, s))
+    s, i = s[order], i[order]
+    fresh = np.ones(len(s), bool)  # a set sent by several tasks counts once
+    fresh[1:] = (s[1:] != s[:-1]) | (i[1:] != i[:-1])
+    s, i = s[fresh], i[fresh]
+    if not len(s):
+        return
+    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    size = np.diff(np.r_[at, len(s)])
+    name = mix64(np.add.reduceat(mix64(i.view(np.uint64)), at) + size.astype(np.uint64))
+    first = np.zeros(len(at), bool)
+    first[np.unique(np.where(size > 1, name, 0), return_index=True)[1]] = True
+    take = np.repeat(first & (size > 1), size)
+    g, i = np.repeat(name, size)[take].view(np.int64), i[take]
+    for k in range(0, len(i), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(g[k : k + 100_000]), pa.array(i[k : k + 100_000])], names=["g", "id"])
+
+
+def shared_signatures(docs: DataFrame, n_signatures: float) -> DataFrame:
+    """(g, id), stored: the lists of sets that share a signature; lists of equal members have one name and are one."""
+    n = partitions_for(docs.sparkSession, n_signatures / SLICES, PER_PARTITION)
+    out = None
+    for part in range(SLICES):
+        lists = stored(sent_signatures(docs, 8 * n, part).repartition(n, "bucket").mapInArrow(met, "g bigint, id bigint"), "lists")
+        tidy(docs.sparkSession)
+        out = lists if out is None else out.unionByName(lists)
+    return stored(out.distinct(), "members")
+
+
+# -- comparison in blocks ----------------------------------------------------------------------------------------------
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
     return 100 * both >= SIMILARITY * (len(x) + len(y) - both)
 
 
-def unify(members: dict[int, np.ndarray]) -> list[tuple[int, int]]:
-    """Links (id, root) of a spanning forest of the given sets: exact comparisons, skipped where two are joined already."""
-    ids = list(members)
-    root = list(range(len(ids)))
+class ByBins:
+    """Rows that may link: their sizes and bins do not rule it out, as |x ^ y| is at least the difference of the bins."""
 
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
+    payload = ("n", "bins")
 
-    bins = np.stack([bins_of(members[i]) for i in ids]).astype(np.int16) if ids else None
-    sizes = np.array([len(members[i]) for i in ids])
-    for k in range(1, len(ids)):
-        x, n = members[ids[k]], sizes[:k] + sizes[k]
-        differ = np.abs(bins[:k] - bins[k]).sum(1, dtype=np.int64)
-        for m in np.flatnonzero(7 * differ <= n):
-            if find(m) != find(k) and linked(x, members[ids[m]]):
-                root[find(k)] = find(m)
-    return [(ids[k], ids[find(k)]) for k in range(len(ids)) if find(k) != k]
+    def __init__(self, t: pa.Table, order: np.ndarray) -> None:
+        self.n = t.column("n").to_numpy()[order]
+        self.bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)[order].astype(np.int16)
 
+    def may(self, k, others: np.ndarray) -> np.ndarray:
+        n, m = self.n[k], self.n[others]
+        out = 3 * np.maximum(n, m) <= 4 * np.minimum(n, m)
+        some = np.flatnonzero(out)
+        mine = self.bins[k] if np.isscalar(k) else self.bins[k[some]]
+        out[some] = 7 * np.abs(self.bins[others[some]] - mine).sum(1, dtype=np.int64) <= (n if np.isscalar(k) else n[some]) + m[some]
+        return out
 
-def verify(batches):
-    """Keep the pairs (a, b, text_a, text_b) whose sets link."""
-    for batch in batches:
-        x, y = ([s for _, s in shingle_sets(batch.column(k))] for k in (2, 3))
-        keep = pa.array([linked(p, q) for p, q in zip(x, y)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+    def to_heads(self, heads: np.ndarray) -> np.ndarray:
+        return self.may(heads, np.arange(len(heads)))
 
+    def hits(self, k: int, others: np.ndarray, label: np.ndarray) -> np.ndarray:
+        near = others[self.may(int(k), others)]
+        return near[np.unique(label[near], return_index=True)[1]]
 
-def compared(rows: DataFrame) -> DataFrame:
-    """Links (a, b) among the texts of each group of rows(cluster, block, id, text); groups are bounded by their making."""
 
-    def run(table_: pa.Table) -> pa.Table:
-        ids = table_.column("id").to_numpy()
-        texts = table_.column("text").combine_chunks()
-        sets: dict[int, np.ndarray] = {}
-        at = 0
-        for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
-            for row, s in shingle_sets(chunk):
-                if set_id(set_key(s)) == ids[at + row]:  # another row may bear the same doc_id
-                    sets[int(ids[at + row])] = s
-            at += len(chunk)
-        out = unify(sets)
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+class BySets(ByBins):
+    """Rows that link: exact comparison of the shingle sets of their texts, where the bins allow a link."""
 
-    return rows.select("cluster", "block", "id", "text").groupBy("cluster", "block").applyInArrow(run, "a bigint, b bigint")
+    payload = ("text",)
 
+    def __init__(self, t: pa.Table, order: np.ndarray) -> None:
+        sets: list[np.ndarray] = []
+        for chunk in t.column("text").chunks:
+            sets += [s for _, s in shingle_sets(chunk)]
+        self.sets = [sets[k] for k in order]
+        self.n = np.array([len(s) for s in self.sets], np.int64)
+        self.bins = np.stack([bins_of(s) for s in self.sets]).astype(np.int16)
 
-def pairs_across(members: DataFrame, comp: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids of different components (an id not in comp is its own) that share signatures enough to link.
+    def to_heads(self, heads: np.ndarray) -> np.ndarray:
+        out = super().to_heads(heads)
+        for k in np.flatnonzero(out):
+            out[k] = linked(self.sets[k], self.sets[heads[k]])
+        return out
 
-    Of each list all members but those of its largest component are strays; a pair is met where one of its members is.
+    def hits(self, k: int, others: np.ndarray, label: np.ndarray) -> np.ndarray:
+        found, done = [], set()
+        for m in others[self.may(int(k), others)]:
+            if label[m] not in done and linked(self.sets[k], self.sets[m]):
+                found.append(m)
+                done.add(label[m])
+        return np.array(found, np.int64)
+
+
+def spanning_forest(kind: type):
+    """Links (a, b) that join the rows of each group (g, j, s) as far as kind's similarity does, one less than its rows at most.
+
+    A row has a label c, and rows of equal labels are joined already. Each row is compared with the first of its group,
+    then each row that asks (and, where all ask, did not join the first) with all rows of other labels."""
+
+    def run(t: pa.Table) -> pa.Table:
+        col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("g", "j", "s", "id", "c", "asks")}
+        order = np.lexsort((~col["asks"], col["id"], col["s"], col["j"], col["g"]))
+        same = np.all([col[c][order][1:] == col[c][order][:-1] for c in ("g", "j", "s", "id")], axis=0)
+        order = order[np.r_[True, ~same]]  # a row that came twice
+        kind_of = kind(t, order)
+        g, j, s, ids, label, asks = (col[c][order] for c in col)
+        at = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (j[1:] != j[:-1]) | (s[1:] != s[:-1])])
+        size = np.diff(np.r_[at, len(g)])
+        heads = np.repeat(at, size)
+        label = label.copy()
+        star = kind_of.to_heads(heads) & (label != label[heads])
+        a, b = [ids[star]], [ids[heads[star]]]
+        joined = star | (label == label[heads])
+        for begin, n in zip(at, size):
+            if n < 2 or joined[begin : begin + n].all():
+                continue
+            span = np.arange(begin, begin + n)
+            now = label[span]
+            for lost in np.unique(now[star[span]]):  # whole labels join with the first row's
+                now[now == lost] = now[0]
+            label[span] = now
+            every = asks[span].all()
+            for k in span[asks[span]]:
+                if every and label[k] == label[begin]:
+                    continue
+                others = span[label[span] != label[k]]
+                hits = kind_of.hits(k, others, label) if len(others) else others
+                if len(hits):
+                    a.append(np.full(len(hits), ids[k]))
+                    b.append(ids[hits])
+                    label[span[np.isin(label[span], label[hits])]] = label[k]
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
+
+
+def joined_in_blocks(members: DataFrame, payload: DataFrame, kind: type, block: int, slot: int) -> DataFrame:
+    """Links (a, b), stored, that join all of members(g, id) that share a g and are similar, directly or through others.
+
+    payload(id, ...) has what kind compares. A group of more than `block` members is dealt out in blocks, each with the
+    group's two pivots. What the blocks leave outside the group's largest component, the strays, then meets every block;
+    strays beyond `block` are dealt in blocks too. So a group gives as many rows as members, unless more than a block of
+    them are strays; nothing is ever emitted for a pair but a link that joins two components.
     """
-    named = members.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    named = stored(named.select("list_id", "id", "slack", "weight", "c"), "named")
-    of_list = named.groupBy("list_id", "c").agg(F.count("*").alias("rows"))
-    of_list = of_list.groupBy("list_id").agg(F.max(F.struct("rows", "c"))["c"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = stored(named.join(of_list, "list_id").join(info.select("id", "n"), "id"), "open")
-    # an id takes part in further pairs if the signatures it shares with other clusters suffice for a partner of its size
-    usual = F.expr("greatest(2, (n div 4) div 8)")  # usual_slack() of the smallest partner, or less
-    weak = F.expr("slack < greatest(2, (n div 3) div 8)")
-    ids = open_.groupBy("id", "n", "slack").agg(F.sum("weight").alias("shared"), F.sum(F.when(F.col("comps") > HOT, F.col("weight")).otherwise(0)).alias("hot"))
-    ids = ids.select("id", "n", "slack", "hot", weak.alias("weak"), (F.col("hot") > F.col("slack")).alias("residual"), (weak | (F.col("shared") > usual)).alias("active"))
-    rows = open_.join(ids.drop("n", "slack"), "id").join(info.select("id", "bins"), "id")
-    rows = rows.withColumns({"is_hot": F.col("comps") > HOT, "stray": F.col("c") != F.col("main")})
-    # in a list that is not hot the strays ask and all active ids answer; in a hot one residual ids ask; weak ids ask all
-    rows = rows.withColumn("asks", F.expr("weak OR (active AND NOT is_hot AND stray) OR (residual AND is_hot)"))
-    use = rows.groupBy("list_id").agg(F.count_if("asks").alias("askers"), F.count_if("weak").alias("weaks"), F.count("*").alias("size")).where("askers > 0")
-    rows = rows.join(use, "list_id").where("asks OR active OR weaks > 0").withColumn("nb", F.ceil(F.col("size") / LIST_BLOCK))
-    other = F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)
-    own = F.pmod(F.xxhash64("id"), F.col("nb"))
-    cols = ["list_id", "id", "c", "n", "slack", "weight", "hot", "weak", "active", "residual", "asks", "bins"]
-    sides = rows.where("asks").select(*cols, own.alias("i"), F.explode(other).alias("j"), F.lit(True).alias("is_ask")).unionByName(rows.select(*cols, F.explode(other).alias("i"), own.alias("j"), F.lit(False).alias("is_ask")))
-    # a group holds the blocks of several lists, as many lists are short; which ones does not matter
-    slots = partitions_for(members.sparkSession, 2 * named.count(), SLOT)
-    met = sides.groupBy(F.pmod(F.xxhash64("list_id", "i", "j"), F.lit(slots))).applyInArrow(meet, "a bigint, b bigint, weight bigint, sure boolean, need bigint")
-    return met.groupBy("a", "b").agg(F.sum("weight").alias("w"), F.max("sure").alias("sure"), F.max("need").alias("need")).where("sure OR w >= need").select("a", "b")
-
-
-def meet(t: pa.Table) -> pa.Table:
-    """Pairs of askers and answerers of each list block in t, of different components, that sizes and bins allow to link;
-    where both ask, the pair is made once."""
-    names = ("list_id", "i", "j", "id", "c", "n", "slack", "weight", "hot", "weak", "active", "residual", "asks", "is_ask")
-    col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in names}
-    order = np.lexsort((col["j"], col["i"], col["list_id"]))
-    col = {c: v[order] for c, v in col.items()}
-    bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)[order].astype(np.int16)
-    weak, active, residual, asks, is_ask = (col[c].astype(bool) for c in ("weak", "active", "residual", "asks", "is_ask"))
-    n, ids, c = col["n"], col["id"], col["c"]
-    edge = np.flatnonzero(np.r_[True, np.any([col[k][1:] != col[k][:-1] for k in ("list_id", "i", "j")], axis=0)])
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
-    for begin, end in zip(edge, np.r_[edge[1:], len(ids)]):
-        answer = begin + np.flatnonzero(~is_ask[begin:end])
-        for x in begin + np.flatnonzero(is_ask[begin:end]):
-            y = answer[(c[answer] != c[x]) & (3 * np.maximum(n[answer], n[x]) <= 4 * np.minimum(n[answer], n[x])) & (weak[x] | active[answer]) & (~asks[answer] | (ids[x] < ids[answer]))]
-            y = y[7 * np.abs(bins[y] - bins[x]).sum(1, dtype=np.int64) <= n[y] + n[x]] if len(y) else y
-            if len(y):
-                need = np.minimum(col["slack"][x], col["slack"][y]) + 1 - np.minimum(col["hot"][x], col["hot"][y])
-                for k, v in enumerate((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), np.full(len(y), col["weight"][x]), weak[x] | weak[y] | residual[x] | residual[y], need)):
-                    out[k].append(v)
-    kinds = (np.int64, np.int64, np.int64, bool, np.int64)
-    return pa.table({name: pa.array(np.concatenate(v).astype(kind) if v else np.zeros(0, kind)) for name, v, kind in zip(("a", "b", "weight", "sure", "need"), out, kinds)})
-
-
-def linked_sets(docs: DataFrame, info: DataFrame, n_signatures: float, common: np.ndarray) -> DataFrame:
+    spark, total = members.sparkSession, max(1, members.count())
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
+    placed = join_groups(members, sizes, "g", "size", total).withColumn("nb", F.ceil(F.col("size") / block))
+    placed = stored(placed.select("g", "id", "size", "nb", F.pmod(F.xxhash64("id", "g"), F.col("nb")).alias("j")), "placed")
+    large = placed.where("nb > 1")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    ends = F.array(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"], F.max(F.struct(F.xxhash64("id").alias("h"), "id"))["id"])
+    pivots = large.groupBy("g", "nb").agg(ends.alias("ends")).select("g", "nb", F.explode("ends").alias("id")).select("g", "id", spread("nb").alias("j"))
+    own = [F.lit(0).cast("bigint").alias("s"), F.col("id").alias("c"), F.lit(True).alias("asks")]
+    first = placed.select("g", "j", "id").unionByName(pivots.select("g", "j", "id")).select("g", "j", "id", *own)
+
+    def links(rows: DataFrame, name: str) -> DataFrame:
+        slots = partitions_for(spark, 1.2 * total, slot)
+        rows = rows.join(payload.select("id", *kind.payload), "id").withColumn("slot", F.pmod(F.xxhash64("g", "j", "s"), F.lit(slots)))
+        return stored(rows.groupBy("slot").applyInArrow(spanning_forest(kind), "a bigint, b bigint"), name)
+
+    one = links(first, "links")
+    if large.isEmpty():
+        dropped(placed)
+        return one
+    comp = components(one).withColumnRenamed("component", "c")
+    named = stored(large.join(comp, "id", "left").withColumn("c", F.coalesce("c", "id")), "named")
+    main = named.groupBy("g", "c", "size").agg(F.count("*").alias("rows")).groupBy("g", "size").agg(F.max(F.struct("rows", "c"))["c"].alias("main"))
+    strays = stored(join_groups(named, main.select("g", "main", F.col("size").alias("of")), "g", "of", total).where("c <> main"), "strays")
+    if strays.isEmpty():
+        dropped(placed, named, strays)
+        return one
+    count = strays.groupBy("g", "size").agg(F.ceil(F.count("*") / block).alias("sb")).select("g", F.col("size").alias("of"), "sb")
+    base = join_groups(named, count, "g", "of", total).where("sb > 0").select("g", "j", "id", spread("sb").alias("s"), "c", F.lit(False).alias("asks"))
+    ask = join_groups(strays.drop("of", "main"), count, "g", "of", total).select("g", spread("nb").alias("j"), "id", F.pmod(F.xxhash64("id", F.lit(7)), F.col("sb")).alias("s"), "c", F.lit(True).alias("asks"))
+    two = links(base.unionByName(ask), "links")
+    dropped(placed, named, strays)
+    return one.unionByName(two)
+
+
+def named_texts(docs: DataFrame) -> DataFrame:
+    """(id, text): the set id and text of each distinct set with two shingles or more that a task reads."""
+
+    def run(batches):
+        once = Once()
+        for batch in batches:
+            ids, keep = [], []
+            for _, s in shingle_sets(batch.column(0)):
+                ids.append(set_id(set_key(s)))
+                keep.append(len(s) > 1 and once(ids[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0)], names=["id", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    return docs.selectExpr("cast(text as string) text").mapInArrow(run, "id bigint, text string")
+
+
+def linked_sets(docs: DataFrame, info: DataFrame, n_signatures: float) -> DataFrame:
     """(id, component) of all sets that link with another.
 
-    Candidates: each shared signature's members are paired with its smallest member; what possible() leaves forms
-    clusters. Members of one signature that lie in different clusters are then paired too. A signature that still joins
-    more than HOT clusters is hot: sets share slack + 1 signatures or more with each partner, so hot signatures can be
-    left out for a set that has at most slack of them; a set with more is paired with all members of its hot signatures.
-    So linking sets lie in one cluster. Texts are then brought together by cluster, once, and compared exactly. A cluster
-    of more than BLOCK members is dealt out in blocks, each with the cluster's two pivots; what the blocks leave outside
-    the cluster's main component is paired by signatures once more.
+    Linking sets share a signature. In each signature's list the members whose sizes and bins allow a link are joined;
+    the components of these joins are clusters, and linking sets lie in one cluster. The texts of clusters are brought
+    together, once, and joined by exact comparison.
     """
-    members = stored(shared_signatures(docs, n_signatures, common), "members")
-    tidy(docs.sparkSession)
-    least = members.groupBy("list_id").agg(F.min("id").alias("a"))
-    stars = members.join(least, "list_id").where("a <> id").groupBy("a", F.col("id").alias("b"), "slack").agg(F.sum("weight").alias("w"))
-    stars = stars.where("w > slack").select("a", "b")
-    stars = stored(possible(stars, info), "stars")
-    comp = stored(components(stars), "components")
+    members = shared_signatures(docs, n_signatures)
+    may = joined_in_blocks(members, info, ByBins, LIST_BLOCK, SLOT)
+    clusters = stored(components(may).select("id", F.col("component").alias("g")), "clusters")
     tidy(docs.sparkSession)
-    more = stored(pairs_across(members, comp, info), "more")
-    clusters = comp
-    if not more.isEmpty():
-        clusters = stored(components(stars.unionByName(more)), "components")
+    texts = stored(named_texts(docs).join(clusters.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     tidy(docs.sparkSession)
-    # texts by cluster
-    size = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    placed = join_groups(clusters, size, "component", "size", max(1, clusters.count())).join(info.select("id", F.col("rep").alias("doc_id")), "id")
-    placed = placed.select("doc_id", "id", F.col("component").alias("cluster"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").join(placed, "doc_id")
-    texts = stored(texts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("doc_id"), "texts")
-    tidy(docs.sparkSession)
-    pivots = texts.where("blocks > 1").groupBy("cluster").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("p"), F.max(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("q"))
-    pivots = pivots.select("cluster", F.explode(F.array("p", "q")).alias("id"))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
-    spread = texts.where("blocks > 1").join(pivots, ["cluster", "id"], "left_semi").select("id", "text", "cluster", "blocks", every)
-    links = stored(compared(texts.unionByName(spread.select(*texts.columns))), "links")
+    links = joined_in_blocks(clusters, texts, BySets, BLOCK, TEXT_SLOT)
     out = stored(components(links), "components")
-    large = texts.where("blocks > 1").select("id", "cluster").join(out, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    main = large.groupBy("cluster", "c").agg(F.count("*").alias("rows")).groupBy("cluster").agg(F.max(F.struct("rows", "c"))["c"].alias("main"))
-    if large.join(main, "cluster").where("c <> main").isEmpty():
-        dropped(members, stars, more, texts, links)
-        return out
-    # large clusters: what the blocks left apart is compared pair by pair, where signatures and bins allow a link
-    apart = stored(large.select("id", "c").distinct(), "apart")
-    pairs = pairs_across(members.join(apart.select("id"), "id", "left_semi"), apart.withColumnRenamed("c", "component"), info)
-    one = texts.select("id", "text").join(apart.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    pairs = pairs.join(one.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    out = stored(components(links.unionByName(pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint"))), "components")
-    dropped(members, stars, more, texts, links, apart)
+    dropped(members, clusters, texts)
     return out
 
 
+# -- documents -----------------------------------------------------------------------------------------------------------
+
+
+def rows_by_set(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(each, named): doc_id, n, key of each row; and key, copies, component (a set id), component_id of each distinct set
+    with elements: component_id is the smallest doc_id of the component."""
+    each = stored(set_table(docs), "sets-of-docs")
+    info = stored(each.where("n > 0").groupBy("key", "id", "n").agg(F.min("doc_id").alias("rep"), F.first("bins").alias("bins"), F.count("*").alias("copies")), "distinct")
+    sizes = info.agg(F.sum("n")).first()[0]
+    comp = linked_sets(docs, info, 1.1 * sizes) if sizes else info.select("id", F.col("id").alias("component"))
+    named = info.select("key", "id", "rep", "copies").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = stored(named, "named")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("sets"))
+    named = join_groups(named, least, "component", "sets", max(1, named.count()))
+    return each, named.select("key", "id", "rep", "copies", "component", "component_id")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Whole texts; a set is the distinct 5-word shingles (the whole sequence of a shorter text); null and word-less texts
-    have none and link with nothing. Equal sets link. Repeated rows and equal ids are rows of their own; a row without doc_id has the
-    smallest id of its group, or null. Other columns are ignored; an empty table gives no rows. Sets are told apart by
-    128-bit hashes of their 64-bit shingle hashes, and in the join by 64 bits of them.
+    have none and link with nothing. Equal sets link. Repeated rows and equal ids are rows of their own; a row without
+    doc_id has the smallest id of its group, or null. Other columns are ignored; an empty table gives no rows. Sets are
+    told apart by 128-bit hashes of their 64-bit shingle hashes, and in the join by 64 bits of them.
     """
-    each = stored(set_table(docs), "sets-of-docs")
-    info = stored(each.where("n > 0").groupBy("key", "id", "n").agg(F.min("doc_id").alias("rep"), F.first("bins").alias("bins"), F.count("*").alias("copies")), "distinct")
-    total, sizes = each.count(), info.agg(F.sum("n")).first()[0]
-    if not sizes:
-        return each.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    comp = linked_sets(docs, info, 0.55 * sizes, common_shingles(each))
-    named = info.select("key", "id", "rep", "copies").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    groups = named.join(least, "c").select("key", "copies", "component_id")
-    out = join_groups(each.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).otherwise(F.concat(F.lit("none:"), F.uuid())).alias("key")), groups, "key", "copies", total)
+    each, named = rows_by_set(docs)
+    key = F.when(F.col("n") > 0, F.col("key")).otherwise(F.concat(F.lit("none:"), F.uuid())).alias("key")
+    out = join_groups(each.select("doc_id", "n", key), named.select("key", "copies", "component_id"), "key", "copies", max(1, each.count()))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+@arrow_udf(StringType())
+def key_of_text(text: pa.Array) -> pa.Array:
+    """The set's key, null for word-less texts."""
+    return pa.array([set_key(s) if len(s) else None for _, s in shingle_sets(text)], pa.string())
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with the document of smallest id of each group of near duplicates; of rows equal in id one stays per set.
-    Word-less documents stay. Columns are unchanged."""
-    keep = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    """docs with one document of each group of near duplicates: the one of smallest id (rows without an id come last; of
+    rows equal in id and set an arbitrary one stays, of one id on several linked sets that of the smallest set hash).
+    Word-less documents all stay. Columns are unchanged; an empty table gives no rows."""
+    _, named = rows_by_set(docs)
+    reps = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "key")).alias("r"))
+    reps = reps.select(F.col("r.key").alias("_rep_key"), F.col("r.rep").alias("_rep_id"))
+    marked = docs.withColumn("_set_key", key_of_text(F.col("text").cast("string")))
+    same = (F.col("_set_key") == F.col("_rep_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_rep_id"))
+    once = marked.join(reps, same, "left_semi").dropDuplicates(["_set_key"])
+    return once.unionByName(marked.where("_set_key IS NULL")).select(*docs.columns)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
