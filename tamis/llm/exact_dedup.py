@@ -11,6 +11,9 @@ from .common import SPACE, join_groups, mix64, partitions_for, stored, table, te
 
 SLOTS = 4
 MAX_KICKS = 64
+#: Rows of a batch from which a digest is counted before the shuffle.
+HOT_IN_BATCH = 8
+NO_ID = 2**63 - 1
 
 
 class CuckooFilter:
@@ -85,37 +88,42 @@ class CuckooFilter:
 
 
 class BucketIndex:
-    """One bucket of the index: the filter answers most look-ups, its hits are verified against the kept digests."""
+    """One bucket of the index: the filter answers look-ups, and each hit is verified against the content record kept for
+    the digest: the whole SHA-256 with the length and a second, independent hash of the text."""
 
     def __init__(self, expected: int = 64) -> None:
-        self.filter, self.kept, self.false_hits = CuckooFilter(expected), {}, 0
+        self.filter, self.kept, self.hits, self.false_hits = CuckooFilter(expected), {}, 0, 0
 
     @staticmethod
     def keys(digests: list[str]) -> np.ndarray:
         return np.array([int(d[:16], 16) for d in digests], np.uint64).view(np.int64)
 
-    def insert(self, digests: list[str], ids: list[int], sizes: list[int]) -> None:
-        """Digests may repeat; a group keeps its smallest id and the sum of its sizes."""
-        merged: dict[str, list[int]] = {}
-        for d, i, n in zip(digests, ids, sizes):
-            if d in merged:
-                merged[d] = [min(merged[d][0], i), merged[d][1] + n]
-            else:
-                merged[d] = [i, n]
-        names = list(merged)
-        if not names:
-            return
-        new = []
-        for d, hit in zip(names, self.filter.contains(self.keys(names))):
-            have = self.kept.get(d) if hit else None
-            if have is None:
-                self.false_hits += bool(hit)
-                self.kept[d] = merged[d]
-                new.append(d)
-            else:
-                have[0], have[1] = min(have[0], merged[d][0]), have[1] + merged[d][1]
-        if new:
-            self.filter.insert(self.keys(new), [self.keys(list(self.kept))])
+    def insert(self, digests: list[str], content: list, ids: list[int], sizes: list[int]) -> None:
+        """Rows of live digests, each with its content record, smallest id and number of documents. A digest that is not in
+        the filter, or hits another's fingerprint, is inserted; a hit on the same content joins what is kept."""
+        while digests:
+            later: list[int] = []
+            new: list[str] = []
+            met: set[str] = set()
+            hit = self.filter.contains(self.keys(digests))
+            for k, d in enumerate(digests):
+                if d in met and not hit[k]:  # inserted with this call: looked up again once it is in the filter
+                    later.append(k)
+                    continue
+                have = self.kept.get(d) if hit[k] else None
+                if have is None:
+                    self.false_hits += bool(hit[k])
+                    self.kept[d] = [content[k], ids[k], sizes[k], 0]
+                    new.append(d)
+                    met.add(d)
+                elif have[0] != content[k]:
+                    raise ValueError(f"different texts with digest {d}")
+                else:
+                    self.hits += 1
+                    have[1], have[2], have[3] = min(have[1], ids[k]), have[2] + sizes[k], have[3] + 1
+            if new:
+                self.filter.insert(self.keys(new), [self.keys(list(self.kept))])
+            digests, content, ids, sizes = ([v[k] for k in later] for v in (digests, content, ids, sizes))
 
     def delete(self, digests: list[str]) -> list[str]:
         """Take live digests out; returns those that were there."""
@@ -130,35 +138,52 @@ def digest(column: str = "text"):
     return F.sha2(F.regexp_replace(text_or_empty(column), SPACE, " "), 256)
 
 
+def keyed_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, text_sha256 and the content record's length and second hash, of each row."""
+    normal = F.regexp_replace(text_or_empty(text_column), SPACE, " ")
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), normal.alias("t"))
+    return rows.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.octet_length("t").cast("bigint").alias("n_bytes"), F.xxhash64("t").alias("second"))
+
+
 def build_index(keyed: DataFrame, n_keys: float, removed: DataFrame | None = None, bucket_rows: int = 100_000) -> DataFrame:
-    """(text_sha256, keep_id, group_size) of the live digests of keyed(doc_id, text_sha256).
+    """(text_sha256, keep_id, group_size, hits) of the live digests of keyed_rows().
 
-    Rows of one digest are counted before the shuffle, so a digest that a third of all rows share sends one row a
-    task. Digests go to buckets by their value, a bucket holds about bucket_rows of them, and each bucket is one cuckoo
-    filter with its digests. removed(text_sha256): digests to delete from the index once everything is in it.
+    Every row is sent to the bucket of its digest and goes through that bucket's cuckoo filter; only of a digest that
+    HOT_IN_BATCH rows or more of one Arrow batch share, as a third of all rows may, one counted row is sent for the
+    batch. hits: how many rows of the digest met it in the filter and were verified. removed(text_sha256): digests
+    that are deleted from the index once everything is in it. A lost bucket is built again from its rows.
     """
     n = partitions_for(keyed.sparkSession, n_keys, bucket_rows)
-    part = keyed.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    part = part.select("text_sha256", "keep_id", "group_size", F.lit(False).alias("gone"))
-    if removed is not None:
-        part = part.unionByName(removed.select("text_sha256", F.lit(None).cast("bigint").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("gone")).distinct())
+    names = ["text_sha256", "n_bytes", "second", "keep_id", "group_size", "gone"]
+
+    def send(batches):
+        for pdf in batches:
+            pdf = pdf.rename(columns={"doc_id": "keep_id"})
+            pdf["keep_id"], pdf["group_size"], pdf["gone"] = pdf["keep_id"].astype("Int64"), 1, False
+            rows = pdf.groupby("text_sha256")["group_size"].transform("size") if len(pdf) else pdf["group_size"]
+            hot = pdf[rows >= HOT_IN_BATCH].groupby("text_sha256", as_index=False).agg({"n_bytes": "first", "second": "first", "keep_id": "min", "group_size": "sum", "gone": "first"})
+            for part in (pdf[rows < HOT_IN_BATCH], hot):
+                if len(part):
+                    yield part[names]
 
     def bucket(batches):
-        index = BucketIndex(1024)
-        gone: list[str] = []
+        index, gone = BucketIndex(1024), []
         for pdf in batches:
             old = pdf["gone"].to_numpy(bool)
             gone += list(pdf["text_sha256"][old])
             live = pdf[~old]
-            ids = [None if pd.isna(i) else int(i) for i in live["keep_id"]]
-            index.insert(list(live["text_sha256"]), [2**63 - 1 if i is None else i for i in ids], [int(x) for x in live["group_size"]])
+            ids = [NO_ID if pd.isna(i) else int(i) for i in live["keep_id"]]
+            index.insert(list(live["text_sha256"]), list(zip(live["n_bytes"], live["second"])), ids, [int(x) for x in live["group_size"]])
         index.delete(gone)
-        rows = [(d, None if i == 2**63 - 1 else i, n) for d, (i, n) in index.kept.items()]
-        out = pd.DataFrame(rows, columns=["text_sha256", "keep_id", "group_size"])
+        out = pd.DataFrame([(d, None if i == NO_ID else i, size, hits) for d, (_, i, size, hits) in index.kept.items()], columns=["text_sha256", "keep_id", "group_size", "hits"])
         out["keep_id"] = out["keep_id"].astype("Int64")
         yield out
 
-    return part.repartition(n, "text_sha256").mapInPandas(bucket, "text_sha256 string, keep_id bigint, group_size bigint")
+    part = keyed.mapInPandas(send, "text_sha256 string, n_bytes bigint, second bigint, keep_id bigint, group_size bigint, gone boolean")
+    if removed is not None:
+        none = F.lit(None).cast("bigint")
+        part = part.unionByName(removed.select("text_sha256", none.alias("n_bytes"), none.alias("second"), none.alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("gone")))
+    return part.repartition(n, "text_sha256").mapInPandas(bucket, "text_sha256 string, keep_id bigint, group_size bigint, hits bigint")
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -168,10 +193,10 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     (an id that stands on several equal rows is marked kept on each of them; rows without an id stay only in groups
     that have no id). Null texts equal empty ones. An empty table gives no rows. Other columns are ignored.
     """
-    keyed = stored(docs.select(F.col(id_column).cast("bigint").alias("doc_id"), digest(text_column).alias("text_sha256")), "digests")
+    keyed = stored(keyed_rows(docs, id_column, text_column), "digests")
     total = keyed.count()
-    groups = build_index(keyed, total)
-    out = join_groups(keyed, groups, "text_sha256", "group_size", total)
+    groups = stored(build_index(keyed, total), "index").drop("hits")
+    out = join_groups(keyed.select("doc_id", "text_sha256"), groups, "text_sha256", "group_size", total)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tamis.llm import chat, exact_dedup, licenses, mixing, near_vectors, ngram_join, packing, quality, repeats, secrets
+from tamis.llm import chat, exact_dedup, licenses, mixing, near_vectors, packing, quality, repeats, secrets
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, key string"
 
@@ -47,30 +47,34 @@ def test_cuckoo_filter_inserts_deletes_and_grows():
     index = exact_dedup.BucketIndex(4)
     names = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(5000)]
     for k in range(0, 5000, 500):
-        index.insert(names[k : k + 500], list(range(k, k + 500)), [1] * 500)
-    index.insert(names[:10], [99999] * 10, [2] * 10)
-    assert index.filter.resizes > 0 and index.kept[names[3]] == [3, 3]
+        index.insert(names[k : k + 500], [(1, 2)] * 500, list(range(k, k + 500)), [1] * 500)
+    assert index.hits == 0
+    index.insert(names[:10] * 2, [(1, 2)] * 20, [99999] * 20, [2] * 20)
+    assert index.filter.resizes > 0 and index.kept[names[3]] == [(1, 2), 3, 5, 2] and index.hits == 20
+    fresh = [hashlib.sha256(b"x").hexdigest()] * 3  # one call with the same new digest thrice
+    index.insert(fresh, [(0, 0)] * 3, [5, 4, 6], [1] * 3)
+    assert index.kept[fresh[0]] == [(0, 0), 4, 3, 2]
+    with pytest.raises(ValueError):
+        index.insert(names[:1], [(9, 9)], [1], [1])
     assert index.filter.contains(index.keys(names)).all()
     assert index.delete(names[:2500]) == names[:2500] and index.delete(names[:5]) == []
     assert index.filter.contains(index.keys(names[2500:])).all()
     assert index.filter.contains(index.keys(names[:2500])).mean() < 0.05
 
 
-def test_ngram_join(spark, texts):
-    def sets(t):
-        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if x]
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    s = [sets(t) for t in texts]
-    comp = list(range(len(s)))
-    for _ in s:
-        for i in range(len(s)):
-            for j in range(len(s)):
-                if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]):
-                    comp[i] = comp[j] = min(comp[i], comp[j])
-    got = {r.doc_id: r for r in ngram_join.near_groups(docs_of(spark, texts)).collect()}
-    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s[i]), comp[i]) for i in range(len(s))}
-    assert ngram_join.near_groups(docs_of(spark, [])).count() == 0
+def test_exact_groups_come_through_the_index(spark):
+    texts = ["hot \n text"] * 40 + [f"t{k % 60}" for k in range(180)] + [None, "", " "]
+    docs = docs_of(spark, texts).repartition(6)
+    keyed = exact_dedup.keyed_rows(docs)
+    index = {r.text_sha256: r for r in exact_dedup.build_index(keyed, 200).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest(), []).append(i)
+    assert {d: (r.keep_id, r.group_size) for d, r in index.items()} == {d: (v[0], len(v)) for d, v in want.items()}
+    assert sum(r.hits for r in index.values()) > 100  # live digests were met again in the filter
+    gone = hashlib.sha256(b"t7").hexdigest()
+    left = exact_dedup.build_index(keyed, 200, spark.createDataFrame([(gone,), ("0" * 64,)], "text_sha256 string")).collect()
+    assert {r.text_sha256 for r in left} == set(want) - {gone}
 
 
 def test_repeats(spark, texts):
