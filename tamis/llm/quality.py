@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, mix64, stored, table
+from .common import IS_SPACE, free_name, prefix_hash, span_hash, stored, table
 
 #: Bounds of the training sample: this many trusted positives and unlabelled rows, chosen by hash over all rows.
 MOST_POSITIVES = 20_000
@@ -16,7 +16,6 @@ MOST_UNLABELLED = 20_000
 #: Labelled training rows kept back from the risk to place the threshold and to estimate the class prior.
 MOST_TUNING = 20_000
 THRESHOLD = 0.7
-BUCKETS = 512
 
 #: Byte classes of UTF-8 text.
 UPPER = np.r_[65:91]
@@ -48,7 +47,7 @@ def features(text: str | None) -> np.ndarray:
         total = lambda flag: np.add.reduceat(flag[: int(end[-1])].astype(np.int32), start)
         letters = IS_UPPER[raw]
         ends = raw[end - 1]
-        code = np.add.reduceat(mix64(raw[: int(end[-1])].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(int(end[-1]), dtype=np.uint64) * np.uint64(0)), start) * np.uint64(31) + size.astype(np.uint64)
+        code = span_hash(prefix_hash(raw), start, end) ^ size.astype(np.uint64)
         distinct = len(np.unique(code))
         out[9:17] = size.mean() / 10, (size > 14).mean(), (size == 1).mean(), (total(letters) * 2 > size).mean(), IS_MARK[ends].mean(), (code[1:] == code[:-1]).mean() if words > 1 else 0, distinct / words, min(distinct, 200) / min(words, 200)
     out[17:20] = len(set(lines)) / len(lines), np.log1p(n / len(lines)) / 5, count.max()
@@ -180,13 +179,16 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text the model rejects; columns and all other rows unchanged."""
-    x = stored(feature_table(docs), "features")
-    model = train(x, labels, threshold)
+    """docs without the rows whose text the model rejects; columns and all other rows unchanged. The rows are written once
+    with their features, from which the model is trained and which it scores."""
+    name = free_name(docs, "features")
+    shape = F.pandas_udf(lambda texts: pd.Series([features(t).tolist() for t in texts], dtype=object), "array<float>")
+    marked = stored(docs.withColumn(name, shape(F.col("text").cast("string"))), "features")
+    model = train(marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(name).alias("x")), labels, threshold)
     if model is None:
         return docs
-    column = F.pandas_udf(lambda texts: pd.Series(model.score(np.stack([features(t) for t in texts]).astype(np.float64))) if len(texts) else pd.Series([], dtype="float64"), "double")
-    return docs.where(column(F.col("text").cast("string")) >= threshold)
+    column = F.pandas_udf(lambda x: pd.Series(model.score(np.array(x.tolist(), np.float64).reshape(-1, len(FEATURES)))), "double")
+    return marked.where(column(name) >= threshold).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
