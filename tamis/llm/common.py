@@ -17,18 +17,24 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir. Only where that is unset (tests, one machine) is one made here."""
+    """The folder all executors see: spark.checkpoint.dir. Only where that is unset and the driver runs all tasks itself (tests) is one made here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         found = tempfile.mkdtemp(prefix="spark-tamis-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
+#: Tables that stored() wrote and dropped() has not removed.
+scratch: list[DataFrame] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back. A lost executor costs a reread only."""
     spark = df.sparkSession
@@ -36,6 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tamis_path = path
+    scratch.append(out)
     return out
 
 
@@ -47,6 +54,7 @@ def dropped(*tables: DataFrame) -> None:
             jvm = df.sparkSession.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            scratch[:] = [t for t in scratch if t is not df]
     tidy(tables[0].sparkSession if tables else None)
 
 
@@ -57,6 +65,13 @@ def tidy(spark: SparkSession | None) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -93,7 +108,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return out.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in others])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (id, component), component = smallest id reachable, only ids with an edge.
 
     Large-star and small-star rounds (Kiveris et al. 2014): every id points at the smallest neighbour until nothing
@@ -102,7 +117,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = stored(e, "edges")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -115,8 +130,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     ids = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_groups, mix64, partitions_for, stored, table, text_or_empty
+from .common import SPACE, free_name, join_groups, mix64, partitions_for, stored, table, text_or_empty
 
 SLOTS = 4
 MAX_KICKS = 64
@@ -201,11 +201,13 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text an earlier id has; of rows equal in id and text one stays. Columns are unchanged."""
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha", digest())
-    once = marked.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (marked["_sha"] == keep["_sha"]), "left_semi")
-    return once.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    """docs without the rows whose text an earlier id has; of rows equal in id and text one stays (which, where their other
+    columns differ, is left open). Columns are unchanged, whatever their names; an empty table gives no rows."""
+    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    name = free_name(docs, "sha")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.col(name) == F.col("_kept_sha"))
+    once = docs.withColumn(name, digest()).join(keep, same, "left_semi")
+    return once.dropDuplicates(["doc_id", name]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-from .common import IS_SPACE, LOWER, components, dropped, join_groups, mix64, partitions_for, prefix_hash, span_hash, stored, table, tidy
+from .common import IS_SPACE, LOWER, components, dropped, free_name, join_groups, mix64, partitions_for, prefix_hash, span_hash, stored, table, tidy
 
 WORDS = 5
 #: Two sets link when 100 * |x & y| >= 75 * |x | y|; the bounds below follow from this similarity.
@@ -155,12 +155,20 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bins_of(s: np.ndarray) -> np.ndarray:
-    """Elements by their top byte, at most 255 each: two sets differ in as many elements as their bins do, or more."""
-    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    """Elements by their top bits, at most 255 each: two sets differ in as many elements as their bins do, or more.
+
+    At least a bin for four elements, so that bins of large sets that have nothing in common differ by more than links may."""
+    bits = max(BINS.bit_length() - 1, (len(s) // 4 - 1).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def folded(bins: np.ndarray, size: int) -> np.ndarray:
+    """The same counts in fewer bins."""
+    return bins.reshape(size, -1).sum(1, dtype=np.int16)
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), key (128 bits of the set), id (64 of them), bins (256 counts by element hash)."""
+    """doc_id, n (set size), key (128 bits of the set), id (64 of them), bins (see bins_of)."""
     schema = "doc_id bigint, n bigint, key string, id bigint, bins binary"
 
     def run(batches):
@@ -270,7 +278,9 @@ def shared_signatures(docs: DataFrame, n_signatures: float) -> DataFrame:
         lists = stored(sent_signatures(docs, 8 * n, part).repartition(n, "bucket").mapInArrow(met, "g bigint, id bigint"), "lists")
         tidy(docs.sparkSession)
         out = lists if out is None else out.unionByName(lists)
-    return stored(out.distinct(), "members")
+    out = stored(out.distinct(), "members")
+    tidy(docs.sparkSession)
+    return out
 
 
 # -- comparison in blocks ----------------------------------------------------------------------------------------------
@@ -287,8 +297,9 @@ class ByBins:
     payload = ("n", "bins")
 
     def __init__(self, t: pa.Table, order: np.ndarray) -> None:
-        self.n = t.column("n").to_numpy()[order]
-        self.bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)[order].astype(np.int16)
+        self.n, raw = t.column("n").to_numpy()[order], t.column("bins").to_pylist()
+        self.fine = [np.frombuffer(raw[k], np.uint8) for k in order]
+        self.bins, self.group = np.stack([folded(x, BINS) for x in self.fine]), -1
 
     def may(self, k, others: np.ndarray) -> np.ndarray:
         n, m = self.n[k], self.n[others]
@@ -299,10 +310,25 @@ class ByBins:
         return out
 
     def to_heads(self, heads: np.ndarray) -> np.ndarray:
-        return self.may(heads, np.arange(len(heads)))
+        """For each row whether it is similar to the first row of its group."""
+        out = self.may(heads, np.arange(len(heads)))
+        for k in np.flatnonzero(out):
+            size = min(len(self.fine[k]), len(self.fine[heads[k]]))
+            if size > BINS:
+                differ = np.abs(folded(self.fine[k], size) - folded(self.fine[heads[k]], size)).sum(dtype=np.int64)
+                out[k] = 7 * differ <= self.n[k] + self.n[heads[k]]
+        return out
 
-    def hits(self, k: int, others: np.ndarray, label: np.ndarray) -> np.ndarray:
+    def hits(self, k: int, span: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Rows of k's group that are similar to k, one of each other label."""
+        others = span[label[span] != label[k]]
         near = others[self.may(int(k), others)]
+        if len(near) and self.group != span[0]:
+            self.group, size = span[0], min(len(self.fine[m]) for m in span)
+            self.matrix = np.stack([folded(self.fine[m], size) for m in span]) if size > BINS else None
+        if len(near) and self.matrix is not None:
+            differ = np.abs(self.matrix[near - span[0]] - self.matrix[k - span[0]]).sum(1, dtype=np.int64)
+            near = near[7 * differ <= self.n[k] + self.n[near]]
         return near[np.unique(label[near], return_index=True)[1]]
 
 
@@ -316,22 +342,27 @@ class BySets(ByBins):
         for chunk in t.column("text").chunks:
             sets += [s for _, s in shingle_sets(chunk)]
         self.sets = [sets[k] for k in order]
-        self.n = np.array([len(s) for s in self.sets], np.int64)
-        self.bins = np.stack([bins_of(s) for s in self.sets]).astype(np.int16)
+        self.n, self.group = np.array([len(s) for s in self.sets], np.int64), -1
+        self.bins = np.stack([folded(bins_of(s), BINS) for s in self.sets])
 
     def to_heads(self, heads: np.ndarray) -> np.ndarray:
-        out = super().to_heads(heads)
+        out = self.may(heads, np.arange(len(heads)))
         for k in np.flatnonzero(out):
             out[k] = linked(self.sets[k], self.sets[heads[k]])
         return out
 
-    def hits(self, k: int, others: np.ndarray, label: np.ndarray) -> np.ndarray:
-        found, done = [], set()
-        for m in others[self.may(int(k), others)]:
-            if label[m] not in done and linked(self.sets[k], self.sets[m]):
-                found.append(m)
-                done.add(label[m])
-        return np.array(found, np.int64)
+    def hits(self, k: int, span: np.ndarray, label: np.ndarray) -> np.ndarray:
+        if self.group != span[0]:  # all sets of the group as places in one table of its elements
+            self.group, self.first = span[0], np.cumsum(self.n[span]) - self.n[span]
+            values, self.place = np.unique(np.concatenate([self.sets[m] for m in span]), return_inverse=True)
+            self.mark = np.zeros(len(values), bool)
+        at = self.first[k - span[0]]
+        mine = self.place[at : at + self.n[k]]
+        self.mark[mine] = True
+        both = np.add.reduceat(self.mark[self.place], self.first, dtype=np.int64)
+        self.mark[mine] = False
+        near = span[(label[span] != label[k]) & (100 * both >= SIMILARITY * (self.n[k] + self.n[span] - both))]
+        return near[np.unique(label[near], return_index=True)[1]]
 
 
 def spanning_forest(kind: type):
@@ -366,8 +397,7 @@ def spanning_forest(kind: type):
             for k in span[asks[span]]:
                 if every and label[k] == label[begin]:
                     continue
-                others = span[label[span] != label[k]]
-                hits = kind_of.hits(k, others, label) if len(others) else others
+                hits = kind_of.hits(k, span, label)
                 if len(hits):
                     a.append(np.full(len(hits), ids[k]))
                     b.append(ids[hits])
@@ -401,7 +431,9 @@ def joined_in_blocks(members: DataFrame, payload: DataFrame, kind: type, block:
     def links(rows: DataFrame, name: str) -> DataFrame:
         slots = partitions_for(spark, 1.2 * total, slot)
         rows = rows.join(payload.select("id", *kind.payload), "id").withColumn("slot", F.pmod(F.xxhash64("g", "j", "s"), F.lit(slots)))
-        return stored(rows.groupBy("slot").applyInArrow(spanning_forest(kind), "a bigint, b bigint"), name)
+        out = stored(rows.groupBy("slot").applyInArrow(spanning_forest(kind), "a bigint, b bigint"), name)
+        tidy(spark)
+        return out
 
     one = links(first, "links")
     if large.isEmpty():
@@ -500,10 +532,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     _, named = rows_by_set(docs)
     reps = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "key")).alias("r"))
     reps = reps.select(F.col("r.key").alias("_rep_key"), F.col("r.rep").alias("_rep_id"))
-    marked = docs.withColumn("_set_key", key_of_text(F.col("text").cast("string")))
-    same = (F.col("_set_key") == F.col("_rep_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_rep_id"))
-    once = marked.join(reps, same, "left_semi").dropDuplicates(["_set_key"])
-    return once.unionByName(marked.where("_set_key IS NULL")).select(*docs.columns)
+    name = free_name(docs, "set_key")
+    marked = docs.withColumn(name, key_of_text(F.col("text").cast("string")))
+    same = (F.col(name) == F.col("_rep_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_rep_id"))
+    once = marked.join(reps, same, "left_semi").dropDuplicates([name])
+    return once.unionByName(marked.where(F.col(name).isNull())).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,18 +94,57 @@ def test_repeats(spark, texts):
 
 
 def test_mixing(spark, texts):
-    rows = mixing.taken_words(docs_of(spark, texts * 8), shard_words=500).collect()
+    many, sources = texts * 8, ["b", "a", None]
+    rows = mixing.taken_words(docs_of(spark, many), shard_words=500).collect()
+    # brute force: sizes, targets by water filling
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in many]
+    total = {k: sum(n for i, n in enumerate(size) if sources[i % 3] == k) for k in sources}
+    weight, budget, want = {"a": 3.0, "b": 1.0, None: 2.0}, 1.5 * sum(size), {}
+    while len(want) < 3:
+        share = (budget - sum(want.values())) / sum(weight[k] for k in sources if k not in want)
+        over = [k for k in sources if k not in want and weight[k] * share > 2 * total[k]]
+        want |= {k: 2.0 * total[k] for k in over} if over else {k: weight[k] * share for k in sources if k not in want}
+    taken = dict.fromkeys(sources, 0)
+    assert sorted(r.doc_id for r in rows) == list(range(len(many)))
     for r in rows:
-        assert 0 <= r.taken <= 2 * r["size"]
-    want = {}
-    for r in rows:
-        t = want.setdefault((r.source_size, r.target), [0])
-        t[0] += r.taken
-    assert all(abs(k[1] - v[0]) < 3 for k, v in want.items())
-    assert mixing.taken_words(docs_of(spark, [])).count() == 0
+        k = sources[r.doc_id % 3]
+        taken[k] += r.taken
+        assert (r["size"], r.source_size) == (size[r.doc_id], total[k]) and abs(r.target - want[k]) < 1e-6 and 0 <= r.taken <= 2 * r["size"]
+    assert all(abs(want[k] - taken[k]) < 3 for k in sources)
+    assert rows == mixing.taken_words(docs_of(spark, many), shard_words=500).collect()
+    assert mixing.taken_words(docs_of(spark, [])).count() == 0 and mixing.mixed_documents(docs_of(spark, [])).count() == 0
     assert mixing.targets([10, 10, 10]) == [20.0, 25 / 3, 50 / 3]
-    first, n = zip(*[mixing.shard_quota(np.array([50, 7, 0, 31]), k, 6, 3) for k in range(6)])
-    assert (sum(n) == [50, 7, 0, 31]).all() and (np.diff(first, axis=0) == n[:-1]).all()
+
+
+def test_splitting_tree_partitions_the_quotas():
+    quota = np.array([50, 7, 0, 31])
+    tree = mixing.SplittingTree(quota, 6, 3)
+    first, n = zip(*[tree.quota(k) for k in range(6)])
+    assert (sum(n) == quota).all() and (np.diff(first, axis=0) == n[:-1]).all()
+    for source in (0, 1, 3):
+        shard = mixing.SplittingTree(quota, 6, 3).shard_of(np.full(quota[source], source), np.arange(quota[source]))
+        assert np.bincount(shard, minlength=6).tolist() == [int(x[source]) for x in n]
+
+
+def test_mixed_documents_lie_by_shard(spark, texts):
+    rows = [(i, t, ["b", "a", None][i % 3], 7, i, "s", 1.5) for i, t in enumerate(texts * 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size int, n_chars bigint, shard string, target double")
+    got = mixing.mixed_documents(docs, shard_words=500, with_shard=True)
+    assert got.columns == [*docs.columns, "_shard"]
+    out = got.collect()
+    shards = [r._shard for r in out]
+    assert shards == sorted(shards) and len(set(shards)) > 6
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    per = {}
+    for r in out:
+        assert (r["size"], r.shard, r.target) == (7, "s", 1.5)
+        whole = words(rows[r.doc_id][1])
+        assert words(r.text) == whole[: len(words(r.text))] and (r.text == rows[r.doc_id][1] or r.n_chars == len(r.text))
+        per[r.doc_id] = per.get(r.doc_id, 0) + len(words(r.text))
+    taken = {r.doc_id: r.taken for r in mixing.taken_words(docs, shard_words=500).collect()}
+    assert {i: per.get(i, 0) for i in taken} == taken
+    ids = [r.doc_id for r in out if r._shard == shards[0]]
+    assert ids != sorted(ids)  # shuffled inside
 
 
 def test_packing_covers_each_token_once(spark, texts):
