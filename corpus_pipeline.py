@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tamis.llm import exact_dedup, mixing, ngram_join, packing, quality
-from tamis.llm.common import stored
+from tamis.llm.common import dropped, scratch, stored
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +41,17 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A trained classifier and a tokenizer stand in the way of SQL; tests hold the stages against brute force.
+#: A trained classifier and a tokenizer stand in the way of SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written in the shared folder and read again."""
+    """All stages over `documents`; each result is written in the shared folder and read again, and what the stage wrote
+    on its way, with the result of the stage before, is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        before = list(scratch)
+        result = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        dropped(*[t for t in scratch if t is docs or (t is not result and not any(t is b for b in before))])
+        docs = result
     return docs
