@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def by_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their group; a null in a group's name is a name like any other."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))  # one row
+    names = groups.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], *[c for c in groups.columns if c not in by])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(by)])
+    return rows.join(names, same).drop(*[f"_g{k}" for k in range(len(by))])
+
+
+def in_ranges(distinct: DataFrame, by: list[str], value: str, parts: int = 64) -> DataFrame:
+    """distinct, one row for each value of a group, with _r: the values of a group in at most `parts` ranges of like numbers
+    of values, cut where the data are. However the values pile up, a range holds about one part of the distinct ones."""
+    cuts = distinct.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("_cuts"))
+    return by_group(distinct, cuts, by).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
 def prefix_counts(scored: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
     """For each distinct score of each group: p, n (positives and rows at it), cp, cn (at it or above), tp, tn (totals).
 
-    Rows collapse to distinct scores first. The running sum is cut in ranges of the score: each range sums alone, and the
-    totals of the ranges above are added, so nearly unique scores do not meet in one task."""
+    Rows collapse to distinct scores first. The running sum is cut in ranges of the distinct scores: each range sums alone,
+    and the totals of the ranges above are added, so nearly unique scores do not meet in one task. Groups may be null."""
     d = scored.where("score IS NOT NULL").groupBy(*by, "score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
-    cut = d.withColumn("_r", F.floor(F.col("score") * parts))
+    cut = in_ranges(d, by, "score", parts)
     ranges = cut.groupBy(*by, "_r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
     above = W.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
     ranges = ranges.select(*by, "_r", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("an"), F.sum("rp").over(whole).alias("tp"), F.sum("rn").over(whole).alias("tn"))
     run = W.partitionBy(*by, "_r").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    out = cut.join(ranges, [*by, "_r"])
+    out = by_group(cut, ranges, [*by, "_r"])
     return out.select(*by, "score", "p", "n", (F.col("ap") + F.sum("p").over(run)).alias("cp"), (F.col("an") + F.sum("n").over(run)).alias("cn"), "tp", "tn")
 
 
 def ranking(counts: DataFrame, by: list[str]) -> DataFrame:
     """Average precision and ROC-AUC with ties; null where only one class is there."""
-    neg, below = F.col("tn") - F.col("tp"), (F.col("tn") - F.col("tp")) - (F.col("cn") - F.col("cp"))
+    below = (F.col("tn") - F.col("tp")) - (F.col("cn") - F.col("cp"))
     at = F.col("n") - F.col("p")
     g = counts.groupBy(*by).agg(F.first("tp").alias("n_pos"), F.first("tn").alias("n"), F.sum(F.col("cp") / F.col("cn") * F.col("p")).alias("s"), F.sum((F.col("p") * (2 * below + at)).cast("decimal(38,0)")).alias("u"))
-    del neg
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
     return g.select(*by, "n", "n_pos", F.when(both, F.round(F.col("s") / F.col("n_pos"), 6)).alias("aucpr"), F.when(both, F.round(F.col("u").cast("double") / 2 / F.col("n_pos") / (F.col("n") - F.col("n_pos")), 6)).alias("rocauc"))
 
@@ -91,22 +108,21 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
     return out.select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.col("sp").cast("double") / F.col("n"), 6).alias("mean_confidence"), F.round(F.col("sy") / F.col("n"), 6).alias("positive_rate"), F.round(F.col("all_sq") / F.col("total"), 6).alias("brier"), F.round(F.col("all_gap") / F.col("total"), 6).alias("ece"))
 
 
-def quantiles(rows: DataFrame, columns: list[str], q: float, parts: int = 64) -> DataFrame:
-    """name, value: the exact quantile q of each column (linear between neighbours); nulls, NaN and infinities are left out.
-
-    Rows collapse to distinct values; approximate quantiles cut these in ranges that are summed alone, as in prefix_counts."""
+def quantiles(rows: DataFrame, columns: list[str], q: float, parts: int = 64, by: list[str] | None = None) -> DataFrame:
+    """by columns, name, value: the exact quantile q of each column (linear between neighbours); nulls, NaN and infinities
+    are left out. Rows collapse to distinct values, which are cut in ranges that are summed alone, as in prefix_counts."""
+    key = [*(by or []), "name"]
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]))
-    d = rows.select(pairs.alias("x")).select("x.name", "x.v").where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')").groupBy("name", "v").agg(F.count("*").alias("n"))
-    cuts = d.groupBy("name").agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], 1000).alias("cuts"))  # a row for each column
-    d = d.join(F.broadcast(cuts), "name").select("name", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("_r"))
-    ranges = d.groupBy("name", "_r").agg(F.sum("n").alias("rn"))
-    before = F.coalesce(F.sum("rn").over(W.partitionBy("name").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select("name", "_r", before.alias("below"), F.sum("rn").over(W.partitionBy("name")).alias("total"))
-    run = F.sum("n").over(W.partitionBy("name", "_r").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    d = rows.select(*(by or []), pairs.alias("x")).select(*(by or []), "x.name", "x.v").where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')")
+    d = in_ranges(d.groupBy(*key, "v").agg(F.count("*").alias("n")), key, "v", parts)
+    ranges = d.groupBy(*key, "_r").agg(F.sum("n").alias("rn"))
+    before = F.coalesce(F.sum("rn").over(W.partitionBy(*key).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*key, "_r", before.alias("below"), F.sum("rn").over(W.partitionBy(*key)).alias("total"))
+    run = F.sum("n").over(W.partitionBy(*key, "_r").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
     at = (F.col("total") - 1) * F.lit(q)
-    d = d.join(ranges, ["name", "_r"]).select("name", "v", (F.col("below") + run).alias("upto"), at.alias("at"))
-    g = d.groupBy("name").agg(F.first("at").alias("at"), F.min(F.when(F.col("upto") > F.floor("at"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v"))).alias("b"))
-    return g.select("name", (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("value"))
+    d = by_group(d, ranges, [*key, "_r"]).select(*key, "v", (F.col("below") + run).alias("upto"), at.alias("at"))
+    g = d.groupBy(*key).agg(F.first("at").alias("at"), F.min(F.when(F.col("upto") > F.floor("at"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v"))).alias("b"))
+    return g.select(*key, (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("value"))
 
 
 def summary(cells: DataFrame, by: list[str], metric: str) -> DataFrame:

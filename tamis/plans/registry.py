@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamis.functions import email, network, replies
-from tamis.operators import learn, metrics, prevalence, splits
+from tamis.operators import learn, metrics, prevalence, report, splits
 
 from . import views
 from .views import EMAILS, PACKETS, PREDICTIONS
@@ -118,9 +118,9 @@ def split_hashed_groups(spark, sf_dir):
     return partitioned(spark, sf_dir).select("doc_id", "part")
 
 
-@query(f"""WITH {ANNOTATED}, h AS (SELECT source, content_hash AS k FROM annotated WHERE source IN ('src0', 'src1', 'src2', 'src3') GROUP BY ALL) SELECT a.source AS part_a, b.source AS part_b, count(*) AS shared FROM h a JOIN h b ON a.k = b.k AND a.source < b.source GROUP BY 1, 2""")
+@query(f"""WITH {ANNOTATED}, h AS (SELECT source, content_hash AS k FROM annotated GROUP BY ALL) SELECT a.source AS part_a, b.source AS part_b, count(*) AS shared FROM h a JOIN h b ON a.k = b.k AND a.source < b.source GROUP BY 1, 2""")
 def partition_overlap(spark, sf_dir):
-    rows = annotated(spark, sf_dir).where(F.col("source").isin("src0", "src1", "src2", "src3")).withColumn("part", F.col("source"))
+    rows = annotated(spark, sf_dir).where("source IS NOT NULL").withColumn("part", F.col("source"))
     return splits.partition_overlap(rows, "content_hash")
 
 
@@ -322,10 +322,10 @@ def operating_points(spark, sf_dir):
 @query(f"""WITH {COUNTS}, a AS (SELECT source, max(score) FILTER (tp > 0 AND cp >= ceil(0.9::DOUBLE * tp)) AS recall_threshold, min(score) FILTER (cp / cn >= 0.08::DOUBLE) AS precision_threshold FROM c GROUP BY 1) SELECT * FROM a""")
 def threshold_selection(spark, sf_dir):
     c = metrics.prefix_counts(views.emails(spark, sf_dir), ["source"])
-    every = c.select("source").distinct()
-    r = metrics.recall_threshold(c, ["source"], 0.9).withColumnRenamed("threshold", "recall_threshold")
-    p = metrics.precision_threshold(c, ["source"], 0.08).withColumnRenamed("threshold", "precision_threshold")
-    return every.join(r, "source", "left").join(p, "source", "left").select("source", "recall_threshold", "precision_threshold")
+    # both in one grouping, so that a null source is a group as any other
+    recall = F.max(F.when((F.col("tp") > 0) & (F.col("cp") >= F.ceil(F.lit(0.9) * F.col("tp"))), F.col("score")))
+    precision = F.min(F.when(F.col("cp") / F.col("cn") >= 0.08, F.col("score")))
+    return c.groupBy("source").agg(recall.alias("recall_threshold"), precision.alias("precision_threshold"))
 
 
 @query(f"""WITH {RATES}, x AS (SELECT *, tp / (tp + fn) AS tpr, fp / (fp + tn) AS fpr FROM r, (SELECT unnest([0.01, 0.001]::DOUBLE[]) AS pi)) SELECT threshold::DOUBLE AS threshold, pi AS prior, round(pi * tpr / (pi * tpr + (1 - pi) * fpr), 6) AS precision_at_prior, round(1000 * (1 - pi) * fpr, 4) AS fp_per_1k, round(1000 * (pi * tpr + (1 - pi) * fpr), 4) AS alerts_per_1k FROM x""")
@@ -395,10 +395,21 @@ def best_configurations(spark, sf_dir):
     return m.withColumn("rank", rank).where("rank <= 2").select("task", "source", "aucpr", "rank")
 
 
-@query("""SELECT event_type AS model, count(*) AS calls, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, count(*) FILTER (value IS NULL) AS unreported, round(1000000.0 / 20 / 3600 * 0.4, 6) AS dollars_per_million FROM events GROUP BY 1""")
+RUN_LOG = """run_log AS (SELECT event_type AS model, value AS latency_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) + 100 AS tokens_in,
+ CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 13 + 1 END AS tokens_out FROM events)"""
+
+
+@query(f"""WITH {RUN_LOG} SELECT model, count(*) AS calls, count(latency_ms) AS timed, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95,
+ round(sum(latency_ms::DECIMAL(18, 6))::DOUBLE / count(latency_ms), 4) AS mean_ms, round(count(latency_ms) / (sum(latency_ms::DECIMAL(18, 6))::DOUBLE / 1000), 6) AS per_second,
+ round(sum(tokens_in) / count(tokens_in), 6) AS tokens_in, round(sum(tokens_out) / count(tokens_out), 6) AS tokens_out, count(*) FILTER (tokens_out IS NULL) AS unreported,
+ round(sum(tokens_in) / count(tokens_in) * 3 + sum(tokens_out) / count(tokens_out) * 15, 4) AS metered_per_million,
+ round(1000000 / (count(latency_ms) / (sum(latency_ms::DECIMAL(18, 6))::DOUBLE / 1000)) / 3600 * 0.4, 4) AS amortised_per_million FROM run_log GROUP BY 1""")
 def run_cost(spark, sf_dir):
+    """Latency, throughput, tokens and both prices of a million records, by model, from a log of calls."""
     e = views.read(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("calls"), F.round(F.percentile("value", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 4).alias("p95"), F.count_if(F.col("value").isNull()).alias("unreported")).withColumn("dollars_per_million", F.round(F.lit(1e6 / 20 / 3600 * 0.4), 6))
+    k = F.get_json_object("props", "$.k").cast("bigint") + 100
+    log = e.select(F.col("event_type").alias("model"), F.col("value").alias("latency_ms"), k.alias("tokens_in"), F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 13 + 1).alias("tokens_out"))
+    return report.run_costs(log, ["model"], price_in=3.0, price_out=15.0, hourly=0.4)
 
 
 @query(f"""WITH {FLOWS}, s AS (SELECT *, ((total_bytes * 7 + pkt_count * 13) % 101) / 100.0 AS gate, ((dst_port * 31 + total_bytes) % 97) / 96.0 AS llm FROM flows), r AS (SELECT *, greatest(gate, 1 - gate) < 0.7 AS routed, CASE WHEN greatest(gate, 1 - gate) < 0.7 THEN llm ELSE gate END AS final FROM s)
@@ -441,4 +452,4 @@ def calibrated_scores(spark, sf_dir):
     return learn.platt(cal, test).select("doc_id", F.col("p1").alias("platt")).join(learn.isotonic(cal, test).select("doc_id", F.col("p1").alias("isotonic")), "doc_id")
 
 
-from . import evaluation  # noqa: E402,F401  registers further queries
+from . import evaluation, reports  # noqa: E402,F401  register further queries
