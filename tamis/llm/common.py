@@ -31,6 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of the batches that go to Python while a table is stored: texts may be long, and several workers share an executor.
+ARROW_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 2_000
 #: Tables that stored() wrote and dropped() has not removed.
 scratch: list[DataFrame] = []
 
@@ -39,7 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back. A lost executor costs a reread only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tamis-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_BATCH)
+    spark.conf.set(ARROW_BATCH, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tamis_path = path
     scratch.append(out)

@@ -19,7 +19,7 @@ CHUNK = 1 << 20
 BINS = 256
 #: Elements whose signatures are made at once, and signatures of a shuffle partition.
 HELD = 300_000
-PER_PARTITION = 1_500_000
+PER_PARTITION = 750_000
 #: The signatures go through the shuffle in so many slices, one after the other, so that the disk holds one at a time.
 SLICES = 2
 #: Members of a signature's list, and texts of a cluster, that are compared with each other in one task.
@@ -236,7 +236,7 @@ def sent_signatures(docs: DataFrame, buckets: int, part: int) -> DataFrame:
 
 
 def met(batches):
-    """(g, id): the members of each distinct list of two sets or more that share a signature; equal lists once."""
+    """(g, id, size): the members of each distinct list of two sets or more that share a signature; equal lists once."""
     sigs, ids = [], []
     for batch in batches:
         for b, high, low, i in zip(*batch.columns):
@@ -265,17 +265,17 @@ def met(batches):
     first = np.zeros(len(at), bool)
     first[np.unique(np.where(size > 1, name, 0), return_index=True)[1]] = True
     take = np.repeat(first & (size > 1), size)
-    g, i = np.repeat(name, size)[take].view(np.int64), i[take]
+    g, i, size = np.repeat(name, size)[take].view(np.int64), i[take], np.repeat(size, size)[take].astype(np.int64)
     for k in range(0, len(i), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(g[k : k + 100_000]), pa.array(i[k : k + 100_000])], names=["g", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in (g, i, size)], names=["g", "id", "size"])
 
 
 def shared_signatures(docs: DataFrame, n_signatures: float) -> DataFrame:
-    """(g, id), stored: the lists of sets that share a signature; lists of equal members have one name and are one."""
+    """(g, id, size), stored: the lists of sets that share a signature; lists of equal members have one name and are one."""
     n = partitions_for(docs.sparkSession, n_signatures / SLICES, PER_PARTITION)
     out = None
     for part in range(SLICES):
-        lists = stored(sent_signatures(docs, 8 * n, part).repartition(n, "bucket").mapInArrow(met, "g bigint, id bigint"), "lists")
+        lists = stored(sent_signatures(docs, 8 * n, part).repartition(n, "bucket").mapInArrow(met, "g bigint, id bigint, size bigint"), "lists")
         tidy(docs.sparkSession)
         out = lists if out is None else out.unionByName(lists)
     out = stored(out.distinct(), "members")
@@ -365,6 +365,23 @@ class BySets(ByBins):
         return near[np.unique(label[near], return_index=True)[1]]
 
 
+def joining(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Those of the links (a, b) that join what the ones before them left apart."""
+    names, place = np.unique(np.r_[a, b], return_inverse=True)
+    root, kept = list(range(len(names))), []
+    for k, (x, y) in enumerate(zip(place[: len(a)].tolist(), place[len(a) :].tolist())):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        while root[y] != y:
+            root[y] = root[root[y]]
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(k)
+    return pa.table({"a": pa.array(a[kept], pa.int64()), "b": pa.array(b[kept], pa.int64())})
+
+
 def spanning_forest(kind: type):
     """Links (a, b) that join the rows of each group (g, j, s) as far as kind's similarity does, one less than its rows at most.
 
@@ -402,15 +419,14 @@ def spanning_forest(kind: type):
                     a.append(np.full(len(hits), ids[k]))
                     b.append(ids[hits])
                     label[span[np.isin(label[span], label[hits])]] = label[k]
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        return joining(np.concatenate(a), np.concatenate(b))
 
     return run
 
 
 def joined_in_blocks(members: DataFrame, payload: DataFrame, kind: type, block: int, slot: int) -> DataFrame:
-    """Links (a, b), stored, that join all of members(g, id) that share a g and are similar, directly or through others.
+    """Links (a, b), stored, that join all of members(g, id, size of g) that share a g and are similar, directly or
+    through others.
 
     payload(id, ...) has what kind compares. A group of more than `block` members is dealt out in blocks, each with the
     group's two pivots. What the blocks leave outside the group's largest component, the strays, then meets every block;
@@ -418,8 +434,7 @@ def joined_in_blocks(members: DataFrame, payload: DataFrame, kind: type, block:
     them are strays; nothing is ever emitted for a pair but a link that joins two components.
     """
     spark, total = members.sparkSession, max(1, members.count())
-    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
-    placed = join_groups(members, sizes, "g", "size", total).withColumn("nb", F.ceil(F.col("size") / block))
+    placed = members.withColumn("nb", F.ceil(F.col("size") / block))
     placed = stored(placed.select("g", "id", "size", "nb", F.pmod(F.xxhash64("id", "g"), F.col("nb")).alias("j")), "placed")
     large = placed.where("nb > 1")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -441,16 +456,17 @@ def joined_in_blocks(members: DataFrame, payload: DataFrame, kind: type, block:
         return one
     comp = components(one).withColumnRenamed("component", "c")
     named = stored(large.join(comp, "id", "left").withColumn("c", F.coalesce("c", "id")), "named")
-    main = named.groupBy("g", "c", "size").agg(F.count("*").alias("rows")).groupBy("g", "size").agg(F.max(F.struct("rows", "c"))["c"].alias("main"))
-    strays = stored(join_groups(named, main.select("g", "main", F.col("size").alias("of")), "g", "of", total).where("c <> main"), "strays")
-    if strays.isEmpty():
-        dropped(placed, named, strays)
+    most = named.groupBy("g", "size", "c").agg(F.count("*").alias("rows")).groupBy("g", "size").agg(F.max(F.struct("rows", "c")).alias("m"))
+    strays = F.col("size") - F.col("m.rows")
+    apart = most.where(strays > 0).select("g", F.col("m.c").alias("main"), F.ceil(strays / block).alias("sb"), F.col("size").alias("of"))
+    rest = stored(join_groups(named, apart, "g", "of", total).where("sb > 0"), "apart")
+    if rest.isEmpty():
+        dropped(placed, named, rest)
         return one
-    count = strays.groupBy("g", "size").agg(F.ceil(F.count("*") / block).alias("sb")).select("g", F.col("size").alias("of"), "sb")
-    base = join_groups(named, count, "g", "of", total).where("sb > 0").select("g", "j", "id", spread("sb").alias("s"), "c", F.lit(False).alias("asks"))
-    ask = join_groups(strays.drop("of", "main"), count, "g", "of", total).select("g", spread("nb").alias("j"), "id", F.pmod(F.xxhash64("id", F.lit(7)), F.col("sb")).alias("s"), "c", F.lit(True).alias("asks"))
+    base = rest.select("g", "j", "id", spread("sb").alias("s"), "c", F.lit(False).alias("asks"))
+    ask = rest.where("c <> main").select("g", spread("nb").alias("j"), "id", F.pmod(F.xxhash64("id", F.lit(7)), F.col("sb")).alias("s"), "c", F.lit(True).alias("asks"))
     two = links(base.unionByName(ask), "links")
-    dropped(placed, named, strays)
+    dropped(placed, named, rest)
     return one.unionByName(two)
 
 
@@ -482,7 +498,9 @@ def linked_sets(docs: DataFrame, info: DataFrame, n_signatures: float) -> DataFr
     tidy(docs.sparkSession)
     texts = stored(named_texts(docs).join(clusters.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     tidy(docs.sparkSession)
-    links = joined_in_blocks(clusters, texts, BySets, BLOCK, TEXT_SLOT)
+    sizes = clusters.groupBy("g").agg(F.count("*").alias("size"))
+    placed = join_groups(clusters, sizes, "g", "size", max(1, clusters.count()))
+    links = joined_in_blocks(placed, texts, BySets, BLOCK, TEXT_SLOT)
     out = stored(components(links), "components")
     dropped(members, clusters, texts)
     return out

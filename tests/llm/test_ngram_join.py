@@ -4,7 +4,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 
 from tamis.llm import ngram_join
 
@@ -61,11 +60,9 @@ def corpus(seed=5):
     return texts
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_groups_equal_brute_force(spark, monkeypatch, small):
-    if small:
-        for name, value in (("LIST_BLOCK", 4), ("BLOCK", 3), ("SLOT", 40), ("TEXT_SLOT", 30)):
-            monkeypatch.setattr(ngram_join, name, value)
+def test_groups_equal_brute_force(spark, monkeypatch):
+    for name, value in (("LIST_BLOCK", 4), ("BLOCK", 3), ("SLOT", 40), ("TEXT_SLOT", 30)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(8)
     # some ids are null, some stand on several texts
     rows = [(None if rng.random() < 0.15 else k if rng.random() < 0.9 else k // 2, t) for k, t in enumerate(corpus())]
@@ -104,9 +101,8 @@ def test_linking_sets_share_a_signature():
             assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), (n, m)
 
 
-def test_similar_records_and_no_rows(spark):
+def test_no_words_and_no_rows(spark):
     assert ngram_join.near_groups(spark.createDataFrame([], SCHEMA)).collect() == []
-    assert ngram_join.one_of_each(spark.createDataFrame([], SCHEMA)).collect() == []
     only = spark.createDataFrame([(7, None, "x", 1), (None, "", "y", 2)], SCHEMA)
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in ngram_join.near_groups(only).collect()) == [("7", 0, "7"), ("None", 0, "None")]
     assert ngram_join.one_of_each(only).count() == 2
