@@ -516,11 +516,12 @@ def rows_by_set(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     info = stored(each.where("n > 0").groupBy("key", "id", "n").agg(F.min("doc_id").alias("rep"), F.first("bins").alias("bins"), F.count("*").alias("copies")), "distinct")
     sizes = info.agg(F.sum("n")).first()[0]
     comp = linked_sets(docs, info, 1.1 * sizes) if sizes else info.select("id", F.col("id").alias("component"))
-    named = info.select("key", "id", "rep", "copies").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = stored(named, "named")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("sets"))
-    named = join_groups(named, least, "component", "sets", max(1, named.count()))
-    return each, named.select("key", "id", "rep", "copies", "component", "component_id")
+    # only linked sets take part in the grouping by component; all others are their own
+    linked_ = stored(info.select("key", "id", "rep").join(comp, "id"), "named")
+    least = linked_.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("sets"))
+    linked_ = join_groups(linked_, least, "component", "sets", max(1, linked_.count())).select("key", "component", "component_id")
+    named = info.select("key", "id", "rep", "copies").join(linked_, "key", "left")
+    return each, named.withColumns({"component_id": F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component_id")), "component": F.coalesce("component", "id")})
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
