@@ -59,3 +59,21 @@ def test_ports_and_labels(spark):
     assert [r.p for r in rows.collect()] == [80, 80, -1, -1, -1]
     rows = spark.createDataFrame([("From-Botnet-Normal",), ("to-normal",)], "l string").select(network.label_kind(F.col("l")).alias("k"))
     assert [r.k for r in rows.collect()] == ["Botnet", "Normal"]
+
+
+def test_ranges_hold_piled_up_scores_and_null_groups(spark):
+    from pyspark.sql import functions as F
+
+    from tamis.operators import metrics
+
+    rows = [(None if k % 3 == 0 else "a", 0.999 + (k % 500) / 1e6 if k % 100 else k / 1e4, int(k % 7 == 0)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    got = {(r.g, r.score): (r.p, r.n, r.cp, r.cn, r.tp, r.tn) for r in metrics.prefix_counts(df, ["g"]).collect()}
+    for g in (None, "a"):
+        mine = [(s, y) for h, s, y in rows if h == g]
+        for s in sorted({s for s, _ in mine})[::50]:
+            at, above = [y for t, y in mine if t == s], [y for t, y in mine if t >= s]
+            assert got[(g, s)] == (sum(at), len(at), sum(above), len(above), sum(y for _, y in mine), len(mine))
+    d = df.groupBy("g", "score").agg(F.count("*").alias("n"))
+    sizes = [r["count"] for r in metrics.in_ranges(d, ["g"], "score").groupBy("g", "_r").count().collect()]
+    assert max(sizes) <= 40  # of about 500 distinct scores a group
