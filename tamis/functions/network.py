@@ -11,6 +11,13 @@ PORTS = {20: "FTP-data", 21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DN
 PROTOCOLS = {6: "TCP", 17: "UDP", 1: "ICMP"}
 FLAGS = {"fin": 0, "syn": 1, "rst": 2, "psh": 3, "ack": 4, "urg": 5}
 KEY = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol_int"]
+#: Columns that a model sees, by kind of table.
+PACKET_COLUMNS = ["protocol_int", "src_port", "dst_port", "pkt_len", "ttl", "tcp_flag_syn", "tcp_flag_ack", "tcp_flag_fin", "tcp_flag_rst", "tcp_flag_psh", "tcp_flag_urg", "interarrival_ms"]
+FLOW_COLUMNS = ["protocol_int", "src_port", "dst_port", "pkt_count", "total_bytes", "mean_pkt_len", "max_pkt_len", "duration_ms", "mean_iat_ms", "std_iat_ms", "syn_count", "ack_count", "fin_count", "rst_count", "psh_count", "mean_ttl"]
+NETFLOW_COLUMNS = ["proto_int", "dir_fwd", "dir_bwd", "dir_bi", "dur", "sport", "dport", "stos", "dtos", "tot_pkts", "tot_bytes", "src_bytes", "bytes_per_pkt", "src_byte_ratio"]
+CIC_COLUMNS = ["Destination Port", "Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets", "Total Length of Bwd Packets", "Flow IAT Mean", "Flow IAT Std", "SYN Flag Count", "ACK Flag Count", "FIN Flag Count", "RST Flag Count", "Packet Length Mean"]
+#: The botnet of each scenario.
+BOTNETS = {1: "Neris", 2: "Neris", 3: "Rbot", 4: "Rbot", 5: "Virut", 6: "Menti", 7: "Sogou", 8: "Murlo", 9: "Neris", 10: "Rbot", 11: "Rbot", 12: "NSIS.ay", 13: "Virut"}
 
 
 def port(c: Column) -> Column:
@@ -33,6 +40,11 @@ def protocol_name(c: Column) -> Column:
     return lookup(c, PROTOCOLS, F.lit("OTHER"))
 
 
+def botnet_family(scenario: Column) -> Column:
+    """The botnet of a scenario; null for an unknown one."""
+    return F.create_map(*[F.lit(x) for kv in BOTNETS.items() for x in kv])[scenario.cast("int")]
+
+
 def flag_bits(flags: Column) -> dict[str, Column]:
     return {f"tcp_flag_{name}": flags.bitwiseAND(1 << bit).cast("boolean").cast("int") for name, bit in FLAGS.items()}
 
@@ -62,23 +74,30 @@ def derived(rows: DataFrame) -> DataFrame:
     })
 
 
-def interarrival(packets: DataFrame, capture: list[str], order: list[str]) -> DataFrame:
-    """interarrival_us since the packet before in the capture; the first has 0."""
-    before = F.lag("time_us").over(W.partitionBy(*capture).orderBy(*order))
-    return packets.withColumn("interarrival_us", F.coalesce(F.col("time_us") - before, F.lit(0)))
+def interarrival(packets: DataFrame, capture: list[str], order: list[str], width_us: int = 10_000_000) -> DataFrame:
+    """interarrival_us since the packet before in the capture; the first has 0.
+
+    Packets are ordered inside stretches of width_us (a row without time is a stretch of its own, before the others), so
+    a task holds one stretch and not the capture; the last time of the stretch before is carried over."""
+    p = packets.withColumns({"_c": F.to_json(F.struct(*capture)), "_b": F.floor(F.col("time_us") / width_us)})
+    ends = p.groupBy("_c", "_b").agg(F.max("time_us").alias("_end"))
+    ends = ends.select("_c", F.coalesce("_b", F.lit(-(2**62))).alias("_b"), F.lag("_end").over(W.partitionBy("_c").orderBy("_b")).alias("_last"))
+    p = p.withColumn("_b", F.coalesce("_b", F.lit(-(2**62)))).join(ends, ["_c", "_b"])
+    before = F.coalesce(F.lag("time_us").over(W.partitionBy("_c", "_b").orderBy(*order)), "_last")
+    return p.withColumn("interarrival_us", F.coalesce(F.col("time_us") - before, F.lit(0))).drop("_c", "_b", "_last")
 
 
 def flows(packets: DataFrame, key: list[str] = KEY, order: list[str] | None = None) -> DataFrame:
     """One row for each 5-tuple. Packets have time_us (integer microseconds), pkt_len, ttl, flags, label.
 
     Gaps come from a window over the key; their mean and population deviation from integer moments, so the result does
-    not depend on the order of addition. Deviation is 0 unless there are two gaps or more."""
+    not depend on the order of addition. Deviation is 0 unless there are two gaps or more; mean_ttl is 0 without ttl."""
     w = W.partitionBy(*key).orderBy("time_us", *(order or []))
     gap = (F.col("time_us") - F.lag("time_us").over(w)).cast("decimal(20,0)")
     g = packets.withColumn("gap", gap).groupBy(*key).agg(
         F.count("*").alias("pkt_count"), F.sum("pkt_len").alias("total_bytes"), F.max("pkt_len").alias("max_pkt_len"), F.min("time_us").alias("start_us"),
         (F.max("time_us") - F.min("time_us")).alias("duration_us"), F.count("gap").alias("gaps"), F.sum("gap").alias("s1"), F.sum((F.col("gap") * F.col("gap")).cast("decimal(38,0)")).alias("s2"),
-        *[F.sum(f"tcp_flag_{f}").alias(f"{f}_count") for f in ("syn", "ack", "fin", "rst", "psh")], F.max("label").alias("label"))
+        *[F.sum(f"tcp_flag_{f}").alias(f"{f}_count") for f in ("syn", "ack", "fin", "rst", "psh")], (F.avg("ttl") if "ttl" in packets.columns else F.lit(0.0)).alias("mean_ttl"), F.max("label").alias("label"))
     n, s1, s2 = F.col("gaps").cast("double"), F.col("s1").cast("double"), F.col("s2").cast("double")
     return g.withColumns({
         "mean_pkt_len": F.col("total_bytes") / F.col("pkt_count"), "duration_ms": F.col("duration_us") / 1000,
@@ -113,6 +132,16 @@ def netflow_sentence() -> Column:
     return F.concat(body, F.when((state != "") & (F.lower(state) != "nan"), F.concat(F.lit("; connection state "), state)).otherwise(""), F.lit("."))
 
 
+def cic_sentence(columns: list[str]) -> Column:
+    """A flow of a labelled flow table in words; a column that the table lacks counts as 0."""
+    c = lambda name, kind: (F.col(f"`{name}`") if name in columns else F.lit(0)).cast(kind)
+    n, x = (lambda name: c(name, "bigint")), (lambda name: c(name, "double"))
+    return F.format_string(
+        "A flow on destination port %s, lasting %.2f ms, with %d forward packets (%d bytes) and %d backward packets (%d bytes). Mean inter-arrival %.1f us (std %.1f us); mean packet size %.0f bytes. TCP flags observed: SYN=%d, ACK=%d, FIN=%d, RST=%d.",
+        port_label(n("Destination Port")), x("Flow Duration") / 1000, n("Total Fwd Packets"), n("Total Length of Fwd Packets"), n("Total Backward Packets"), n("Total Length of Bwd Packets"),
+        x("Flow IAT Mean"), x("Flow IAT Std"), x("Packet Length Mean"), *[n(f"{f} Flag Count") for f in ("SYN", "ACK", "FIN", "RST")])
+
+
 def packet_sentence() -> Column:
     """A packet in words; the flags only for TCP."""
     flags = F.array_compact(F.array(*[F.when(F.col(f"tcp_flag_{f}") == 1, f.upper()) for f in ("syn", "ack", "fin", "rst", "psh", "urg")]))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +34,57 @@ def positive_probability(pred: Column, conf: Column) -> Column:
 def routed(gate: Column, threshold: Column) -> Column:
     """Whether the gate is too unsure to keep the row."""
     return F.greatest(gate, 1 - gate) < threshold
+
+
+#: Backends of decision models by name, and of others by the beginning of the name; confidence of the last is P(positive).
+DECISION_MODELS = {"jev-1.13.0": "jev", "convaiinnovations/laya": "laya", "convaiinnovations/laya-multilingual": "laya", "convaiinnovations/laya-typed-decisions": "laya"}
+BACKEND_PREFIXES = ["claude", "gemini"]
+PROBABILITY_BACKENDS = ["modernbert-ft", "decoder-ft", "jev", "laya"]
+
+
+def backend(model: Column) -> Column:
+    """The backend that answers for a model id; models of no known kind run locally."""
+    exact = [F.when(model == m, b) for m, b in DECISION_MODELS.items()]
+    return F.coalesce(*exact, *[F.when(model.startswith(p), p) for p in BACKEND_PREFIXES], F.lit("ollama"))
+
+
+def prompt(model: Column, domain: Column, decisions: dict[str, str], zero_shot: dict[str, str]) -> Column:
+    """The prompt of a model for a domain: the questions of decision models, else the zero-shot text; null for an unknown domain."""
+    pick = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[domain]
+    return F.when(model.isin(*DECISION_MODELS), pick(decisions)).otherwise(pick(zero_shot))
+
+
+def identity(settings: dict) -> str:
+    """Twelve hex digits of the SHA-256 of the settings as JSON with sorted keys."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:12]
+
+
+def run_identity(fields: dict[str, Column]) -> Column:
+    """identity() for each row of a table of runs; fields are ASCII text and whole numbers, null stays null."""
+    value = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1)
+    pairs = [F.concat(F.lit(f"{json.dumps(k)}: "), F.when(fields[k].isNull(), "null").otherwise(value(fields[k]))) for k in sorted(fields)]
+    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}")), 256), 1, 12)
+
+
+def in_scope(regime: Column, variant: Column, condition: Column, bundle: Column, rank: Column, scope: str = "full", bundles: str = "all", controlled_only: bool = False) -> Column:
+    """Whether a planned run is within the compute scope.
+
+    full: all but the random reference; staged: controlled runs, the first bundle and a bundle asked for by id; minimal: of those, raw
+    texts under conditions A and B only."""
+    if scope not in ("full", "staged", "minimal"):
+        raise ValueError(f"unknown scope {scope!r}")
+    named, external = bundles not in ("all", "first"), regime == "external"
+    first = F.coalesce(rank, F.lit(0)) == 0
+    out = F.lit(True)
+    if controlled_only:
+        out = F.lit(False)
+    elif named:
+        out = F.coalesce(bundle == bundles, F.lit(False))
+    elif bundles == "first":
+        out = first
+    allowed = (regime != "controlled-random") & (~external | out)
+    if scope != "full":
+        allowed &= (regime == "controlled") | first | (external & F.lit(named))
+    if scope == "minimal":
+        allowed &= (variant == "raw") & condition.isin("A", "B")
+    return F.coalesce(allowed, F.lit(False))

@@ -19,8 +19,15 @@ def order_key(key: Column, salt: str) -> Column:
 
 
 def ranked(rows: DataFrame, by: list[str], key: str, salt: str) -> DataFrame:
-    """rank (from 1, by hash of the key) and size of each class."""
-    return rows.withColumns({"rank": F.row_number().over(W.partitionBy(*by).orderBy(order_key(F.col(key), salt), key)), "class_size": F.count("*").over(W.partitionBy(*by))})
+    """rank (from 1, by hash of the key) and size of each class.
+
+    Rows of a class are counted by the first 16 bits of their hash, and ranked inside such a range, so no task ranks a class."""
+    r = rows.withColumn("_h", order_key(F.col(key), salt)).withColumns({"_b": F.substring("_h", 1, 4), "_c": F.to_json(F.struct(*by)) if by else F.lit("")})
+    counts = r.groupBy("_c", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_c").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_c", "_b", before.alias("_before"), F.sum("_n").over(W.partitionBy("_c")).alias("class_size"))
+    rank = F.row_number().over(W.partitionBy("_c", "_b").orderBy("_h", key)) + F.col("_before")
+    return r.join(counts, ["_c", "_b"]).withColumn("rank", rank).drop("_b", "_c", "_h", "_before")
 
 
 def stratified_split(rows: DataFrame, by: list[str], key: str, test: float, salt: str = "42") -> DataFrame:
@@ -61,12 +68,66 @@ def group_partition(rows: DataFrame, group: str, fractions: dict[str, float], re
 def group_folds(rows: DataFrame, group: str, k: int, salt: str = "42") -> DataFrame:
     """fold by group: groups, most positives first, go round the folds in serpentine order; no group is in two folds.
 
-    Groups are ranked inside hash buckets, so no task sees them all."""
-    g = rows.groupBy(group).agg(F.sum("label").alias("_p"), F.count("*").alias("_n")).withColumn("_b", F.pmod(F.xxhash64(group), F.lit(64)))
-    r = F.row_number().over(W.partitionBy("_b").orderBy(F.desc("_p"), F.desc("_n"), order_key(F.col(group), salt))) - 1
+    Groups are ranked inside hash buckets of about 50,000 groups, as many buckets as the groups need."""
+    g = rows.groupBy(group).agg(F.sum("label").alias("_p"), F.count("*").alias("_n")).withColumn("_h", order_key(F.col(group), salt))
+    buckets = g.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 50_000)).alias("_k"))
+    g = g.crossJoin(F.broadcast(buckets)).withColumn("_b", F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") % F.col("_k"))
+    r = F.row_number().over(W.partitionBy("_b").orderBy(F.desc("_p"), F.desc("_n"), "_h")) - 1
     turn = r % (2 * k)
-    g = g.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).alias("fold"))
-    return rows.join(g, group)
+    g = g.select(F.col(group).alias("_g"), F.when(turn < k, turn).otherwise(2 * k - 1 - turn).alias("fold"))
+    return rows.join(g, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def contiguous_folds(rows: DataFrame, time: str, tie: str, k: int, width: int) -> DataFrame:
+    """fold 0 to k - 1 in blocks of the order; the first (rows modulo k) folds have one row more. Rows without time are left out."""
+    t = timeline(rows, [], time, tie, width)
+    q, more = F.expr(f"class_size div {k}"), F.col("class_size") % k
+    at, edge = F.col("rank") - 1, more * (q + 1)
+    fold = F.when(at < edge, F.floor(at / (q + 1))).otherwise(more + F.floor((at - edge) / F.greatest(q, F.lit(1))))
+    return t.withColumn("fold", fold.cast("int")).drop("rank", "class_size")
+
+
+def row_parts(rows: DataFrame, fractions: dict[str, float], key: str, salt: str = "42") -> DataFrame:
+    """part of each row by hash of its key alone, whatever its group: a reference that leaks, kept to be compared with."""
+    total, at, out, u = sum(fractions.values()), 0.0, None, draw(F.col(key), salt)
+    for name, f in list(fractions.items())[:-1]:
+        at += f
+        out = F.when(u < at / total, name) if out is None else out.when(u < at / total, name)
+    last = list(fractions)[-1]
+    return rows.withColumn("part", F.lit(last) if out is None else out.otherwise(last))
+
+
+def nested_split(rows: DataFrame, by: list[str], key: str, test: float, validation: float, salt: str = "42") -> DataFrame:
+    """train, validation, test: test is that of stratified_split, validation is drawn from what is left only."""
+    r = stratified_split(rows, by, key, test, salt)
+    inner = stratified_split(r.where("part = 'train'"), by, key, validation, f"{salt}/validation")
+    return r.where("part = 'test'").unionByName(inner.withColumn("part", F.when(F.col("part") == "test", "validation").otherwise("train")))
+
+
+def thinned(rows: DataFrame, most: int, key: str, salt: str = "42") -> DataFrame:
+    """At most so many rows by hash of the key, with exposure: the share of all rows that they are."""
+    r = ranked(rows, [], key, salt)
+    return r.where(F.col("rank") <= most).withColumn("exposure", F.least(F.lit(most), "class_size") / F.col("class_size")).drop("rank", "class_size")
+
+
+def required_subtypes(rows: DataFrame, spam_shares: list[float]) -> DataFrame:
+    """Subtypes that every part must have: phishing; ham where a mixture leaves weight to it; kinds of spam where one gives them weight. But for phishing, only those that the corpus has."""
+    wanted = [*(["ham"] if any(s < 1 for s in spam_shares) else []), *(["bulk_spam", "scam_fraud"] if any(s > 0 for s in spam_shares) else [])]
+    found = rows.where(F.col("subtype").isin(wanted)).select("subtype")
+    return found.unionByName(rows.sparkSession.createDataFrame([("phishing",)], "subtype string")).distinct()
+
+
+def split(rows: DataFrame, policy: str, key: str, test: float = 0.2, by: list[str] | None = None, time: str | None = None, group: str | None = None, held: list | None = None, salt: str = "42") -> DataFrame:
+    """part (train or test) by policy: random (in the classes of by), temporal, group or host (no group in both), scenario (groups of held are test)."""
+    if policy == "random":
+        return stratified_split(rows, by or ["label"], key, test, salt)
+    if policy == "temporal" and time:
+        return temporal_split(rows, time, 1 - test)
+    if policy in ("group", "host") and group:
+        return rows.withColumn("part", F.when(draw(F.coalesce(F.col(group).cast("string"), F.lit("")), salt) < test, "test").otherwise("train"))
+    if policy == "scenario" and group and held:
+        return rows.withColumn("part", F.when(F.coalesce(F.col(group).isin(held), F.lit(False)), "test").otherwise("train"))
+    raise ValueError(f"policy {policy!r} is unknown or lacks its column")
 
 
 def crossing(rows: DataFrame, keys: list[str]) -> DataFrame:

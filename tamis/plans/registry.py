@@ -146,7 +146,8 @@ def split_temporal(spark, sf_dir):
     return s.groupBy("part").agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us"))
 
 
-@query()
+@query(f"""WITH {ANNOTATED}, g AS (SELECT template_group, sum(label) AS p, count(*) AS n, sha256('42:' || template_group) AS h FROM annotated GROUP BY 1), b AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (SELECT greatest(1, ceil(count(*) / 50000.0))::BIGINT FROM g) AS b FROM g),
+r AS (SELECT template_group, (row_number() OVER (PARTITION BY b ORDER BY p DESC, n DESC, h) - 1) % 10 AS t FROM b) SELECT doc_id, template_group, label, CASE WHEN t < 5 THEN t ELSE 9 - t END AS fold FROM annotated JOIN r USING (template_group)""")
 def split_group_folds(spark, sf_dir):
     return splits.group_folds(annotated(spark, sf_dir), "template_group", 5).select("doc_id", "template_group", "label", "fold")
 
@@ -196,7 +197,7 @@ def endpoint_membership(spark, sf_dir):
 
 
 FLOWS = f"""{PACKETS}, g AS (SELECT *, time_us - lag(time_us) OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol_int ORDER BY time_us, event_id) AS gap FROM packets),
-f0 AS (SELECT src_ip, dst_ip, src_port, dst_port, protocol_int, any_value(protocol) AS protocol, count(*) AS pkt_count, sum(pkt_len)::BIGINT AS total_bytes, max(pkt_len) AS max_pkt_len, max(time_us) - min(time_us) AS duration_us, count(gap) AS gaps, sum(gap::HUGEINT)::DOUBLE AS s1, sum(gap::HUGEINT * gap)::DOUBLE AS s2, sum(syn)::BIGINT AS syn_count, sum(ack)::BIGINT AS ack_count, max(label) AS label FROM g GROUP BY 1, 2, 3, 4, 5),
+f0 AS (SELECT src_ip, dst_ip, src_port, dst_port, protocol_int, any_value(protocol) AS protocol, count(*) AS pkt_count, sum(pkt_len)::BIGINT AS total_bytes, max(pkt_len) AS max_pkt_len, min(time_us) AS start_us, max(time_us) - min(time_us) AS duration_us, count(gap) AS gaps, sum(gap::HUGEINT)::DOUBLE AS s1, sum(gap::HUGEINT * gap)::DOUBLE AS s2, sum(syn)::BIGINT AS syn_count, sum(ack)::BIGINT AS ack_count, avg(ttl) AS mean_ttl, max(label) AS label FROM g GROUP BY 1, 2, 3, 4, 5),
 flows AS (SELECT *, total_bytes / pkt_count AS mean_pkt_len, duration_us / 1000 AS duration_ms, CASE WHEN gaps > 0 THEN s1 / gaps / 1000 ELSE 0 END AS mean_iat_ms, CASE WHEN gaps > 1 THEN sqrt(greatest(0, s2 / gaps - (s1 / gaps) * (s1 / gaps))) / 1000 ELSE 0 END AS std_iat_ms FROM f0)"""
 KEYS = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol_int"]
 
@@ -205,9 +206,9 @@ def flow_table(spark, sf_dir):
     return network.flows(views.packets(spark, sf_dir), order=["event_id"]).withColumn("protocol", network.protocol_name(F.col("protocol_int").cast("int")))
 
 
-@query(f"WITH {FLOWS} SELECT src_ip, dst_ip, src_port, dst_port, protocol_int, protocol, pkt_count, total_bytes, max_pkt_len, round(mean_pkt_len, 4) AS mean_pkt_len, duration_us, round(mean_iat_ms, 1) AS mean_iat_ms, round(std_iat_ms, 0) AS std_iat_ms, syn_count, ack_count, label FROM flows")
+@query(f"WITH {FLOWS} SELECT src_ip, dst_ip, src_port, dst_port, protocol_int, protocol, pkt_count, total_bytes, max_pkt_len, round(mean_pkt_len, 4) AS mean_pkt_len, duration_us, round(mean_iat_ms, 1) AS mean_iat_ms, round(std_iat_ms, 0) AS std_iat_ms, syn_count, ack_count, 0::BIGINT AS fin_count, 0::BIGINT AS rst_count, 0::BIGINT AS psh_count, start_us, round(mean_ttl, 4) AS mean_ttl, label FROM flows")
 def packet_flows(spark, sf_dir):
-    return flow_table(spark, sf_dir).select(*KEYS, "protocol", "pkt_count", "total_bytes", "max_pkt_len", F.round("mean_pkt_len", 4).alias("mean_pkt_len"), "duration_us", F.round("mean_iat_ms", 1).alias("mean_iat_ms"), F.round("std_iat_ms", 0).alias("std_iat_ms"), "syn_count", "ack_count", "label")
+    return flow_table(spark, sf_dir).select(*KEYS, "protocol", "pkt_count", "total_bytes", "max_pkt_len", F.round("mean_pkt_len", 4).alias("mean_pkt_len"), "duration_us", F.round("mean_iat_ms", 1).alias("mean_iat_ms"), F.round("std_iat_ms", 0).alias("std_iat_ms"), "syn_count", "ack_count", "fin_count", "rst_count", "psh_count", "start_us", F.round("mean_ttl", 4).alias("mean_ttl"), "label")
 
 
 @query(f"WITH {PACKETS} SELECT event_id, coalesce(time_us - lag(time_us) OVER (PARTITION BY dst_ip ORDER BY time_us, event_id), 0) AS interarrival_us, CAST(syn AS INT) AS tcp_flag_syn, src_ip || '_' || dst_ip || '_' || src_port || '_' || dst_port || '_' || protocol_int AS flow_id FROM packets")
@@ -452,4 +453,4 @@ def calibrated_scores(spark, sf_dir):
     return learn.platt(cal, test).select("doc_id", F.col("p1").alias("platt")).join(learn.isotonic(cal, test).select("doc_id", F.col("p1").alias("isotonic")), "doc_id")
 
 
-from . import evaluation, reports  # noqa: E402,F401  register further queries
+from . import evaluation, planning, reports  # noqa: E402,F401  register further queries

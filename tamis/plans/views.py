@@ -27,7 +27,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("bigint")
     number = F.when(kind.isin("click", "view"), 6).when(kind == "purchase", 17).when(kind == "signup", 1).otherwise(0)
     bits = F.when(kind == "click", 2).when(kind == "view", 16).otherwise(0)
-    out = e.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("time_us"), F.concat(F.lit("10.0."), F.col("user_id").cast("string")).alias("src_ip"), F.concat(F.lit("192.168."), (k % 5).cast("string")).alias("dst_ip"), (F.col("user_id") % 7 + 1024).alias("src_port"), F.element_at(F.array(*[F.lit(p).cast("bigint") for p in (80, 443, 22, 5999)]), (k % 4 + 1).cast("int")).alias("dst_port"), number.cast("bigint").alias("protocol_int"), F.floor("value").cast("bigint").alias("pkt_len"), (k >= 90).cast("int").alias("label"), bits.alias("bits"))
+    out = e.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("time_us"), F.concat(F.lit("10.0."), F.col("user_id").cast("string")).alias("src_ip"), F.concat(F.lit("192.168."), (k % 5).cast("string")).alias("dst_ip"), (F.col("user_id") % 7 + 1024).alias("src_port"), F.element_at(F.array(*[F.lit(p).cast("bigint") for p in (80, 443, 22, 5999)]), (k % 4 + 1).cast("int")).alias("dst_port"), number.cast("bigint").alias("protocol_int"), F.floor("value").cast("bigint").alias("pkt_len"), (k >= 90).cast("int").alias("label"), bits.alias("bits"), F.when(k % 3 == 0, 128).otherwise(64).alias("ttl"))
     return out.withColumns(network.flag_bits(F.col("bits"))).withColumn("protocol", network.protocol_name(F.col("protocol_int").cast("int")))
 
 
@@ -55,7 +55,7 @@ EMAILS = """emails AS (SELECT *, round(((doc_id * 7919) % 83 + 15 * label) / 100
 PACKETS = """p0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 packets AS (SELECT event_id, epoch_us(ts) AS time_us, '10.0.' || user_id AS src_ip, '192.168.' || (k % 5) AS dst_ip, user_id % 7 + 1024 AS src_port, CASE k % 4 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 22 ELSE 5999 END AS dst_port,
  CASE WHEN event_type IN ('click', 'view') THEN 6 WHEN event_type = 'purchase' THEN 17 WHEN event_type = 'signup' THEN 1 ELSE 0 END AS protocol_int, CASE WHEN event_type IN ('click', 'view') THEN 'TCP' WHEN event_type = 'purchase' THEN 'UDP' WHEN event_type = 'signup' THEN 'ICMP' ELSE 'OTHER' END AS protocol,
- CAST(floor(value) AS BIGINT) AS pkt_len, CAST(k >= 90 AS INT) AS label, CAST(event_type = 'click' AS INT) AS syn, CAST(event_type = 'view' AS INT) AS ack FROM p0)"""
+ CAST(floor(value) AS BIGINT) AS pkt_len, CAST(k >= 90 AS INT) AS label, CAST(event_type = 'click' AS INT) AS syn, CAST(event_type = 'view' AS INT) AS ack, CASE WHEN k % 3 = 0 THEN 128 ELSE 64 END AS ttl FROM p0)"""
 PREDICTIONS = """keyed AS (SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) || ':small-model:' || substr(sha256('Classify this message: {text}'), 1, 8) AS key FROM documents),
 k1 AS (SELECT DISTINCT key, CAST('0x' || substr(key, 1, 2) AS INT) AS a, CAST('0x' || substr(key, 3, 2) AS INT) AS b, CAST('0x' || substr(key, 5, 2) AS INT) AS c FROM keyed),
 predictions AS (SELECT key, b % 2 AS pred, 0.5 + (c % 50) / 100.0 AS conf FROM k1 WHERE a >= 32)"""
