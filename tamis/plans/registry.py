@@ -32,7 +32,7 @@ RULES = {"phishing": ("phishing", "confirmed"), "ham": ("ham", "confirmed"), "bu
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.emails(spark, sf_dir).withColumn("norm", email.normalize_text(F.col("text")))
+    e = views.spread(views.emails(spark, sf_dir)).withColumn("norm", email.normalize_text(F.col("text")))
     return e.withColumns({"content_hash": email.content_hash(F.col("norm")), "template_group": email.template_key(F.col("norm"))})
 
 
@@ -78,12 +78,12 @@ def _features(rows: DataFrame, key: str, col: str) -> DataFrame:
 
 @query(_feature_sql("documents", "doc_id", "text"))
 def email_features(spark, sf_dir):
-    return _features(views.read(spark, sf_dir, "documents"), "doc_id", "text")
+    return _features(views.spread(views.read(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 @query(_feature_sql("pages", "page_id", "html"))
 def page_features(spark, sf_dir):
-    return _features(views.read(spark, sf_dir, "pages"), "page_id", "html")
+    return _features(views.spread(views.read(spark, sf_dir, "pages")), "page_id", "html")
 
 
 @query(f"""WITH {ANNOTATED}, r AS (SELECT doc_id, source, template_group, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY content_hash) AS copies FROM annotated),

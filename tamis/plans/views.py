@@ -14,6 +14,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to all cores where a scan has few splits (of a small file one split may hold all rows); a large scan stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < 4 * cores else rows
+
+
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with their labels as subtypes; score is a fixed expression with many ties."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
