@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import quantiles
-
 
 def draw(key: Column, salt: str) -> Column:
     """A number in [0, 1] from a key: eight hex digits of SHA-256(salt:key)."""
@@ -35,14 +33,26 @@ def stratified_split(rows: DataFrame, by: list[str], key: str, test: float, salt
     return r.withColumn("part", F.when(F.col("rank") <= F.round(F.col("class_size") * test), "test").otherwise("train")).drop("rank", "class_size")
 
 
-def temporal_split(rows: DataFrame, time: str, train: float = 0.8) -> DataFrame:
-    """Rows up to the exact percentile of time are train; ties at the cut all go to train, so no time is on both sides."""
-    cut = quantiles(rows, [time], train).select(F.col("value").alias("_cut"))
-    return rows.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col(time) <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
+HOUR = 3_600_000_000
+
+
+def temporal_split(rows: DataFrame, time: str, tie: str, train: float = 0.8, width: int = HOUR) -> DataFrame:
+    """part: exactly the first floor(train * n) rows in time (ties by the tie column) are train, the rest test, whatever their class.
+    Rows without time are left out. width: the stretches in which rows are ranked, in units of the time column (see timeline)."""
+    t = timeline(rows, [], time, tie, width)
+    return t.withColumn("part", F.when(F.col("rank") <= F.floor(F.col("class_size") * F.lit(train)), "train").otherwise("test")).drop("rank", "class_size")
+
+
+def temporal_report(split: DataFrame, time: str) -> DataFrame:
+    """One row on a temporal split: sizes, cutoff (the last training time), first test time, whether they are in order, both priors."""
+    train, test = F.col("part") == "train", F.col("part") == "test"
+    g = split.agg(F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"), F.max(F.when(train, F.col(time))).alias("cutoff_time"), F.min(F.when(test, F.col(time))).alias("test_time_min"), F.round(F.avg(F.when(train, F.col("label"))), 6).alias("train_prior"), F.round(F.avg(F.when(test, F.col("label"))), 6).alias("test_prior"))
+    return g.withColumn("in_order", F.col("cutoff_time") <= F.col("test_time_min"))
 
 
 def group_partition(rows: DataFrame, group: str, fractions: dict[str, float], required: list[str], salts: int = 20, seed: int = 42) -> DataFrame:
-    """part by hash of the group, with the first salt under which every part has every required subtype; raises if none has.
+    """part by hash of the group, with the first salt under which every part has every required subtype (the first of all if none is
+    required); raises if none has.
 
     All salts are tried in one pass over distinct (group, subtype); a draw of exactly 1 goes to the last part."""
     cuts, at = [], 0.0
@@ -57,6 +67,8 @@ def group_partition(rows: DataFrame, group: str, fractions: dict[str, float], re
         return out.otherwise(cuts[-1][0])
 
     salted = F.conv(F.substring(F.sha2(F.concat(F.col("salt"), F.lit(":"), F.col(group)), 256), 1, 8), 16, 10).cast("double") / 4294967295
+    if not required:
+        return rows.withColumn("salt", F.lit(str(seed))).withColumn("part", part(salted))
     names = rows.sparkSession.createDataFrame([(i, f"{seed}-{i}" if i else str(seed)) for i in range(salts)], "salt_no int, salt string")
     seen = rows.select(group, "subtype").distinct().crossJoin(F.broadcast(names)).withColumn("part", part(salted))
     full = seen.where(F.col("subtype").isin(required)).groupBy("salt_no", "salt").agg(F.countDistinct("part", "subtype").alias("k")).where(F.col("k") == len(required) * len(fractions))
@@ -122,7 +134,7 @@ def split(rows: DataFrame, policy: str, key: str, test: float = 0.2, by: list[st
     if policy == "random":
         return stratified_split(rows, by or ["label"], key, test, salt)
     if policy == "temporal" and time:
-        return temporal_split(rows, time, 1 - test)
+        return temporal_split(rows, time, key, 1 - test)
     if policy in ("group", "host") and group:
         return rows.withColumn("part", F.when(draw(F.coalesce(F.col(group).cast("string"), F.lit("")), salt) < test, "test").otherwise("train"))
     if policy == "scenario" and group and held:
@@ -152,19 +164,25 @@ def overlap_report(rows: DataFrame, parts: list[str], keys: dict[str, str]) -> D
     return out.withColumn("clean", F.sum(sum(F.col(n) for n in keys)).over(W.partitionBy()) == 0)  # as many rows as pairs of parts
 
 
-def hard_negatives(rows: DataFrame, fraction: float, key: str, salt: str = "42") -> DataFrame:
-    """Conditions A (ham only), B (same budget, some ham swapped for hard negatives), C (hard negatives added).
+def hard_negative_flags(rows: DataFrame, fraction: float, key: str, salt: str = "42") -> DataFrame:
+    """rows with in_A (positives and ham), in_B (same budget, some ham swapped for hard negatives) and in_C (hard negatives added).
 
-    Positives are in all. k = min(round(fraction * ham), hard)."""
+    k = min(round(fraction * ham), hard) hard negatives; rows of other subtypes are in none. Nothing is copied: a row has three flags."""
     hard = F.col("subtype").isin("bulk_spam", "scam_fraud")
-    kind = F.when(F.col("subtype") == "phishing", "pos").when(F.col("subtype") == "ham", "ham").when(hard, "hard")
-    r = ranked(rows.withColumn("kind", kind).where("kind IS NOT NULL"), ["kind"], key, salt)
+    kind = F.when(F.col("subtype") == "phishing", "pos").when(F.col("subtype") == "ham", "ham").when(hard, "hard").otherwise("other")
+    r = ranked(rows.withColumn("kind", kind), ["kind"], key, salt)
     sizes = r.agg(F.count_if(F.col("kind") == "ham").alias("_ham"), F.count_if(F.col("kind") == "hard").alias("_hard"))
-    k = F.least(F.round(F.lit(fraction) * F.col("_ham")), F.col("_hard"))
-    r = r.crossJoin(F.broadcast(sizes)).withColumn("_k", k)
-    pos, ham = F.col("kind") == "pos", F.col("kind") == "ham"
-    conditions = F.array_compact(F.array(F.when(pos | ham, "A"), F.when(pos | (ham & (F.col("rank") <= F.col("_ham") - F.col("_k"))) | ((F.col("kind") == "hard") & (F.col("rank") <= F.col("_k"))), "B"), F.when(pos | ham | ((F.col("kind") == "hard") & (F.col("rank") <= F.col("_k"))), "C")))
-    return r.withColumn("condition", F.explode(conditions)).drop("rank", "class_size", "_ham", "_hard", "_k")
+    r = r.crossJoin(F.broadcast(sizes)).withColumn("_k", F.least(F.round(F.lit(fraction) * F.col("_ham")), F.col("_hard")))
+    pos, ham, some = F.col("kind") == "pos", F.col("kind") == "ham", (F.col("kind") == "hard") & (F.col("rank") <= F.col("_k"))
+    flags = {"in_A": pos | ham, "in_B": pos | (ham & (F.col("rank") <= F.col("_ham") - F.col("_k"))) | some, "in_C": pos | ham | some}
+    return r.withColumns(flags).drop("rank", "class_size", "_ham", "_hard", "_k")
+
+
+def hard_negatives(rows: DataFrame, fraction: float, key: str, salt: str = "42") -> DataFrame:
+    """The training sets of the three conditions (see hard_negative_flags) as rows: a row for each condition that a row is in."""
+    r = hard_negative_flags(rows, fraction, key, salt)
+    conditions = F.array_compact(F.array(*[F.when(F.col(f"in_{c}"), c) for c in "ABC"]))
+    return r.withColumn("condition", F.explode(conditions)).drop("in_A", "in_B", "in_C")
 
 
 def timeline(rows: DataFrame, by: list[str], time: str, tie: str, width: int) -> DataFrame:

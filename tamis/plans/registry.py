@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamis.functions import email, network, replies
-from tamis.operators import learn, metrics, prevalence, report, splits
+from tamis.operators import learn, metrics, prevalence, report, sources, splits
 
 from . import views
 from .views import EMAILS, PACKETS, PREDICTIONS
@@ -18,6 +17,8 @@ ORACLE: dict = {}
 
 def query(oracle: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if oracle:
             ORACLE[f.__name__] = oracle
@@ -32,8 +33,11 @@ RULES = {"phishing": ("phishing", "confirmed"), "ham": ("ham", "confirmed"), "bu
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.spread(views.emails(spark, sf_dir)).withColumn("norm", email.normalize_text(F.col("text")))
-    return e.withColumns({"content_hash": email.content_hash(F.col("norm")), "template_group": email.template_key(F.col("norm"))})
+    """E-mails with hash and template group, made from the text before the labels are joined, so that texts that nobody reads
+    stay out of that join."""
+    d = views.spread(views.read(spark, sf_dir, "documents")).withColumn("norm", email.normalize_text(F.col("text")))
+    d = d.withColumns({"content_hash": email.content_hash(F.col("norm")), "template_group": email.template_key(F.col("norm"))})
+    return views.labelled(d, views.read(spark, sf_dir, "labels"), "norm", "content_hash", "template_group")
 
 
 ANNOTATED = f"{EMAILS}, n AS (SELECT *, {NORM} AS norm FROM emails), annotated AS (SELECT *, sha256(norm) AS content_hash, {TEMPLATE} AS template_group FROM n)"
@@ -118,9 +122,10 @@ def split_hashed_groups(spark, sf_dir):
     return partitioned(spark, sf_dir).select("doc_id", "part")
 
 
-@query(f"""WITH {ANNOTATED}, h AS (SELECT source, content_hash AS k FROM annotated GROUP BY ALL) SELECT a.source AS part_a, b.source AS part_b, count(*) AS shared FROM h a JOIN h b ON a.k = b.k AND a.source < b.source GROUP BY 1, 2""")
+@query(f"""WITH {ANNOTATED}, h AS (SELECT coalesce(source, '(none)') AS source, content_hash AS k FROM annotated GROUP BY ALL) SELECT a.source AS part_a, b.source AS part_b, count(*) AS shared FROM h a JOIN h b ON a.k = b.k AND a.source < b.source GROUP BY 1, 2""")
 def partition_overlap(spark, sf_dir):
-    rows = annotated(spark, sf_dir).where("source IS NOT NULL").withColumn("part", F.col("source"))
+    """Hashes that two sources share; rows without a source are a part of their own."""
+    rows = annotated(spark, sf_dir).select("content_hash", F.coalesce("source", F.lit("(none)")).alias("part"))
     return splits.partition_overlap(rows, "content_hash")
 
 
@@ -140,12 +145,21 @@ def split_stratified(spark, sf_dir):
     return r.select("doc_id", F.when(F.col("rank") <= F.round(n * F.lit(0.25)), "test").otherwise("train").alias("part"), ((F.col("rank") - 1) % 5).alias("fold"), (F.col("rank") <= F.greatest(F.lit(1), F.round(n * F.lit(0.1)))).cast("int").alias("in_subset"), (F.col("rank") <= 20).cast("int").alias("in_balanced"))
 
 
-@query(f"""WITH {PACKETS}, c AS (SELECT quantile_cont(time_us::DOUBLE, 0.8) AS cut FROM packets) SELECT CASE WHEN time_us <= cut THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(label)::BIGINT AS positives, min(time_us) AS first_us, max(time_us) AS last_us FROM packets, c GROUP BY 1""")
+FIRST = f"""{PACKETS}, r AS (SELECT *, row_number() OVER (ORDER BY time_us, event_id) <= floor(count(*) OVER () * 0.8::DOUBLE) AS train FROM packets)"""
+
+
+@query(f"""WITH {FIRST} SELECT CASE WHEN train THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(label)::BIGINT AS positives, min(time_us) AS first_us, max(time_us) AS last_us FROM r GROUP BY 1""")
 def split_temporal(spark, sf_dir):
-    s = splits.temporal_split(views.packets(spark, sf_dir), "time_us")
+    s = splits.temporal_split(views.packets(spark, sf_dir), "time_us", "event_id")
     return s.groupBy("part").agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us"))
 
 
+@query(f"""WITH {FIRST}, g AS (SELECT count(*) FILTER (train) AS n_train, count(*) FILTER (NOT train) AS n_test, max(time_us) FILTER (train) AS cutoff_time, min(time_us) FILTER (NOT train) AS test_time_min,
+ round(avg(label) FILTER (train), 6) AS train_prior, round(avg(label) FILTER (NOT train), 6) AS test_prior FROM r) SELECT *, cutoff_time <= test_time_min AS in_order FROM g""")
+def split_temporal_report(spark, sf_dir):
+    return splits.temporal_report(splits.temporal_split(views.packets(spark, sf_dir), "time_us", "event_id"), "time_us")
+
+
 @query(f"""WITH {ANNOTATED}, g AS (SELECT template_group, sum(label) AS p, count(*) AS n, sha256('42:' || template_group) AS h FROM annotated GROUP BY 1), b AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (SELECT greatest(1, ceil(count(*) / 50000.0))::BIGINT FROM g) AS b FROM g),
 r AS (SELECT template_group, (row_number() OVER (PARTITION BY b ORDER BY p DESC, n DESC, h) - 1) % 10 AS t FROM b) SELECT doc_id, template_group, label, CASE WHEN t < 5 THEN t ELSE 9 - t END AS fold FROM annotated JOIN r USING (template_group)""")
 def split_group_folds(spark, sf_dir):
@@ -159,23 +173,36 @@ def hard_negative_conditions(spark, sf_dir):
     return splits.hard_negatives(views.emails(spark, sf_dir), 0.1, "doc_id").select("doc_id", "subtype", "condition")
 
 
-@query(f"""WITH {EMAILS}, s AS (SELECT source, count(*) AS n, count(*) FILTER (subtype = 'ham') / count(*) AS ham, count(*) FILTER (subtype = 'unknown_nonphishing') / count(*) AS unk FROM emails GROUP BY 1)
-SELECT source, n, CASE WHEN ham >= 0.3::DOUBLE THEN 'ham' WHEN unk >= 0.62::DOUBLE THEN 'unknown' ELSE 'mixed' END AS role FROM s""")
-def source_roles(spark, sf_dir):
-    return _roles(spark, sf_dir)
+CORPORA = """corpora AS (SELECT *, CASE CAST(substr(source, 4) AS INT) % 3 WHEN 0 THEN source || '-' || subtype WHEN 1 THEN 'only-' || source || '-' || subtype ELSE source END AS source_corpus FROM emails),
+rc AS (SELECT source_corpus AS source, count(*) AS n, count(*) FILTER (subtype = 'phishing') AS phishing, count(*) FILTER (subtype = 'ham') AS ham, count(*) FILTER (subtype = 'bulk_spam') AS bulk_spam, count(*) FILTER (subtype = 'scam_fraud') AS scam_fraud,
+ count(*) FILTER (subtype = 'unknown_nonphishing') AS unknown_nonphishing FROM corpora WHERE source_corpus IS NOT NULL GROUP BY 1),
+roles AS (SELECT *, CASE WHEN phishing / n >= 0.9::DOUBLE THEN 'phishing' WHEN ham / n >= 0.9::DOUBLE THEN 'ham' WHEN (bulk_spam + scam_fraud) / n >= 0.9::DOUBLE THEN 'spam_like' WHEN unknown_nonphishing / n >= 0.9::DOUBLE THEN 'unknown_negative' ELSE 'mixed' END AS role FROM rc)"""
+
 
+def corpora(spark, sf_dir):
+    """E-mails of source corpora of three kinds: partitions of one collection, collections of one subtype, mixed ones."""
+    k = F.substring("source", 4, 9).cast("int") % 3
+    part = F.concat_ws("-", "source", "subtype")
+    return views.emails(spark, sf_dir).withColumn("source_corpus", F.when(k == 0, part).when(k == 1, F.concat(F.lit("only-"), part)).otherwise(F.col("source")))
 
-def _roles(spark, sf_dir):
-    s = views.emails(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.avg((F.col("subtype") == "ham").cast("int")).alias("ham"), F.avg((F.col("subtype") == "unknown_nonphishing").cast("int")).alias("unk"))
-    return s.select("source", "n", F.when(F.col("ham") >= 0.3, "ham").when(F.col("unk") >= 0.62, "unknown").otherwise("mixed").alias("role"))
+
+@query(f"WITH {EMAILS}, {CORPORA} SELECT * FROM roles")
+def source_roles(spark, sf_dir):
+    return sources.source_roles(corpora(spark, sf_dir), "source_corpus", 0.9)
 
 
-@query(ORACLE["source_roles"].replace("SELECT source, n, CASE", ", roles AS (SELECT source, n, CASE").rstrip() + """) SELECT a.source AS source_d, b.source AS source_e, c.source AS source_f, substr(sha256(a.source || '|' || b.source || '|' || c.source), 1, 12) AS bundle_id, a.n + b.n + c.n AS test_rows FROM roles a, roles b, roles c WHERE a.role = 'ham' AND b.role = 'unknown' AND c.role = 'mixed'""")
+@query(f"""WITH {EMAILS}, {CORPORA}, f AS (SELECT *, CASE WHEN source LIKE 'only-%' THEN source ELSE split_part(source, '-', 1) END AS family FROM roles), ok AS (SELECT * FROM f WHERE n >= 2),
+b AS (SELECT d.source AS phishing_source, e.source AS ham_source, s.source AS spam_scam_source, d.n AS phishing_rows, e.n AS ham_rows, s.n AS spam_scam_rows, round(d.phishing / d.n, 4) AS phishing_share, round(e.ham / e.n, 4) AS ham_share, round((s.bulk_spam + s.scam_fraud) / s.n, 4) AS spam_scam_share,
+ d.family AS df, e.family AS ef, s.family AS sf FROM ok d, ok e, ok s WHERE d.role = 'phishing' AND e.role = 'ham' AND s.role = 'spam_like'),
+rest AS (SELECT b.*, (SELECT count(DISTINCT role) FROM f WHERE role IN ('phishing', 'ham', 'spam_like') AND source NOT IN (phishing_source, ham_source, spam_scam_source)) AS roles_left,
+ (SELECT list(DISTINCT family) FROM f WHERE source NOT IN (phishing_source, ham_source, spam_scam_source)) AS dev_families FROM b),
+t AS (SELECT *, CASE WHEN list_contains(dev_families, df) THEN 'within-family-partition' ELSE 'family-disjoint' END AS phishing_tier, CASE WHEN list_contains(dev_families, ef) THEN 'within-family-partition' ELSE 'family-disjoint' END AS ham_tier, CASE WHEN list_contains(dev_families, sf) THEN 'within-family-partition' ELSE 'family-disjoint' END AS spam_scam_tier FROM rest WHERE roles_left = 3)
+SELECT 'b_' || substr(sha256(phishing_source || '|' || ham_source || '|' || spam_scam_source), 1, 8) AS bundle_id, phishing_source, phishing_rows, phishing_share, phishing_tier, ham_source, ham_rows, ham_share, ham_tier, spam_scam_source, spam_scam_rows, spam_scam_share, spam_scam_tier,
+ phishing_tier = 'family-disjoint' AND ham_tier = 'family-disjoint' AND spam_scam_tier = 'family-disjoint' AS fully_family_disjoint, phishing_rows + ham_rows + spam_scam_rows AS held_out_rows, (SELECT sum(n) FROM f)::BIGINT - phishing_rows - ham_rows - spam_scam_rows AS development_rows, (SELECT count(*) FROM f) - 3 AS development_sources FROM t""")
 def external_bundles(spark, sf_dir):
-    roles = _roles(spark, sf_dir)  # one row a source
-    side = lambda role, k: roles.where(F.col("role") == role).select(F.col("source").alias(f"source_{k}"), F.col("n").alias(f"n_{k}"))
-    b = side("ham", "d").crossJoin(side("unknown", "e")).crossJoin(side("mixed", "f"))
-    return b.select("source_d", "source_e", "source_f", F.substring(F.sha2(F.concat_ws("|", "source_d", "source_e", "source_f"), 256), 1, 12).alias("bundle_id"), F.expr("n_d + n_e + n_f").alias("test_rows"))
+    """Triples of pure held-out sources of two rows and more, what is left of every role, and whose family stays in development."""
+    family = F.when(F.col("source").startswith("only-"), F.col("source")).otherwise(F.substring_index("source", "-", 1))
+    return sources.external_bundles(source_roles(spark, sf_dir), family, 2)
 
 
 @query(f"""WITH {ANNOTATED}, held AS (SELECT DISTINCT template_group FROM annotated WHERE source = 'src0') SELECT doc_id, CAST(source = 'src0' AS INT) AS held_out FROM annotated WHERE source = 'src0' OR template_group NOT IN (SELECT template_group FROM held)""")
@@ -379,23 +406,6 @@ def token_log_odds(spark, sf_dir):
     return test.select("doc_id").join(s, "doc_id", "left").select("doc_id", F.round(1 / (1 + F.exp(-z)), 6).alias("p"))
 
 
-@query(f"""WITH {EMAILS}, x AS (SELECT subtype AS y, CASE WHEN (doc_id * 31) % 10 < 6 THEN subtype ELSE 'ham' END AS z FROM emails), c AS (SELECT y AS cls, count(*) AS n, count(*) FILTER (y = z) AS ok FROM x GROUP BY 1), d AS (SELECT z AS cls, count(*) AS said FROM x GROUP BY 1) SELECT cls, n, ok, coalesce(said, 0) AS said, round(ok / n, 6) AS recall, round(2 * ok / (n + coalesce(said, 0)), 6) AS f1 FROM c LEFT JOIN d USING (cls)""")
-def multiclass_report(spark, sf_dir):
-    x = views.emails(spark, sf_dir).select(F.col("subtype").alias("y"), F.when(F.expr("(doc_id * 31) % 10 < 6"), F.col("subtype")).otherwise("ham").alias("z"))
-    m = x.groupBy("y", "z").agg(F.count("*").alias("k"))
-    a = m.groupBy(F.col("y").alias("cls")).agg(F.sum("k").alias("n"), F.sum(F.when(F.col("y") == F.col("z"), F.col("k")).otherwise(0)).alias("ok"))
-    b = m.groupBy(F.col("z").alias("cls")).agg(F.sum("k").alias("said"))
-    return a.join(b, "cls", "left").select("cls", "n", "ok", F.coalesce("said", F.lit(0)).alias("said"), F.round(F.col("ok") / F.col("n"), 6).alias("recall"), F.round(2 * F.col("ok") / (F.col("n") + F.coalesce("said", F.lit(0))), 6).alias("f1"))
-
-
-@query(f"""WITH {COUNTS}, m AS (SELECT source, sum(cp / cn * p) / max(tp) AS aucpr, max(tn) AS n FROM c WHERE tp > 0 GROUP BY 1), r AS (SELECT source, n::BIGINT AS n, round(aucpr, 6) AS aucpr, 'task' || (CAST(substr(source, 4) AS INT) % 4) AS task FROM m WHERE n >= 20) SELECT task, source, aucpr, rank FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY aucpr DESC NULLS LAST, source) AS rank FROM r) WHERE rank <= 2""")
-def best_configurations(spark, sf_dir):
-    m = metrics.ranking(metrics.prefix_counts(views.emails(spark, sf_dir), ["source"]), ["source"]).where("n_pos > 0 AND n >= 20")
-    m = m.withColumn("task", F.concat(F.lit("task"), (F.substring("source", 4, 3).cast("int") % 4).cast("string")))
-    rank = F.row_number().over(W.partitionBy("task").orderBy(F.desc_nulls_last("aucpr"), "source"))
-    return m.withColumn("rank", rank).where("rank <= 2").select("task", "source", "aucpr", "rank")
-
-
 RUN_LOG = """run_log AS (SELECT event_type AS model, value AS latency_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) + 100 AS tokens_in,
  CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 13 + 1 END AS tokens_out FROM events)"""
 
@@ -440,9 +450,9 @@ def flow_out_of_fold(spark, sf_dir):
 
 @query()
 def flow_boosted_holdout(spark, sf_dir):
-    """Boosted trees fitted on two folds, scored on the third."""
+    """Boosted trees, 100 of depth 6, fitted on two folds, scored on the third."""
     rows = _folded(spark, sf_dir)
-    return learn.fit_score(rows.where("fold <> 0"), rows.where("fold = 0"), NUMBERS, learn.boosted_trees(10, 4)).select("flow", "label", "p1")
+    return learn.fit_score(rows.where("fold <> 0"), rows.where("fold = 0"), NUMBERS, learn.boosted_trees()).select("flow", "label", "p1")
 
 
 @query()
@@ -453,4 +463,4 @@ def calibrated_scores(spark, sf_dir):
     return learn.platt(cal, test).select("doc_id", F.col("p1").alias("platt")).join(learn.isotonic(cal, test).select("doc_id", F.col("p1").alias("isotonic")), "doc_id")
 
 
-from . import evaluation, planning, reports  # noqa: E402,F401  register further queries
+from . import evaluation, experiments, planning, reports  # noqa: E402,F401  register further queries

@@ -14,18 +14,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows dealt to all cores where a scan has few splits (of a small file one split may hold all rows); a large scan stays as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < 4 * cores else rows
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt to all cores where it has few splits (of a small file one split may hold all rows); a large one stays as it is.
 
+    scan is what read() gives: the number of its splits comes from the files alone, without a job. Never a join or a grouping,
+    whose partitions are known only by running it."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(2 * cores) if scan.rdd.getNumPartitions() < 4 * cores else scan
 
-def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with their labels as subtypes; score is a fixed expression with many ties."""
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+
+def labelled(documents: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+    """documents with their labels as subtypes; score is a fixed expression with many ties. more: further columns to keep."""
+    d = documents.join(labels, "doc_id", "left")
     subtype = F.when((F.col("toxic") == 1) & (F.col("quality") == 1), "phishing").when(F.col("toxic") == 1, "scam_fraud").when(F.col("quality") == 0, "bulk_spam").when(F.col("quality") == 1, "ham").otherwise("unknown_nonphishing")
     d = d.withColumn("subtype", subtype).withColumn("label", (F.col("subtype") == "phishing").cast("int"))
-    return d.withColumn("score", F.round(F.expr("((doc_id * 7919) % 83 + 15 * label) / 100.0"), 2).cast("double")).select("doc_id", "text", "lang", "source", "subtype", "label", "score")
+    return d.withColumn("score", F.round(F.expr("((doc_id * 7919) % 83 + 15 * label) / 100.0"), 2).cast("double")).select("doc_id", "text", "lang", "source", "subtype", "label", "score", *more)
+
+
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
