@@ -113,21 +113,27 @@ def first_packets(packets: DataFrame, k: int, key: list[str], order: list[str],
     return got.select(*key, F.slice(F.concat(values, F.array_repeat(F.lit(0).cast("bigint"), k)), 1, k).alias("first_values"))
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded from its exact binary value (a true tie goes to the even digit)."""
+    return F.replace(F.format_number(c.cast("double"), digits), F.lit(","), F.lit(""))
+
+
+# The sentences are fixed values.
 def flow_sentence() -> Column:
     tcp = F.format_string(". TCP flags observed: SYN=%d, ACK=%d, FIN=%d, RST=%d, PSH=%d", *[F.col(f"{f}_count") for f in ("syn", "ack", "fin", "rst", "psh")])
-    body = F.format_string("A %s flow from port %s to port %s, with %d packets totaling %d bytes over %.1f ms (mean inter-arrival %.2f ms, std %.2f ms; mean packet size %.0f bytes)", "protocol", port_label(F.col("src_port")), port_label(F.col("dst_port")), "pkt_count", "total_bytes", "duration_ms", "mean_iat_ms", "std_iat_ms", "mean_pkt_len")
+    body = F.format_string("A %s flow from port %s to port %s, with %d packets totaling %d bytes over %s ms (mean inter-arrival %s ms, std %s ms; mean packet size %s bytes)", "protocol", port_label(F.col("src_port")), port_label(F.col("dst_port")), "pkt_count", "total_bytes", fixed(F.col("duration_ms"), 1), fixed(F.col("mean_iat_ms"), 2), fixed(F.col("std_iat_ms"), 2), fixed(F.col("mean_pkt_len"), 0))
     return F.concat(body, F.when(F.col("protocol") == "TCP", tcp).otherwise(""), F.lit("."))
 
 
 def flow_pairs() -> Column:
     """key=value form of a flow."""
     flags = F.format_string(", flags=[SYN:%d ACK:%d FIN:%d RST:%d]", *[F.col(f"{f}_count") for f in ("syn", "ack", "fin", "rst")])
-    body = F.format_string("Network flow: proto=%s, src=%s, dst=%s, pkts=%d, bytes=%d, duration_ms=%.1f, mean_iat_ms=%.2f, std_iat_ms=%.2f, mean_pkt_len=%.1f", "protocol", port_label(F.col("src_port")), port_label(F.col("dst_port")), "pkt_count", "total_bytes", "duration_ms", "mean_iat_ms", "std_iat_ms", "mean_pkt_len")
+    body = F.format_string("Network flow: proto=%s, src=%s, dst=%s, pkts=%d, bytes=%d, duration_ms=%s, mean_iat_ms=%s, std_iat_ms=%s, mean_pkt_len=%s", "protocol", port_label(F.col("src_port")), port_label(F.col("dst_port")), "pkt_count", "total_bytes", fixed(F.col("duration_ms"), 1), fixed(F.col("mean_iat_ms"), 2), fixed(F.col("std_iat_ms"), 2), fixed(F.col("mean_pkt_len"), 1))
     return F.concat(body, F.when(F.col("protocol") == "TCP", flags).otherwise(""))
 
 
 def netflow_sentence() -> Column:
-    body = F.format_string("A %s flow from port %s to port %s (direction %s), lasting %.3f s with %d packets totaling %d bytes, of which the source sent %d bytes", F.upper("proto"), port_label(F.col("sport")), port_label(F.col("dport")), F.trim("dir"), "dur", F.col("tot_pkts").cast("bigint"), F.col("tot_bytes").cast("bigint"), F.col("src_bytes").cast("bigint"))
+    body = F.format_string("A %s flow from port %s to port %s (direction %s), lasting %s s with %d packets totaling %d bytes, of which the source sent %d bytes", F.upper("proto"), port_label(F.col("sport")), port_label(F.col("dport")), F.trim("dir"), fixed(F.col("dur"), 3), F.col("tot_pkts").cast("bigint"), F.col("tot_bytes").cast("bigint"), F.col("src_bytes").cast("bigint"))
     state = F.trim("state")
     return F.concat(body, F.when((state != "") & (F.lower(state) != "nan"), F.concat(F.lit("; connection state "), state)).otherwise(""), F.lit("."))
 
@@ -137,16 +143,16 @@ def cic_sentence(columns: list[str]) -> Column:
     c = lambda name, kind: (F.col(f"`{name}`") if name in columns else F.lit(0)).cast(kind)
     n, x = (lambda name: c(name, "bigint")), (lambda name: c(name, "double"))
     return F.format_string(
-        "A flow on destination port %s, lasting %.2f ms, with %d forward packets (%d bytes) and %d backward packets (%d bytes). Mean inter-arrival %.1f us (std %.1f us); mean packet size %.0f bytes. TCP flags observed: SYN=%d, ACK=%d, FIN=%d, RST=%d.",
-        port_label(n("Destination Port")), x("Flow Duration") / 1000, n("Total Fwd Packets"), n("Total Length of Fwd Packets"), n("Total Backward Packets"), n("Total Length of Bwd Packets"),
-        x("Flow IAT Mean"), x("Flow IAT Std"), x("Packet Length Mean"), *[n(f"{f} Flag Count") for f in ("SYN", "ACK", "FIN", "RST")])
+        "A flow on destination port %s, lasting %s ms, with %d forward packets (%d bytes) and %d backward packets (%d bytes). Mean inter-arrival %s us (std %s us); mean packet size %s bytes. TCP flags observed: SYN=%d, ACK=%d, FIN=%d, RST=%d.",
+        port_label(n("Destination Port")), fixed(x("Flow Duration") / 1000, 2), n("Total Fwd Packets"), n("Total Length of Fwd Packets"), n("Total Backward Packets"), n("Total Length of Bwd Packets"),
+        fixed(x("Flow IAT Mean"), 1), fixed(x("Flow IAT Std"), 1), fixed(x("Packet Length Mean"), 0), *[n(f"{f} Flag Count") for f in ("SYN", "ACK", "FIN", "RST")])
 
 
 def packet_sentence() -> Column:
     """A packet in words; the flags only for TCP."""
     flags = F.array_compact(F.array(*[F.when(F.col(f"tcp_flag_{f}") == 1, f.upper()) for f in ("syn", "ack", "fin", "rst", "psh", "urg")]))
     flags = F.concat(F.lit(", flags=["), F.when(F.size(flags) > 0, F.array_join(flags, ",")).otherwise("none"), F.lit("]"))
-    body = F.format_string("Packet: protocol=%s, src_port=%s, dst_port=%s, pkt_len=%d, ttl=%d, interarrival_ms=%.2f", "protocol", port_label(F.col("src_port")), port_label(F.col("dst_port")), "pkt_len", "ttl", "interarrival_ms")
+    body = F.format_string("Packet: protocol=%s, src_port=%s, dst_port=%s, pkt_len=%d, ttl=%d, interarrival_ms=%s", "protocol", port_label(F.col("src_port")), port_label(F.col("dst_port")), "pkt_len", "ttl", fixed(F.col("interarrival_ms"), 2))
     return F.concat(body, F.when(F.col("protocol") == "TCP", flags).otherwise(""))
 
 

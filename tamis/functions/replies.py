@@ -13,6 +13,18 @@ def fill(prompt: str, text: Column, most: int = 1000) -> Column:
     return F.replace(F.lit(prompt), F.lit("{text}"), F.substring(F.coalesce(text, F.lit("")), 1, most))
 
 
+#: What stands before the sample in a prompt, by domain; examples go in front of it.
+SAMPLE_MARKERS = ("Flow:\n---\n{text}", "Message:\n---\n{text}")
+
+
+def few_shot(prompt: str, examples: str) -> str:
+    """The prompt with a block of examples right before its sample, or in front of all where it marks no sample."""
+    for marker in SAMPLE_MARKERS:
+        if marker in prompt:
+            return prompt.replace(marker, examples + marker, 1)
+    return examples + prompt
+
+
 def cache_key(text: Column, model: str, prompt: str) -> Column:
     short = lambda c, n: F.substring(F.sha2(c, 256), 1, n)
     return F.concat_ws(":", short(F.coalesce(text, F.lit("")), 16), F.lit(model), short(F.lit(prompt), 8))

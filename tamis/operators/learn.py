@@ -58,8 +58,7 @@ def fit_score(train: DataFrame, test: DataFrame, columns: list[str], estimator:
 
 
 def out_of_fold(rows: DataFrame, columns: list[str], estimator: Estimator, folds: int) -> DataFrame:
-    """Each row scored by a model that did not see its fold."""
-    rows = rows.persist()
+    """Each row scored by a model that did not see its fold. rows are read by every fold: pass stored ones (sweeps.kept)."""
     parts = [fit_score(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), columns, estimator) for k in range(folds)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions import email, network, replies
-from tamis.operators import learn, metrics, prevalence, report, sources, splits
+from tamis.operators import learn, metrics, prevalence, report, sources, splits, sweeps
 
 from . import views
 from .views import EMAILS, PACKETS, PREDICTIONS
@@ -253,12 +253,16 @@ def flow_first_packets(spark, sf_dir):
 PORT_SQL = lambda c: f"{c} || CASE {c} " + " ".join(f"WHEN {p} THEN '({n})'" for p, n in network.PORTS.items()) + " ELSE '' END"
 
 
-@query(f"""WITH {FLOWS} SELECT src_ip, dst_ip, src_port, dst_port, protocol_int, 'A ' || protocol || ' flow from port ' || {PORT_SQL('src_port')} || ' to port ' || {PORT_SQL('dst_port')} || ', with ' || pkt_count || ' packets totaling ' || total_bytes || ' bytes' AS sentence_head, CASE WHEN protocol = 'TCP' THEN '. TCP flags observed: SYN=' || syn_count || ', ACK=' || ack_count || ', FIN=0, RST=0, PSH=0.' ELSE 'none' END AS sentence_tail, 'flags=[SYN:' || syn_count || ' ACK:' || ack_count || ' FIN:0 RST:0]' AS pairs_tail FROM flows""")
+NUMBER_SQL = lambda c, digits: f"format('{{{{:.{digits}f}}}}', ({c})::DOUBLE)"
+
+
+@query(f"""WITH {FLOWS} SELECT src_ip, dst_ip, src_port, dst_port, protocol_int, 'A ' || protocol || ' flow from port ' || {PORT_SQL('src_port')} || ' to port ' || {PORT_SQL('dst_port')} || ', with ' || pkt_count || ' packets totaling ' || total_bytes || ' bytes over ' || {NUMBER_SQL('duration_ms', 1)}
+ || ' ms (mean inter-arrival ' || {NUMBER_SQL('mean_iat_ms', 2)} || ' ms, std ' || {NUMBER_SQL('std_iat_ms', 2)} || ' ms; mean packet size ' || {NUMBER_SQL('mean_pkt_len', 0)} || ' bytes)' || CASE WHEN protocol = 'TCP' THEN '. TCP flags observed: SYN=' || syn_count || ', ACK=' || ack_count || ', FIN=0, RST=0, PSH=0' ELSE '' END || '.' AS sentence,
+ 'Network flow: proto=' || protocol || ', src=' || {PORT_SQL('src_port')} || ', dst=' || {PORT_SQL('dst_port')} || ', pkts=' || pkt_count || ', bytes=' || total_bytes || ', duration_ms=' || {NUMBER_SQL('duration_ms', 1)} || ', mean_iat_ms=' || {NUMBER_SQL('mean_iat_ms', 2)} || ', std_iat_ms=' || {NUMBER_SQL('std_iat_ms', 2)} || ', mean_pkt_len=' || {NUMBER_SQL('mean_pkt_len', 1)}
+ || CASE WHEN protocol = 'TCP' THEN ', flags=[SYN:' || syn_count || ' ACK:' || ack_count || ' FIN:0 RST:0]' ELSE '' END AS pairs FROM flows""".replace("{{", "{").replace("}}", "}"))
 def flow_serialize(spark, sf_dir):
-    f = flow_table(spark, sf_dir).select(*KEYS, "protocol", "syn_count", "ack_count", network.flow_sentence().alias("s"), network.flow_pairs().alias("q"))
-    tail = F.regexp_extract("s", r"\. TCP flags observed.*$", 0)
-    own = F.concat(F.lit("flags=[SYN:"), F.col("syn_count").cast("string"), F.lit(" ACK:"), F.col("ack_count").cast("string"), F.lit(" FIN:0 RST:0]"))
-    return f.select(*KEYS, F.regexp_extract("s", r"^(.*? bytes) over ", 1).alias("sentence_head"), F.when(tail == "", "none").otherwise(tail).alias("sentence_tail"), F.when(F.col("protocol") == "TCP", F.regexp_extract("q", r"flags=.*$", 0)).otherwise(own).alias("pairs_tail"))
+    """Both texts of a flow, whole."""
+    return flow_table(spark, sf_dir).select(*KEYS, network.flow_sentence().alias("sentence"), network.flow_pairs().alias("pairs"))
 
 
 def netflow_rows(spark, sf_dir):
@@ -400,8 +404,13 @@ def token_log_odds(spark, sf_dir):
     train, test = e.where("doc_id % 4 <> 2"), e.where("doc_id % 4 = 2")
     n = train.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
     w = train.select("label", F.explode("toks").alias("tok")).groupBy("tok").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).crossJoin(F.broadcast(n))
-    w = w.select("tok", (F.log((F.col("a") + 1) / (F.col("p") + 2)) - F.log((F.col("b") + 1) / (F.col("q") + 2))).alias("w"))
-    s = test.select("doc_id", F.explode("toks").alias("tok")).join(w, "tok").groupBy("doc_id").agg(F.sum("w").alias("s"))
+    w = w.select("tok", (F.col("a") + F.col("b")).alias("docs"), (F.log((F.col("a") + 1) / (F.col("p") + 2)) - F.log((F.col("b") + 1) / (F.col("q") + 2))).alias("w"))
+    # words that stand in many documents are few: they are looked up where the documents are, the others meet their weight by shuffle
+    often = w.orderBy(F.desc("docs"), "tok").limit(2000).select(F.col("tok").alias("_t"), F.col("w").alias("_w"))
+    each = test.select("doc_id", F.explode("toks").alias("tok")).join(F.broadcast(often), F.col("tok") == F.col("_t"), "left")
+    near = each.where("_t IS NOT NULL").groupBy("doc_id").agg(F.sum("_w").alias("w"))
+    far = each.where("_t IS NULL").select("doc_id", "tok").join(w.select("tok", "w"), "tok").groupBy("doc_id").agg(F.sum("w").alias("w"))
+    s = near.unionByName(far).groupBy("doc_id").agg(F.sum("w").alias("s"))
     z = F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.coalesce("s", F.lit(0.0))))
     return test.select("doc_id").join(s, "doc_id", "left").select("doc_id", F.round(1 / (1 + F.exp(-z)), 6).alias("p"))
 
@@ -439,7 +448,7 @@ NUMBERS = ["pkt_count", "total_bytes", "max_pkt_len", "mean_pkt_len", "mean_iat_
 
 def _folded(spark, sf_dir):
     f = flow_table(spark, sf_dir).withColumn("flow", network.flow_id(*KEYS))
-    return splits.group_folds(f, "flow", 3)
+    return sweeps.kept(splits.group_folds(f, "flow", 3))
 
 
 @query()
