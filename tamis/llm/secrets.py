@@ -10,7 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, table, text_or_empty
+from .common import SPACE, dropped, stored, table, text_or_empty
+from .findings import NAMES, WORDS, planted_findings
 
 #: A candidate is a run of key characters with a digit or a well-known key in it, this long at least; longer ones are judged
 #: whole. What is assigned to a credential word is a candidate whatever its length and characters (ASSIGNED).
@@ -32,7 +33,7 @@ ASSIGNED = r"(?i)(" + "|".join(NEAR_WORDS) + r")(?=([\w\-]*[\"'`]?\s*(?:=>|:=|==
 MOST_FINDINGS = 40_000
 DICTIONARY_WORDS = 5_000
 TREES, DEPTH = 40, 8
-FEATURES = ["length", "digit_share", "upper_share", "symbol_share", "class_changes", "letter_pairs", "vowel_share", "distinct_share", "dictionary_share", "near_word", "assigned", "quoted", "path_flag", "prior_length"]
+FEATURES = ["length", "digit_share", "upper_share", "symbol_share", "class_changes", "transition_score", "letter_pairs", "vowel_share", "distinct_share", "dictionary_share", "near_word", "assigned", "quoted", "path_flag", "prior_length"]
 
 
 def count_of(c: Column, pattern: str) -> Column:
@@ -92,13 +93,32 @@ def candidates(docs: DataFrame, path_column: str | None = "source") -> DataFrame
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> DataFrame:
-    """The commonest lower-case words of 3 to 12 letters, counted over all texts; at most `words` rows."""
+    """word, count: the commonest lower-case words of 3 to 12 letters, counted once a text over all texts, at most `words` rows,
+    and the words of the made-up findings."""
     w = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(r"\b[a-z]{3,12}\b"), F.lit(0)))).alias("word"))
-    return w.groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).select("word")
+    own = docs.sparkSession.createDataFrame([(x, 1) for x in sorted({*WORDS, *(p for n in NAMES for p in n.split("_"))})], "word string, count bigint")
+    return w.groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).unionByName(own).groupBy("word").agg(F.sum("count").alias("count"))
+
+
+def pairs_of(word: Column) -> Column:
+    """The neighbouring characters of a word, two by two."""
+    n = F.length(word)
+    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(word, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+
+
+#: Log-likelihood of a step that no dictionary word has.
+UNSEEN = -8.0
+
+
+def transitions(words: DataFrame) -> DataFrame:
+    """pair, score: the log-likelihood of a letter after another, learned from the dictionary's words and their counts (676 rows at most)."""
+    p = words.select("count", F.explode(pairs_of(F.col("word"))).alias("pair")).groupBy("pair").agg(F.sum("count").alias("n"))
+    total = p.groupBy(F.substring("pair", 1, 1).alias("_first")).agg(F.sum("n").alias("_total"))
+    return p.join(F.broadcast(total), F.substring("pair", 1, 1) == F.col("_first")).select("pair", F.log((F.col("n") + 1) / (F.col("_total") + 26)).alias("score"))
 
 
 def features(found: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """The forest's inputs. words: the dictionary (bounded), broadcast as one array."""
+    """The forest's inputs. words: the dictionary (bounded) and the transitions learned from it, broadcast as one row."""
     c, low = F.col("candidate"), F.lower(F.col("candidate"))
     n = F.length(c).cast("double")
     around = F.lower(F.concat_ws(" ", "before", "own"))
@@ -107,17 +127,20 @@ def features(found: DataFrame, words: DataFrame | None = None) -> DataFrame:
     path = F.lower(F.coalesce("path", F.lit("")))
     parts = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]{3,12}"), F.lit(0)))
     if words is not None:
-        bag = words.agg(F.collect_list("word").alias("_bag"))  # at most DICTIONARY_WORDS words
-        found = found.crossJoin(F.broadcast(bag))
+        bag = words.agg(F.collect_list("word").alias("_bag"))  # at most DICTIONARY_WORDS words and our own
+        steps = transitions(words).agg(F.map_from_entries(F.collect_list(F.struct("pair", "score"))).alias("_steps"))
+        found = found.crossJoin(F.broadcast(bag)).crossJoin(F.broadcast(steps))  # one row each
         covered = F.aggregate(F.array_intersect(parts, F.col("_bag")), F.lit(0), lambda a, w: a + F.length(w)) / n
+        likely = F.aggregate(pairs_of(low), F.lit(0.0), lambda a, p: a + F.coalesce(F.try_element_at("_steps", p), F.lit(UNSEEN))) / F.greatest(n - 1, F.lit(1.0))
     else:
-        covered = F.lit(0.0)
+        covered = likely = F.lit(0.0)
     out = found.withColumns({
         "length": n,
         "digit_share": count_of(c, "[0-9]") / n,
         "upper_share": count_of(c, "[A-Z]") / n,
         "symbol_share": count_of(c, "[^A-Za-z0-9]") / n,
         "class_changes": changes / n,
+        "transition_score": likely,
         "letter_pairs": count_of(low, "(?=[a-z]{2})") / n,
         "vowel_share": count_of(low, "[aeiou]") / n,
         "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / n,
@@ -128,11 +151,11 @@ def features(found: DataFrame, words: DataFrame | None = None) -> DataFrame:
         "path_flag": reduce(lambda a, b: a | b, [F.contains(path, F.lit(w)) for w in PATH_WORDS]).cast("double"),
         "prior_length": F.length("before").cast("double"),
     })
-    return out.drop("_bag") if words is not None else out
+    return out.drop("_bag", "_steps") if words is not None else out
 
 
-def weak_labels(found: DataFrame) -> DataFrame:
-    """label for findings whose kind is certain, null for the others: what stands in for reviewed findings here.
+def by_rule(found: DataFrame) -> DataFrame:
+    """rule_label for findings whose kind a rule on their format settles, null for the others; no part of what the forest learns.
 
     1: the format of a known key, or 16 and more mixed characters assigned next to a credential word. 0: a format that
     only looks like one, or a run of letters with a few digits and no such word near."""
@@ -142,7 +165,15 @@ def weak_labels(found: DataFrame) -> DataFrame:
     near = reduce(lambda a, b: a | b, [F.contains(around, F.lit(w)) for w in NEAR_WORDS])
     like = reduce(lambda a, b: a | b, [c.rlike(k) for k in LOOKALIKES])
     digits = F.regexp_count(c, F.lit("[0-9]")) / F.length(c)
-    return found.withColumn("label", F.when(known, 1.0).when(like, 0.0).when(near & (F.length(c) >= 16) & (digits > 0.15), 1.0).when(~near & (digits < 0.1), 0.0))
+    return found.withColumn("rule_label", F.when(known, 1.0).when(like, 0.0).when(near & (F.length(c) >= 16) & (digits > 0.15), 1.0).when(~near & (digits < 0.1), 0.0))
+
+
+def labelled_candidates(spark: SparkSession, seed: str = "1") -> DataFrame:
+    """candidates() of the made-up findings with their planted label: what is trained on where no reviewed findings are given."""
+    made = planted_findings(spark, seed=seed)
+    known = made.select(F.col("doc_id").alias("_id"), "value", "label")
+    found = candidates(made)
+    return found.join(known, (F.col("doc_id") == F.col("_id")) & (F.col("candidate") == F.col("value"))).drop("_id", "value")
 
 
 def train(labelled: DataFrame, seed: int = 7, most: int = MOST_FINDINGS) -> RandomForestClassificationModel | None:
@@ -159,26 +190,23 @@ def train(labelled: DataFrame, seed: int = 7, most: int = MOST_FINDINGS) -> Rand
 def scan(docs: DataFrame, labelled: DataFrame | None = None, path_column: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """One row for each candidate: doc_id, word_no, run_no, secret_sha256, length, rule_label, features, score, is_secret.
 
-    labelled: reviewed findings (the columns of candidates() and label 0/1); without it the forest learns from
-    weak_labels() of the candidates of docs whose document id has crc32 mod 4 other than 2, and the rest is held out.
-    The candidate itself is not returned, only its hash and shape. Null texts count as empty and give no rows; a null path is an empty one;
-    repeated rows give repeated findings; without both classes to learn from, score is the weak label (0.5 where unknown).
+    labelled: reviewed findings (the columns of candidates() and label 0/1); without it the forest learns from made-up ones
+    (findings.planted_findings), whose label is that of the planting. rule_label is what a rule on formats says (null: nothing); the
+    forest does not see it. The candidate itself is not returned, only its hash and shape. Null texts count as empty and give no rows; a null path is an
+    empty one; repeated rows give repeated findings; without both classes to learn from, score is rule_label (0.5 where unknown).
+    Candidates of equal features have equal scores. Other columns are not read; an empty table gives no rows.
     """
     words = stored(dictionary(docs), "dictionary")
     found = stored(features(candidates(docs, path_column), words), "candidates")
-    marked = weak_labels(found)
-    if labelled is None:
-        fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0))
-        learn = marked.where(fold != 2)
-    else:
-        learn = features(labelled.drop(*FEATURES), words)
-    model = train(learn)
+    model = train(features((labelled if labelled is not None else labelled_candidates(docs.sparkSession)).drop(*FEATURES), words))
+    marked = by_rule(found)
     if model is None:
-        out = marked.withColumn("score", F.coalesce("label", F.lit(0.5)))
+        out = marked.withColumn("score", F.coalesce("rule_label", F.lit(0.5)))
     else:
         data = VectorAssembler(inputCols=FEATURES, outputCol="v", handleInvalid="keep").transform(marked)
         out = model.transform(data).withColumn("score", vector_to_array("probability")[1])
-    return out.select("doc_id", "word_no", "run_no", F.sha2("candidate", 256).alias("secret_sha256"), F.col("length").cast("int").alias("length"), F.col("label").cast("int").alias("rule_label"), *FEATURES[1:], F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
+    dropped(words)
+    return out.select("doc_id", "word_no", "run_no", F.sha2("candidate", 256).alias("secret_sha256"), F.col("length").cast("int").alias("length"), F.col("rule_label").cast("int").alias("rule_label"), *FEATURES[1:], F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

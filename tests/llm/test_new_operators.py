@@ -245,3 +245,34 @@ def test_turn_repair_equals_brute_force(spark):
 def test_turn_repair_of_the_given_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, registry.QUERIES["op13_turn_repair"](spark, sf).collect()), key=repr) == brute_conversations(rows)
+
+
+# -- secret scan on planted findings ------------------------------------------------------------------------------------
+
+
+def test_forest_learns_the_planting_and_not_the_rule(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    from tamis.llm import findings, secrets
+
+    made = findings.planted_findings(spark)
+    assert made.count() == made.select("doc_id").distinct().count() == findings.FINDINGS and made.exceptAll(findings.planted_findings(spark)).count() == 0
+    words = secrets.dictionary(spark.read.parquet(f"{sf}/documents.parquet"))
+    found = secrets.by_rule(secrets.features(secrets.labelled_candidates(spark), words))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = secrets.train(found.where(~held))
+    test = VectorAssembler(inputCols=secrets.FEATURES, outputCol="v").transform(found.where(held))
+    n = {(r.label, r.prediction): r["count"] for r in model.transform(test).groupBy("label", "prediction").count().collect()}
+    tp, fp, fn = n.get((1.0, 1.0), 0), n.get((0.0, 1.0), 0), n.get((1.0, 0.0), 0)
+    assert tp + fn > 400 and tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.95
+    rule = {(r.label, r.rule_label): r["count"] for r in test.groupBy("label", "rule_label").count().collect()}
+    assert rule.get((1.0, None), 0) + rule.get((1.0, 0.0), 0) > 0.2 * (tp + fn)  # what the rule alone would miss
+
+
+def test_scan_of_repeated_rows_and_clashing_columns(spark):
+    from tamis.llm import secrets
+
+    rows = [(1, "token = 9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a", "x", 1, "a"), (1, "token = 9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a", "x", 1, "a"), (None, "path /usr/report/storage/v2/index", None, 2, "b"), (2, "word " * 60_000 + "token=9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a", None, 3, "c")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string, label int, word string")).collect()
+    assert sorted((r.doc_id or -1, r.is_secret) for r in got if r.length == 40) == [(1, True), (1, True), (2, True)] and not any(r.is_secret for r in got if r.doc_id is None)
