@@ -53,7 +53,7 @@ def planted_findings(spark: SparkSession, n: int = FINDINGS, seed: str = "1") ->
     word = lambda k: F.get(F.split("_word", " "), F.lit(k))
     number = lambda low, high, place: (_number(place, high - low + 1) + low).cast("string")
     secrets = [
-        _cut(letters, 20, 64, 0), _cut(letters, 14, 32, 0), _cut(mixed, 24, 60, 0), _cut(digest, 32, 64, 0), F.translate(_cut(mixed, 9, 20, 0), "+/ABab", "!@#$%&"),
+        _cut(letters, 20, 64, 0), _cut(letters, 14, 32, 0), _cut(mixed, 24, 60, 0), _cut(digest, 16, 64, 0), F.translate(_cut(mixed, 9, 20, 0), "+/ABab", "!@#$%&"),
         F.concat(F.lit("AKIA"), F.substring(F.upper(F.translate(letters, "189", "XYZ")), 1, 16)), F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("sk_live_"), _cut(letters, 20, 30, 0)),
         F.concat_ws("-", _cut(letters, 8, 12, 0), _cut(F.reverse(letters), 8, 12, 1)), F.concat_ws("_", word(0), _cut(letters, 14, 24, 0)),
     ]
@@ -61,7 +61,7 @@ def planted_findings(spark: SparkSession, n: int = FINDINGS, seed: str = "1") ->
         F.concat(word(0), F.initcap(word(1)), F.initcap(word(2)), number(1, 99, 0)), F.concat_ws("_", word(0), word(1), number(1, 2030, 0)), F.concat(F.lit("/usr/"), word(0), F.lit("/"), word(1), F.lit("/v"), number(1, 9, 0), F.lit("/"), word(2)),
         F.concat(F.lit("your_"), word(0), F.lit("_here123")), F.concat(F.lit("${"), F.upper(word(0)), F.lit("_"), F.upper(word(1)), F.lit("}")), F.concat(F.lit("<"), word(0), F.lit("-"), word(1), F.lit("-1>")),
         F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4), F.substring(digest, 17, 4), F.substring(digest, 21, 12)), F.conv(F.substring(digest, 1, 12), 16, 10), F.concat(F.lit("2024-"), F.lpad(number(1, 12, 0), 2, "0"), F.lit("-01T10-00-"), number(10, 59, 1)),
-        F.concat_ws("-", word(0), word(1), number(1, 9, 0), number(0, 20, 1)), F.repeat(F.lit("x1"), 8), F.concat(word(0), number(1, 999, 0)), word(1), _cut(digest, 32, 64, 0),
+        F.concat_ws("-", word(0), word(1), number(1, 9, 0), number(0, 20, 1)), F.repeat(F.lit("x1"), 8), F.concat(word(0), number(1, 999, 0)), word(1), _cut(digest, 12, 64, 0),
     ]
     rows = stored(base.withColumn("value", F.when(F.col("label") == 1, _chosen(secrets, 2)).otherwise(_chosen(others, 3))), "planted")
     dropped(base)
