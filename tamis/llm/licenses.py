@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
+from .license_notices import NOTICES
 
 #: What separates words, after lower-casing A-Z: the ASCII characters other than digits and lower-case letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -66,35 +67,9 @@ FORMS = [
     ("under", 3, "(?:is |are )?(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{n}(?: license)?"),
     ("license", 2, "{n} license"),
 ]
-#: Signatures of whole notices, by hand: label, keyword, priority, expression.
-NOTICES = [
-    ("mit", "permission", 5, "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission", 5, "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", 5, "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "endorse", 4, "neither the name of .{1,60}? nor the names of its contributors may be used to endorse"),
-    ("gpl", "redistribute", 5, "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", 5, "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", "redistribute", 5, "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("apache", "apache", 5, "licensed under the apache license version 2 0(?: the license)?"),
-    ("mpl", "mozilla", 5, "this source code form is subject to the terms of the mozilla public license"),
-    ("unlicense", "unencumbered", 5, "this is free and unencumbered software released into the public domain"),
-    ("zlib", "implied", 4, "this software is provided as is without any express or implied warranty in no event"),
-    ("boost", "boost", 5, "boost software license version 1 0"),
-    ("wtfpl", "fuck", 5, "do what the fuck you want to public license"),
-    ("public-domain", "domain", 2, "(?:in|into|to) the public domain"),
-    ("warranty", "warranty", 1, "without warranty of any kind"),
-    ("proprietary", "proprietary", 3, "proprietary and confidential"),
-    ("copyright", "copyright", 1, "copyright(?: c)? (?:19|20)[0-9]{2}"),
-    ("reserved", "reserved", 1, "all rights reserved"),
-    ("reserved", "reserved", 2, "(?:some|no) rights reserved"),
-    ("gpl", "general", 1, "general public license"),
-    ("cc-by", "cc", 1, "cc by"),
-]
-
-
 def rules() -> list[tuple[str, str, str, int, str]]:
-    """(label, keyword, second keyword, priority, expression), in order of priority; some hundreds, written as families,
-    versions and forms. A rule is tried only on texts with both its keywords."""
+    """(label, keyword, second keyword, priority, expression), in order of priority: some two hundred signatures written by hand
+    (license_notices), and names of licenses in the forms above. A rule is tried only on texts with both its keywords."""
     out = [(label, keyword, keyword, priority, rx) for label, keyword, priority, rx in NOTICES]
     for label, keyword, names, versions in FAMILIES:
         for name in names:
@@ -113,7 +88,8 @@ TOP = max(r[3] for r in RULES)
 
 def normal(column: str = "text") -> Column:
     """The words of a text, lower case, parted by single spaces."""
-    return F.trim(F.regexp_replace(F.lower(text_or_empty(column)), NOT_WORD, " "))
+    low = F.translate(text_or_empty(column), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(low, NOT_WORD, " "))
 
 
 def places(words: Column, phrase: str) -> Column:

@@ -1,4 +1,4 @@
-"""Suffix-array deduplication: bytes covered by a long string that also starts elsewhere, by distributed prefix doubling."""
+"""Repeated byte strings: bytes covered by a long string that also starts elsewhere, by hashed blocks at anchors, not by rank pairs (see the README)."""
 
 from __future__ import annotations
 
@@ -129,7 +129,7 @@ def inner_keys(size: int, outer: int):
 
 
 def resolved(keys: DataFrame, last: bool = False) -> DataFrame:
-    """Reranking: drop blocks whose name is unique, mark those whose hull is not: (tid, a, d, repeated, goes_on), stored.
+    """Drop blocks whose name is unique, mark those whose hull is not: (tid, a, d, repeated, goes_on), stored.
 
     goes_on: the block takes part in the next round, as it is open, or as it is the first of equal settled blocks and
     shares its name with an open one, which may repeat parts of it.
@@ -158,9 +158,9 @@ def resolved(keys: DataFrame, last: bool = False) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(each, spans): each row of docs with its text's digest; and for each distinct text with a repeat its starts.
 
-    Prefix doubling on sparse positions. Windows of LENGTH bytes are named through anchors that equal windows share, so
-    a few positions stand for all. Round by round the named strings grow (cores of blocks of 128 starts, of 16, then
-    single windows); blocks whose name is unique go, blocks whose whole hull repeats are settled, the others are split.
+    Windows of LENGTH bytes are named through anchors that equal windows share, so a few positions stand for all. Round by round
+    the named strings grow (cores of blocks of 128 starts, of 16, then single windows), each named by the hash of its bytes;
+    blocks whose name is unique go, blocks whose whole hull repeats are settled, the others are split.
     """
     each = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(text_or_empty(), 256).alias("sha"), F.octet_length(text_or_empty()).cast("bigint").alias("n_bytes"))
     each = stored(each, "texts")

@@ -276,3 +276,19 @@ def test_scan_of_repeated_rows_and_clashing_columns(spark):
     rows = [(1, "token = 9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a", "x", 1, "a"), (1, "token = 9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a", "x", 1, "a"), (None, "path /usr/report/storage/v2/index", None, 2, "b"), (2, "word " * 60_000 + "token=9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a", None, 3, "c")]
     got = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string, label int, word string")).collect()
     assert sorted((r.doc_id or -1, r.is_secret) for r in got if r.length == 40) == [(1, True), (1, True), (2, True)] and not any(r.is_secret for r in got if r.doc_id is None)
+
+
+def test_license_base_equals_brute_force(spark, sf):
+    from tamis.llm import licenses
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(-1, None), (-2, ""), (-3, "CC BY"), (-3, "CC BY"), (None, "xcc by, cc  by\tCC-BY general public license; All Rights\nreserved"), (-4, "word " * 60_000 + "all rights reserved"), (-5, "cc K by Kİ cc by")]
+    got = licenses.scan(spark.createDataFrame([(*r, "w", 1) for r in rows], "doc_id bigint, text string, w string, n_words int"))
+    got = sorted((tuple(r)[:6] for r in got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()), key=repr)
+    want = []
+    for d, t in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        want.append((d, len(words), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+    assert got == sorted(want, key=repr) and licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
