@@ -79,6 +79,20 @@ def rules() -> list[tuple[str, str, str, int, str]]:
     return sorted(dict.fromkeys(out), key=lambda r: -r[3])
 
 
+def either(words: list[str]) -> str:
+    """An expression for any of the words that shares their beginnings, so that a search tries a few branches at each place."""
+    if not words:
+        return ""
+    end, tails = "" in words, {}
+    for w in words:
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    branches = [c + either(t) for c, t in sorted(tails.items())]
+    if not branches:
+        return ""
+    return (branches[0] if len(branches) == 1 and not end else "(?:" + "|".join(branches) + ")") + ("?" if end else "")
+
+
 RULES = rules()
 KEYWORDS = sorted({k for r in RULES for k in r[1:3]})
 #: A text is looked at further only if it has one of these; words such as "mit" and "under" alone open nothing.
@@ -116,7 +130,7 @@ def detections(text: Column) -> Column:
 
     Spark has no function for the places of matches; they follow from the lengths of the matches and of what lies between.
     """
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(?:" + "|".join(KEYWORDS) + r")\b"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b{either(KEYWORDS)}\b"), F.lit(0)))
     table_ = F.from_json(F.lit(json.dumps([dict(zip(("label", "kw", "form", "p", "rx"), (*r[:4], rf"\b{r[4]}\b"))) for r in RULES])), "array<struct<label:string,kw:string,form:string,p:int,rx:string>>")
     none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,p:int,label:string>>")
 
@@ -157,7 +171,7 @@ def scan(docs: DataFrame) -> DataFrame:
     those of rules that are not suppressed; score grows with the priority of the best rule (a whole notice is 1).
     Repeated rows give equal rows; other columns are ignored.
     """
-    gate = r"\b(?:" + "|".join(GATE_WORDS) + r")\b"
+    gate = rf"\b{either(GATE_WORDS)}\b"
     t = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normal().alias("t"))
     t = t.withColumn("n_words", F.when(F.col("t") == "", F.lit(0)).otherwise(F.regexp_count("t", F.lit(" ")) + 1).cast("bigint"))
     t = t.withColumn("open", F.col("t").rlike(gate))
