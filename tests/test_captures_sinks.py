@@ -129,7 +129,7 @@ def test_folds_and_policies(spark):
     folds = {r.id: r.fold for r in splits.contiguous_folds(df, "t", "id", 3, 25).collect()}
     assert [folds[i] for i in range(11)] == [0] * 4 + [1] * 4 + [2] * 3
     assert splits.split(df, "scenario", "id", group="g", held=[1]).where("(part = 'test') <> (g = 1)").count() == 0
-    assert splits.split(df, "temporal", "id", time="t").where("part = 'test'").count() == 2
+    assert splits.split(df, "temporal", "id", time="t").where("part = 'test'").count() == 3  # exactly int(11 * 0.8) = 8 train
     assert splits.split(df, "random", "id", 0.4).where("part = 'test'").count() == 4
     with pytest.raises(ValueError):
         splits.split(df, "group", "id")
