@@ -1,4 +1,4 @@
-"""Repeated byte strings: bytes covered by a long string that also starts elsewhere, by hashed blocks at anchors, not by rank pairs (see the README)."""
+"""Repeated byte strings: bytes covered by a long string that also starts elsewhere, by distributed prefix doubling over a sample of positions."""
 
 from __future__ import annotations
 
@@ -6,19 +6,28 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, join_groups, mix64, prefix_hash, span_hash, stored, table, text_or_empty, tidy
+from .common import dropped, join_groups, mix64, partitions_for, prefix_hash, span_hash, stored, table, text_or_empty, tidy
 
-#: Length in bytes of the strings whose repeats are removed, of the grams that anchor them, and of the blocks of starts.
+#: Length in bytes of the strings whose repeats are removed, of the grams that choose the sampled positions, how many
+#: consecutive starts choose one of them together, and the blocks in which these starts are compared at the end.
 LENGTH = 400
 GRAM = 8
-BLOCKS = (128, 16)
+SPAN = 64
+BLOCKS = (SPAN, 8)
+#: Bytes that decide on one sampled position; how far behind a sampled position all others are decided by a string of
+#: LENGTH bytes that it stands for; and how many bytes behind it all these strings share.
+REACH = SPAN + GRAM - 1
+SURE = LENGTH - SPAN + 1 - REACH
+CORE = LENGTH - SPAN + 1
+RANGE_ROWS = 500_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def window_anchors(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def window_anchors(data: np.ndarray, length: int = REACH) -> np.ndarray:
     """For each start s of a window data[s : s + length] the place of its anchor: the leftmost of the window's 8-grams
     with the smallest hash. Equal windows have their anchors at equal distances, wherever they stand."""
     g = data.astype(np.uint64)
@@ -39,7 +48,7 @@ def block_keys(prefix: np.ndarray, a: np.ndarray, d: np.ndarray, size: int, tid:
     rules all of them out; a hull that does stand elsewhere makes all of them repeats. A hull that leaves the
     text gets a name of its own."""
     n = len(prefix) - 1
-    last = np.minimum(d + size - 1, length - GRAM)
+    last = d + size - 1
     salt = mix64(d.astype(np.uint64) * np.uint64(1024) + np.uint64(size))
     core = span_hash(prefix, a - d, a - last + length) ^ salt
     inside = (a - last >= 0) & (a - d + length <= n)
@@ -66,21 +75,29 @@ NAMES = ["key", "hull", "tid", "a", "d"]
 KEYS = "key bigint, hull bigint, tid bigint, a bigint, d bigint"
 
 
-def batches_of(parts, rows: int = 100_000):
+def batches_of(parts, names: list[str], rows: int = 100_000):
     """Arrow batches of about `rows` rows from tuples of equal-length arrays."""
     held, n = [], 0
     for p in parts:
         held.append(p)
         n += len(p[0])
         if n >= rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
             held, n = [], 0
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
 
 
-def first_keys(batches):
-    """Blocks of 128 starts for each distinct text that a task reads: (text, tid) -> KEYS."""
+PLACES = "tid bigint, idx bigint, code bigint, tail bigint, rank bigint"
+
+
+def sampled_places(batches):
+    """The sampled positions of each distinct text that a task reads: (text, tid) -> PLACES.
+
+    Each start of a string chooses the leftmost smallest gram of the next SPAN ones, so a string of LENGTH bytes chooses
+    alike wherever it stands. idx counts the sampled positions of a text; code holds the position p, m, the number of
+    sampled positions within SURE bytes behind it, and whether the text goes on for CORE bytes; tail names the last of these
+    bytes; rank, the first one, names the prefix of REACH bytes and the distance to the next sampled position."""
 
     def parts():
         seen: set[int] = set()
@@ -93,14 +110,102 @@ def first_keys(batches):
                 data = raw_bytes(text)
                 if len(data) < LENGTH:
                     continue
-                a = window_anchors(data)
-                d = (a - np.arange(len(a))) // BLOCKS[0] * BLOCKS[0]
-                at = runs(a, d)
-                a, d = a[at], d[at]
-                core, hull = block_keys(prefix_hash(data), a, d, BLOCKS[0], tid)
-                yield core, hull, np.full(len(a), tid, np.int64), a, d
-
-    return batches_of(parts())
+                prefix, every = prefix_hash(data), window_anchors(data)
+                every = every[runs(every)]
+                p = every[:-1][every[:-1] + REACH <= len(data)]
+                m = np.searchsorted(every, p + SURE, "right") - 1 - np.arange(len(p))
+                whole = p + CORE <= len(data)
+                first = span_hash(prefix, p, p + REACH) ^ mix64(np.diff(every)[: len(p)].astype(np.uint64))
+                tail = np.zeros(len(p), np.uint64)
+                tail[whole] = span_hash(prefix, p[whole] + (SURE - SPAN), p[whole] + CORE)
+                yield np.full(len(p), tid, np.int64), np.arange(len(p)), p * 1024 + m * 2 + whole, tail.view(np.int64), first.view(np.int64)
+
+    return batches_of(parts(), ["tid", "idx", "code", "tail", "rank"])
+
+
+RANKED = "is_last boolean, r1 bigint, r2 bigint, tid bigint, idx bigint, code bigint, tail bigint, rank bigint, edge boolean, weight bigint"
+
+
+def rerank(batches):
+    """Rank the sorted pairs of a range by the run of equal pairs that they stand in, and drop the runs of one.
+
+    Only the last row is held back, so a run may be of any length. Runs may go on in the ranges before and after: rows of the
+    first run and a single last row are marked as edge, and a last run of several rows leaves a row without tid for its pair."""
+    base, run, held, held_same = TaskContext.get().partitionId() << 36, -1, None, False
+
+    def rows(cols, numbers, edge):
+        n = len(numbers)
+        inner = [np.where(edge, c, 0) for c in cols[1:3]]
+        arrays = [cols[0].astype(bool), *inner, *cols[3:], base + numbers, edge, np.ones(n, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], names=[c.split()[0] for c in RANKED.split(", ")])
+
+    for batch in batches:
+        cols = [np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        if not len(cols[0]):
+            continue
+        same = np.r_[held_same, np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:3]])]
+        again = np.r_[False, same[1:] & (cols[3][1:] == cols[3][:-1]) & (cols[4][1:] == cols[4][:-1])]  # a text that several tasks read
+        cols, same = [c[~again] for c in cols], same[~again]
+        new = ~same
+        new[0] = held is None
+        numbers = run + np.cumsum(new)
+        keep = (same[:-1] | same[1:] | (numbers[:-1] == 0)).nonzero()[0]
+        if len(keep):
+            yield rows([c[keep] for c in cols], numbers[keep], numbers[keep] == 0)
+        held, held_same, run = [c[-1:] for c in cols], bool(same[-1]), int(numbers[-1])
+    if held is not None:
+        edge = np.array([run == 0 or not held_same])
+        yield rows(held, np.array([run]), edge)
+        if not edge[0]:
+            mark = rows(held, np.array([run]), np.array([True])).to_pylist()[0] | {"tid": None, "weight": 2}
+            yield pa.RecordBatch.from_pylist([mark], schema=pa.schema([(c.split()[0], pa.bool_() if "boolean" in c else pa.int64()) for c in RANKED.split(", ")]))
+
+
+def ranked(pairs: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Sort pairs(is_last, r1, r2, tid, idx, code, tail), give equal ones the same rank and drop those that stand alone: (rows, the table to drop).
+
+    The sort goes on by text and place, so that a pair that many rows share lies in many ranges. What reaches over the
+    ends of ranges is put together by a broadcast of at most two pairs a range."""
+    order = ["is_last", "r1", "r2", "tid", "idx"]
+    n = partitions_for(pairs.sparkSession, n_rows, RANGE_ROWS)
+    out = stored(pairs.select(*order, "code", "tail").repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(rerank, RANKED), "ranks")
+    over = out.where("edge").groupBy("is_last", "r1", "r2").agg(F.min("rank").alias("least"), F.sum("weight").alias("rows")).where("rows > 1").drop("rows")
+    columns = ["is_last", "tid", "idx", "code", "tail"]
+    edge = out.where("edge AND tid IS NOT NULL").join(F.broadcast(over), ["is_last", "r1", "r2"]).select(*columns, F.col("least").alias("rank"))
+    return out.where("NOT edge").select(*columns, "rank").unionByName(edge), out
+
+
+def doubled(places: DataFrame) -> DataFrame:
+    """Sampled positions whose CORE bytes also stand behind another one: (tid, a), by prefix doubling.
+
+    In the round of offset h, h = 1, 2, 4, ... sampled positions, a position with 2h others within SURE bytes pairs its
+    rank with that of the position h further on; one with fewer takes its last pair, which reaches its m-th one, and the
+    name of its tail. Pairs are sorted and ranked anew, and unique ones go: a string that holds a unique one is unique too,
+    so a position whose partner is gone goes with it. It ends when no position is left to double (at 512 places at most)."""
+    m = F.expr("(code div 2) % 512")
+    rows, old = ranked(places.select(F.lit(False).alias("is_last"), F.col("rank").alias("r1"), F.lit(0).cast("bigint").alias("r2"), "tid", "idx", "code", "tail"), places.count())
+    found, h = [], 1
+    while True:
+        ends = m < 2 * h
+        one = rows.where((~ends) | (F.col("code") % 2 == 1)).select("tid", "idx", "code", "tail", "rank", ends.alias("is_last"), (F.col("idx") + F.when(ends, m - h).otherwise(h)).alias("_at"))
+        two = rows.select(F.col("tid").alias("_tid"), F.col("idx").alias("_idx"), F.col("rank").alias("_rank"))
+        pairs = one.join(two, (F.col("tid") == F.col("_tid")) & (F.col("_at") == F.col("_idx")))
+        pairs = pairs.select("is_last", F.col("rank").alias("r1"), F.when(F.col("is_last"), F.xxhash64("_rank", m, "tail")).otherwise(F.col("_rank")).alias("r2"), "tid", "idx", "code", "tail")
+        new, kept = ranked(pairs, rows.count())
+        if h == 1:
+            dropped(old)
+        found.append((new.where("is_last").select("tid", F.expr("code div 1024").alias("a")), kept))
+        rows, h = new.where("NOT is_last"), 2 * h
+        if rows.isEmpty():
+            break
+    out = found[0][0]
+    for more, _ in found[1:]:
+        out = out.unionByName(more)
+    out = stored(out, "anchors")
+    dropped(*[t for _, t in found])
+    return out
 
 
 def inner_keys(size: int, outer: int):
@@ -117,13 +222,13 @@ def inner_keys(size: int, outer: int):
                     d = (d0[:, None] + np.arange(0, outer, size)[None, :]).ravel()
                     a = np.repeat(a0, outer // size)
                     # a block counts if one of its windows lies in the text
-                    fits = (d <= LENGTH - GRAM) & (a - d >= 0) & (a - np.minimum(d + size - 1, LENGTH - GRAM) + LENGTH <= len(data))
+                    fits = (a - d >= 0) & (a - (d + size - 1) + LENGTH <= len(data))
                     a, d = a[fits], d[fits]
                     if len(a):
                         core, hull = block_keys(prefix, a, d, size, tid)
                         yield core, hull, np.full(len(a), tid, np.int64), a, d
 
-        return batches_of(parts())
+        return batches_of(parts(), NAMES)
 
     return run
 
@@ -158,27 +263,31 @@ def resolved(keys: DataFrame, last: bool = False) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(each, spans): each row of docs with its text's digest; and for each distinct text with a repeat its starts.
 
-    Windows of LENGTH bytes are named through anchors that equal windows share, so a few positions stand for all. Round by round
-    the named strings grow (cores of blocks of 128 starts, of 16, then single windows), each named by the hash of its bytes;
-    blocks whose name is unique go, blocks whose whole hull repeats are settled, the others are split.
+    Prefix doubling leaves the sampled positions that share CORE bytes with another (doubled()). Each stands for the SPAN starts before it;
+    these are compared in blocks of SPAN, of 8 and of 1 by the names of their bytes: blocks whose shared bytes (core) are
+    unique go, blocks of which all bytes (hull) repeat are settled, the others are split.
     """
     each = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(text_or_empty(), 256).alias("sha"), F.octet_length(text_or_empty()).cast("bigint").alias("n_bytes"))
     each = stored(each, "texts")
     tid = F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint").alias("tid")
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"), F.sha2(text_or_empty(), 256).alias("sha")).where(F.octet_length("text") >= LENGTH)
-    one = resolved(read.select("text", tid).mapInArrow(first_keys, KEYS))
-    blocks = one.groupBy("tid").agg(F.collect_list(F.when(F.col("goes_on"), F.struct("a", "d"))).alias("open"))  # of one text
-    reps = each.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select(tid, "sha", "doc_id").join(one.select("tid").distinct(), "tid", "left_semi")
+    places = stored(read.select("text", tid).mapInArrow(sampled_places, PLACES), "places")
+    anchors = doubled(places)
+    dropped(places)
+    blocks = anchors.groupBy("tid").agg(F.collect_list(F.struct("a", F.lit(0).cast("bigint").alias("d"))).alias("open"))  # of one text
+    reps = each.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select(tid, "sha", "doc_id").join(anchors.select("tid").distinct(), "tid", "left_semi")
     reps = reps.select("tid", F.col("sha").alias("_sha"), F.col("doc_id").alias("_rep"))
     here = read.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("sha") == F.col("_sha"))).select("text", "tid", "sha")
     here = stored(here.join(blocks, "tid"), "repeating-texts")
     tidy(docs.sparkSession)
-    two = resolved(here.where("size(open) > 0").select("text", "tid", "open").mapInArrow(inner_keys(BLOCKS[1], BLOCKS[0]), KEYS))
-    open2 = two.where("goes_on").groupBy("tid").agg(F.collect_list(F.struct("a", "d")).alias("open2"))
-    three = resolved(here.select("text", "tid").join(open2, "tid").select("text", "tid", "open2").mapInArrow(inner_keys(1, BLOCKS[1]), KEYS), last=True)
+    one = resolved(here.select("text", "tid", "open").mapInArrow(inner_keys(SPAN, SPAN), KEYS))
+    open2 = one.where("goes_on").groupBy("tid").agg(F.collect_list(F.struct("a", "d")).alias("open2"))
+    two = resolved(here.select("text", "tid").join(open2, "tid").select("text", "tid", "open2").mapInArrow(inner_keys(BLOCKS[1], SPAN), KEYS))
+    open3 = two.where("goes_on").groupBy("tid").agg(F.collect_list(F.struct("a", "d")).alias("open3"))
+    three = resolved(here.select("text", "tid").join(open3, "tid").select("text", "tid", "open3").mapInArrow(inner_keys(1, BLOCKS[1]), KEYS), last=True)
     tidy(docs.sparkSession)
-    span = lambda df, size: df.where("repeated").select("tid", (F.col("a") - F.least(F.col("d") + (size - 1), F.lit(LENGTH - GRAM))).alias("s"), (F.col("a") - F.col("d")).alias("e"))
-    starts = span(one, BLOCKS[0]).unionByName(span(two, BLOCKS[1])).unionByName(span(three, 1))
+    span = lambda df, size: df.where("repeated").select("tid", (F.col("a") - F.col("d") - (size - 1)).alias("s"), (F.col("a") - F.col("d")).alias("e"))
+    starts = span(one, SPAN).unionByName(span(two, BLOCKS[1])).unionByName(span(three, 1))
     starts = starts.groupBy("tid").agg(F.collect_list(F.struct("s", "e")).alias("starts"))  # of one text
     return each, stored(here.select("tid", "sha", "text").join(starts, "tid").dropDuplicates(["tid"]), "spans")
 
