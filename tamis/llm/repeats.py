@@ -16,8 +16,8 @@ from .common import dropped, join_groups, mix64, partitions_for, prefix_hash, sp
 #: consecutive starts choose one of them together, and the blocks in which these starts are compared at the end.
 LENGTH = 400
 GRAM = 8
-SPAN = 64
-BLOCKS = (SPAN, 8)
+SPAN = 128
+BLOCKS = (SPAN, 16)
 #: Bytes that decide on one sampled position; how far behind a sampled position all others are decided by a string of
 #: LENGTH bytes that it stands for; and how many bytes behind it all these strings share.
 REACH = SPAN + GRAM - 1
@@ -183,7 +183,7 @@ def doubled(places: DataFrame) -> DataFrame:
     In the round of offset h, h = 1, 2, 4, ... sampled positions, a position with 2h others within SURE bytes pairs its
     rank with that of the position h further on; one with fewer takes its last pair, which reaches its m-th one, and the
     name of its tail. Pairs are sorted and ranked anew, and unique ones go: a string that holds a unique one is unique too,
-    so a position whose partner is gone goes with it. It ends when no position is left to double (at 512 places at most)."""
+    so a position whose partner is gone goes with it. It ends when no position is left to double (at SURE places at most)."""
     m = F.expr("(code div 2) % 512")
     rows, old = ranked(places.select(F.lit(False).alias("is_last"), F.col("rank").alias("r1"), F.lit(0).cast("bigint").alias("r2"), "tid", "idx", "code", "tail"), places.count())
     found, h = [], 1
@@ -264,7 +264,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(each, spans): each row of docs with its text's digest; and for each distinct text with a repeat its starts.
 
     Prefix doubling leaves the sampled positions that share CORE bytes with another (doubled()). Each stands for the SPAN starts before it;
-    these are compared in blocks of SPAN, of 8 and of 1 by the names of their bytes: blocks whose shared bytes (core) are
+    these are compared in blocks of SPAN, of 16 and of 1 by the names of their bytes: blocks whose shared bytes (core) are
     unique go, blocks of which all bytes (hull) repeat are settled, the others are split.
     """
     each = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(text_or_empty(), 256).alias("sha"), F.octet_length(text_or_empty()).cast("bigint").alias("n_bytes"))
