@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,24 +123,23 @@ def sampled_places(batches):
     return batches_of(parts(), ["tid", "idx", "code", "tail", "rank"])
 
 
-RANKED = "is_last boolean, r1 bigint, r2 bigint, tid bigint, idx bigint, code bigint, tail bigint, rank bigint, edge boolean, weight bigint"
+RANKED = "is_last boolean, tid bigint, idx bigint, code bigint, tail bigint, rank bigint"
 
 
 def rerank(batches):
-    """Rank the sorted pairs of a range by the run of equal pairs that they stand in, and drop the runs of one.
+    """Name the runs of equal pairs in a sorted range, and drop the runs of one: the new rank is the pair's 64-bit name.
 
-    Only the last row is held back, so a run may be of any length. Runs may go on in the ranges before and after: rows of the
-    first run and a single last row are marked as edge, and a last run of several rows leaves a row without tid for its pair."""
-    base, run, held, held_same = TaskContext.get().partitionId() << 36, -1, None, False
+    A name, unlike a number, is the same in each range that a run reaches into. Only the last row is held back, so a run may be of any
+    length. Whether the first and the last row of a range stand alone only other ranges know: these two stay."""
+    held, held_same, first = None, False, True
 
-    def rows(cols, numbers, edge):
-        n = len(numbers)
-        inner = [np.where(edge, c, 0) for c in cols[1:3]]
-        arrays = [cols[0].astype(bool), *inner, *cols[3:], base + numbers, edge, np.ones(n, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], names=[c.split()[0] for c in RANKED.split(", ")])
+    def rows(cols):
+        name = mix64(mix64(cols[1].view(np.uint64)) * np.uint64(3) + cols[2].view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (cols[0].astype(bool), *cols[3:], name)], names=[c.split()[0] for c in RANKED.split(", ")])
 
     for batch in batches:
         cols = [np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
+        cols = [c if k == 0 else np.ascontiguousarray(c, np.int64) for k, c in enumerate(cols)]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
         if not len(cols[0]):
@@ -148,33 +147,24 @@ def rerank(batches):
         same = np.r_[held_same, np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:3]])]
         again = np.r_[False, same[1:] & (cols[3][1:] == cols[3][:-1]) & (cols[4][1:] == cols[4][:-1])]  # a text that several tasks read
         cols, same = [c[~again] for c in cols], same[~again]
-        new = ~same
-        new[0] = held is None
-        numbers = run + np.cumsum(new)
-        keep = (same[:-1] | same[1:] | (numbers[:-1] == 0)).nonzero()[0]
-        if len(keep):
-            yield rows([c[keep] for c in cols], numbers[keep], numbers[keep] == 0)
-        held, held_same, run = [c[-1:] for c in cols], bool(same[-1]), int(numbers[-1])
+        keep = same[:-1] | same[1:]
+        keep[:1] |= first
+        if keep.any():
+            yield rows([c[:-1][keep] for c in cols])
+        first = first and len(keep) == 0
+        held, held_same = [c[-1:] for c in cols], bool(same[-1])
     if held is not None:
-        edge = np.array([run == 0 or not held_same])
-        yield rows(held, np.array([run]), edge)
-        if not edge[0]:
-            mark = rows(held, np.array([run]), np.array([True])).to_pylist()[0] | {"tid": None, "weight": 2}
-            yield pa.RecordBatch.from_pylist([mark], schema=pa.schema([(c.split()[0], pa.bool_() if "boolean" in c else pa.int64()) for c in RANKED.split(", ")]))
+        yield rows(held)
 
 
-def ranked(pairs: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Sort pairs(is_last, r1, r2, tid, idx, code, tail), give equal ones the same rank and drop those that stand alone: (rows, the table to drop).
+def ranked(pairs: DataFrame, n_rows: int) -> DataFrame:
+    """Sort pairs(is_last, r1, r2, tid, idx, code, tail), give equal ones the same rank and drop those that stand alone.
 
-    The sort goes on by text and place, so that a pair that many rows share lies in many ranges. What reaches over the
-    ends of ranges is put together by a broadcast of at most two pairs a range."""
+    The sort goes on by text and place, so that a pair that many rows share lies in many ranges. Of each range two rows
+    stay unjudged; the later rounds and the comparison of whole strings judge them."""
     order = ["is_last", "r1", "r2", "tid", "idx"]
     n = partitions_for(pairs.sparkSession, n_rows, RANGE_ROWS)
-    out = stored(pairs.select(*order, "code", "tail").repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(rerank, RANKED), "ranks")
-    over = out.where("edge").groupBy("is_last", "r1", "r2").agg(F.min("rank").alias("least"), F.sum("weight").alias("rows")).where("rows > 1").drop("rows")
-    columns = ["is_last", "tid", "idx", "code", "tail"]
-    edge = out.where("edge AND tid IS NOT NULL").join(F.broadcast(over), ["is_last", "r1", "r2"]).select(*columns, F.col("least").alias("rank"))
-    return out.where("NOT edge").select(*columns, "rank").unionByName(edge), out
+    return stored(pairs.select(*order, "code", "tail").repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(rerank, RANKED), "ranks")
 
 
 def doubled(places: DataFrame) -> DataFrame:
@@ -185,7 +175,7 @@ def doubled(places: DataFrame) -> DataFrame:
     name of its tail. Pairs are sorted and ranked anew, and unique ones go: a string that holds a unique one is unique too,
     so a position whose partner is gone goes with it. It ends when no position is left to double (at SURE places at most)."""
     m = F.expr("(code div 2) % 512")
-    rows, old = ranked(places.select(F.lit(False).alias("is_last"), F.col("rank").alias("r1"), F.lit(0).cast("bigint").alias("r2"), "tid", "idx", "code", "tail"), places.count())
+    rows = ranked(places.select(F.lit(False).alias("is_last"), F.col("rank").alias("r1"), F.lit(0).cast("bigint").alias("r2"), "tid", "idx", "code", "tail"), places.count())
     found, h = [], 1
     while True:
         ends = m < 2 * h
@@ -193,18 +183,16 @@ def doubled(places: DataFrame) -> DataFrame:
         two = rows.select(F.col("tid").alias("_tid"), F.col("idx").alias("_idx"), F.col("rank").alias("_rank"))
         pairs = one.join(two, (F.col("tid") == F.col("_tid")) & (F.col("_at") == F.col("_idx")))
         pairs = pairs.select("is_last", F.col("rank").alias("r1"), F.when(F.col("is_last"), F.xxhash64("_rank", m, "tail")).otherwise(F.col("_rank")).alias("r2"), "tid", "idx", "code", "tail")
-        new, kept = ranked(pairs, rows.count())
+        new = ranked(pairs, rows.count())
         if h == 1:
-            dropped(old)
-        found.append((new.where("is_last").select("tid", F.expr("code div 1024").alias("a")), kept))
+            dropped(rows)
+        found.append(new)
         rows, h = new.where("NOT is_last"), 2 * h
         if rows.isEmpty():
             break
-    out = found[0][0]
-    for more, _ in found[1:]:
-        out = out.unionByName(more)
-    out = stored(out, "anchors")
-    dropped(*[t for _, t in found])
+    ends = [t.where("is_last").select("tid", F.expr("code div 1024").alias("a")) for t in found]
+    out = stored(reduce(DataFrame.unionByName, ends), "anchors")
+    dropped(*found)
     return out
 
 
