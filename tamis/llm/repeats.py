@@ -221,22 +221,22 @@ def inner_keys(size: int, outer: int):
     return run
 
 
-def resolved(keys: DataFrame, last: bool = False) -> DataFrame:
+def resolved(keys: DataFrame, last: bool = False, shared: bool = False) -> DataFrame:
     """Drop blocks whose name is unique, mark those whose hull is not: (tid, a, d, repeated, goes_on), stored.
 
     goes_on: the block takes part in the next round, as it is open, or as it is the first of equal settled blocks and
     shares its name with an open one, which may repeat parts of it.
     An occurrence is a text and an anchor, so copies of one text, and a block sent by several tasks, are one. Counting
     keeps the smallest and largest occurrence of a name, combined before the shuffle; rows of a frequent name are split
-    by the skew handling of the join."""
+    by the skew handling of the join. shared: the names are known to stand elsewhere, but for a few that the next round drops."""
     occurrence = F.xxhash64("tid", "a")
     often = lambda df, name: df.groupBy(name).agg(F.min(occurrence).alias("lo"), F.max(occurrence).alias("hi")).where("lo <> hi").drop("hi")
     keys = stored(keys, "names")
-    left = keys.join(often(keys, "key").drop("lo"), "key", "left_semi")
+    left = keys if shared else keys.join(often(keys, "key").drop("lo"), "key", "left_semi")
     if last:
         out = stored(left.select("tid", "a", "d", F.lit(True).alias("repeated")), "repeats")
     else:
-        left = stored(left, "names")
+        left = left if shared else stored(left, "names")
         marked = left.join(often(left, "hull"), "hull", "left").select("key", "tid", "a", "d", F.col("lo").isNotNull().alias("repeated"), F.col("lo").eqNullSafe(occurrence).alias("first")).distinct()
         marked = stored(marked, "marks")
         open_names = marked.where("NOT repeated").select("key").distinct().withColumn("is_open", F.lit(True))
@@ -268,7 +268,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     here = read.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("sha") == F.col("_sha"))).select("text", "tid", "sha")
     here = stored(here.join(blocks, "tid"), "repeating-texts")
     tidy(docs.sparkSession)
-    one = resolved(here.select("text", "tid", "open").mapInArrow(inner_keys(SPAN, SPAN), KEYS))
+    one = resolved(here.select("text", "tid", "open").mapInArrow(inner_keys(SPAN, SPAN), KEYS), shared=True)
     open2 = one.where("goes_on").groupBy("tid").agg(F.collect_list(F.struct("a", "d")).alias("open2"))
     two = resolved(here.select("text", "tid").join(open2, "tid").select("text", "tid", "open2").mapInArrow(inner_keys(BLOCKS[1], SPAN), KEYS))
     open3 = two.where("goes_on").groupBy("tid").agg(F.collect_list(F.struct("a", "d")).alias("open3"))
