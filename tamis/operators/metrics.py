@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,11 +19,12 @@ def by_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(names, same).drop(*[f"_g{k}" for k in range(len(by))])
 
 
-def in_ranges(distinct: DataFrame, by: list[str], value: str, parts: int = 64) -> DataFrame:
+def in_ranges(distinct: DataFrame, by: list[str], value: str, parts: int = 64, few: Callable[[DataFrame], DataFrame] = lambda g: g) -> DataFrame:
     """distinct, one row for each value of a group, with _r: the values of a group in at most `parts` ranges of like numbers
-    of values, cut where the data are. However the values pile up, a range holds about one part of the distinct ones."""
+    of values, cut where the data are. However the values pile up, a range holds about one part of the distinct ones.
+    few: F.broadcast where the groups are known to be few, so that a large group's rows stay where they are."""
     cuts = distinct.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("_cuts"))
-    return by_group(distinct, cuts, by).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    return by_group(distinct, few(cuts), by).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
 
 def prefix_counts(scored: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
@@ -110,17 +112,22 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 def quantiles(rows: DataFrame, columns: list[str], q: float, parts: int = 64, by: list[str] | None = None) -> DataFrame:
     """by columns, name, value: the exact quantile q of each column (linear between neighbours); nulls, NaN and infinities
-    are left out. Rows collapse to distinct values, which are cut in ranges that are summed alone, as in prefix_counts."""
+    are left out. Rows collapse to distinct values, whose ranges are counted as in prefix_counts; only the range or two of
+    each column that hold the wanted places are put in order. Without by, what is known of a column goes to the rows by
+    broadcast, so that no task gets a whole column."""
     key = [*(by or []), "name"]
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]))
     d = rows.select(*(by or []), pairs.alias("x")).select(*(by or []), "x.name", "x.v").where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')")
-    d = in_ranges(d.groupBy(*key, "v").agg(F.count("*").alias("n")), key, "v", parts)
+    few = (lambda g: g) if by else F.broadcast  # one row a column
+    d = in_ranges(d.groupBy(*key, "v").agg(F.count("*").alias("n")), key, "v", parts, few)
     ranges = d.groupBy(*key, "_r").agg(F.sum("n").alias("rn"))
     before = F.coalesce(F.sum("rn").over(W.partitionBy(*key).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select(*key, "_r", before.alias("below"), F.sum("rn").over(W.partitionBy(*key)).alias("total"))
-    run = F.sum("n").over(W.partitionBy(*key, "_r").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    ranges = ranges.select(*key, "_r", "rn", before.alias("below"), F.sum("rn").over(W.partitionBy(*key)).alias("total"))
     at = (F.col("total") - 1) * F.lit(q)
-    d = by_group(d, ranges, [*key, "_r"]).select(*key, "v", (F.col("below") + run).alias("upto"), at.alias("at"))
+    holds = lambda place: (F.col("below") <= place) & (place < F.col("below") + F.col("rn"))
+    ranges = ranges.withColumn("at", at).where(holds(F.floor("at")) | holds(F.ceil("at"))).select(*key, "_r", "below", "at")
+    run = F.sum("n").over(W.partitionBy(*key, "_r").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    d = by_group(d, few(ranges), [*key, "_r"]).select(*key, "v", (F.col("below") + run).alias("upto"), "at")
     g = d.groupBy(*key).agg(F.first("at").alias("at"), F.min(F.when(F.col("upto") > F.floor("at"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v"))).alias("b"))
     return g.select(*key, (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("value"))
 
