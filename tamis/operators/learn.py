@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -12,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import quantiles
+from .metrics import quantile_by_condition
 
 
 def boosted_trees(iterations: int = 100, depth: int = 6) -> Estimator:
@@ -34,8 +36,8 @@ def clean(c: str) -> Column:
 
 
 def medians(rows: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact medians of the columns that hold numbers: one small row for each column."""
-    return {r["name"]: r["value"] for r in quantiles(rows, columns, 0.5).collect()}
+    """Exact medians of the columns that hold numbers."""
+    return quantile_by_condition(rows, columns, 0.5, {"all": F.lit(True)})["all"]
 
 
 def numeric_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -44,12 +46,12 @@ def numeric_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({c: F.coalesce(clean(c), F.lit(middle[c])) for c in columns if c in middle}).drop(*[c for c in columns if c not in middle])
 
 
-def fit_score(train: DataFrame, test: DataFrame, columns: list[str], estimator: Estimator) -> DataFrame:
-    """test with p1. Medians and class weights come from train only; a train side of one class gives null scores."""
+def fit_score(train: DataFrame, test: DataFrame, columns: list[str], estimator: Estimator, middle: dict[str, float] | None = None) -> DataFrame:
+    """test with p1. Medians (unless given) and class weights come from train only; a train side of one class gives null scores."""
     first = train.agg(F.avg("label").alias("_prior")).first()
     if first["_prior"] is None or first["_prior"] in (0.0, 1.0):
         return test.withColumn("p1", F.lit(None).cast("double"))
-    middle = medians(train, columns)
+    middle = medians(train, columns) if middle is None else middle
     ready = lambda df: VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="v").transform(df.withColumns({f"_{c}": F.coalesce(clean(c), F.lit(middle.get(c, 0.0))) for c in columns}))
     weight = F.when(F.col("label") == 1, (1 - first["_prior"]) / first["_prior"]).otherwise(1.0)
     model = estimator.fit(ready(train).select("v", F.col("label").cast("double").alias("label"), weight.alias("weight")))
@@ -58,8 +60,13 @@ def fit_score(train: DataFrame, test: DataFrame, columns: list[str], estimator:
 
 
 def out_of_fold(rows: DataFrame, columns: list[str], estimator: Estimator, folds: int) -> DataFrame:
-    """Each row scored by a model that did not see its fold. rows are read by every fold: pass stored ones (sweeps.kept)."""
-    parts = [fit_score(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), columns, estimator) for k in range(folds)]
+    """Each row scored by a model that did not see its fold. rows are read by every fold: pass stored ones (sweeps.kept). The
+    medians of all training sides are found together; the folds are fitted at once."""
+    middle = quantile_by_condition(rows, columns, 0.5, {str(k): F.col("fold") != k for k in range(folds)})
+    one = lambda k: fit_score(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), columns, estimator, middle[str(k)])
+    carried = inheritable_thread_target(rows.sparkSession)
+    with ThreadPoolExecutor(min(folds, 4)) as pool:
+        parts = [f.result() for f in [pool.submit(carried(one), k) for k in range(folds)]]
     return reduce(DataFrame.unionByName, parts)
 
 

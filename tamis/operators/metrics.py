@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -132,6 +133,48 @@ def quantiles(rows: DataFrame, columns: list[str], q: float, parts: int = 64, by
     return g.select(*key, (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("value"))
 
 
+def quantile_by_condition(rows: DataFrame, columns: list[str], q: float, conditions: dict[str, Column], parts: int = 64) -> dict[str, dict[str, float]]:
+    """condition -> column -> quantiles() of its rows, for all conditions in three passes over rows (pass stored ones).
+
+    Ranges are cut from sketches of the columns, rows are counted by range and condition where they are, and only the values of
+    the ranges that hold a wanted place are grouped and put in order: no pass shuffles a whole column. To the driver go a
+    column's cuts, counts by range and results."""
+    names = list(conditions)
+    value = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in columns}  # NaN is above infinity
+    marked = rows.select(*[value[c].alias(f"v{i}") for i, c in enumerate(columns)], *[F.coalesce(conditions[k], F.lit(False)).alias(f"in{j}") for j, k in enumerate(names)])
+    found = marked.agg(*[F.percentile_approx(f"v{i}", [k / parts for k in range(1, parts)], 1000).alias(f"v{i}") for i in range(len(columns))]).first()
+    cuts = [sorted(set(found[f"v{i}"] or [])) for i in range(len(columns))]
+    at = lambda i: F.size(F.filter(F.array(*map(F.lit, cuts[i])), lambda c: c < F.col(f"v{i}"))) if cuts[i] else F.lit(0)
+    long = marked.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), at(i).alias("r"), F.col(f"v{i}").alias("v")) for i in range(len(columns))])), *[f"in{j}" for j in range(len(names))]).where("v IS NOT NULL")
+    counts: dict[tuple, dict[int, int]] = {}
+    for row in long.groupBy("i", "r").agg(*[F.count_if(f"in{j}").alias(f"n{j}") for j in range(len(names))]).collect():  # columns x parts rows
+        for j in range(len(names)):
+            counts.setdefault((row["i"], j), {})[row["r"]] = row[f"n{j}"]
+    places, wanted = [], set()
+    for (i, j), n in counts.items():
+        total, below = sum(n.values()), 0
+        place = (total - 1) * q
+        for r in sorted(n):
+            if total and any(below <= x < below + n[r] for x in (math.floor(place), math.ceil(place))):
+                places.append((i, r, j, below, place))
+                wanted.add((i, r))
+            below += n[r]
+    if not places:
+        return {k: {} for k in names}
+    some = long.where(reduce(lambda a, b: a | b, [(F.col("i") == i) & F.col("r").isin([r for k, r in wanted if k == i]) for i in {i for i, _ in wanted}]))
+    d = some.groupBy("i", "r", "v").agg(*[F.count_if(f"in{j}").alias(f"n{j}") for j in range(len(names))])
+    run = W.partitionBy("i", "r").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    d = d.select("i", "r", "v", *[F.sum(f"n{j}").over(run).alias(f"n{j}") for j in range(len(names))])
+    d = d.select("i", "r", "v", F.inline(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"n{j}").alias("upto")) for j in range(len(names))])))
+    held = rows.sparkSession.createDataFrame(places, "i int, r int, j int, below bigint, at double")
+    d = d.join(F.broadcast(held), ["i", "r", "j"]).select("i", "j", "v", "at", (F.col("below") + F.col("upto")).alias("upto"))
+    g = d.groupBy("i", "j").agg(F.first("at").alias("at"), F.min(F.when(F.col("upto") > F.floor("at"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v"))).alias("b"))
+    out: dict[str, dict[str, float]] = {k: {} for k in names}
+    for row in g.select("i", "j", (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("value")).collect():  # columns x conditions rows
+        out[names[row["j"]]][columns[row["i"]]] = row["value"]
+    return out
+
+
 def summary(cells: DataFrame, by: list[str], metric: str) -> DataFrame:
     """Median, range and number of a metric over small result rows; nulls are skipped, bundles counts all."""
     return cells.groupBy(*by).agg(F.count("*").alias("bundles"), F.count(metric).alias("n"), F.round(F.percentile(metric, F.lit(0.5)), 7).alias("median"), F.min(metric).alias("lowest"), F.max(metric).alias("highest"))
