@@ -56,3 +56,29 @@ def test_ranks_name_equal_pairs_alike_and_unique_ones_go(spark, monkeypatch):
     assert len(found) == len(got) and shared <= set(found) and len(set(found) - shared) <= 2 * 24  # two rows of each of 24 ranges stay unjudged
     names = {p[1:3]: found[p[3]] for p in pairs if p[3] in found}
     assert all(found[p[3]] == names[p[1:3]] for p in pairs if p[3] in found) and len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_the_rows_of_a_frequent_name_are_split(spark, monkeypatch, last):
+    """One name holds three quarters of the rows: Spark must be able to deal them to several tasks in the joins on key and hull."""
+    settings = {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "8", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "files.maxPartitionBytes": "64k", "files.openCostInBytes": "1k"}
+    before = {f"spark.sql.{k}": spark.conf.get(f"spark.sql.{k}") for k in settings}
+    plans, real = [], repeats.stored
+
+    def stored(df, name):
+        if name in ("marks", "repeats", "names"):
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return real(df, name)
+
+    monkeypatch.setattr(repeats, "stored", stored)
+    keys = spark.range(0, 40000, 1, 16).selectExpr("if(id % 4 = 0, id div 8, -1L) key", "if(id % 4 = 0, id div 8, -1L) hull", "id tid", "id * 7 a", "0L d")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        got = repeats.resolved(keys, last=last).agg({"*": "count", "tid": "max"}).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tuple(got) == (40000, 39999)
+    assert sum("SortMergeJoin(skew=true)" in p for p in plans) >= (1 if last else 2)
